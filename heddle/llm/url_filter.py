@@ -119,7 +119,7 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
         hashed = listed.select("key").distinct().toPandas()["key"].tolist()
         keys = _passing(spark.sparkContext.broadcast(BlockedBloom(key_hashes(hashed))))(keys)
         listed = F.broadcast(listed) if n <= 100_000 else listed
-    hits = urls.select("url", F.explode(keys).alias("key")).join(listed, "key")
+    hits = urls.select("url", keys.alias("keys")).select("url", F.explode("keys").alias("key")).join(listed, "key")
     longest = F.min(F.struct((~F.col("is_rule")).alias("other"), (-F.length("key")).alias("size"), "key", "verdict")).alias("best")
     best = hits.groupBy("url").agg(longest)
     best = best.select(F.col("url").alias("__url"), F.col("best.verdict").alias("__verdict"), F.when(~F.col("best.other"), F.col("best.key")).alias("rule"))
