@@ -1 +1 @@
-"""functions of the library."""
+"""Column functions: exact integer ratios, identities, bit operations, text and colour helpers."""

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from heddle.runtime import read_table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def register(f):
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle if SQL can state it."""
+
+    def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -23,12 +23,4 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""
-SELECT sha256(text) AS text_sha256, strlen(text) AS n_bytes, count(*) AS members,
-  string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS member_ids
-FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
-def exact_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").where("text is not null")
-    keyed = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
-    groups = keyed.groupBy("text_sha256", "n_bytes").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return groups.where("members > 1").select("text_sha256", "n_bytes", "members", F.array_join(F.col("ids").cast("array<string>"), ",").alias("member_ids"))
+from heddle.plans import duplicates, evaluations, integrities, merges, rankings, scalars, searches, summaries  # noqa: E402, F401

@@ -44,9 +44,17 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows and bytes of a batch handed to Python at once, where the session sets none itself; texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it installed (once per application)."""
+    """Make this package importable in Python workers that don't have it installed (once per application), and keep the
+    batches they get small."""
     sc = spark.sparkContext
+    for key, ours in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, ours)
     if sc.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))

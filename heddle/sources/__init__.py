@@ -1 +1 @@
-"""sources of the library."""
+"""Readers and writers of versioned snapshots, strict JSON lines, and record schemas."""

@@ -1 +1 @@
-"""streaming of the library."""
+"""Incremental maintenance with Structured Streaming."""
