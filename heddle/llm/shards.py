@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm.elias_fano import U64, EliasFano
 
 #: Text bytes hashed at once and keys summed at once in a worker.
-CHUNK_BYTES = 1 << 20
-BLOCK_KEYS = 1 << 21
+CHUNK_BYTES = 1 << 18
+BLOCK_KEYS = 1 << 20
 #: Shards a worker keeps mapped.
 OPEN_SHARDS = 512
 

@@ -42,7 +42,7 @@ from heddle.runtime import Scratch, ship_package
 LENGTH = 100
 ANCHOR = 51
 #: Bytes sampled at once; a longer text is taken in pieces that overlap by what a string's context needs.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _PLACE = U64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
 _SCALE = U64(0x9E3779B97F4A7C15)
@@ -184,7 +184,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 class _Sender:
     """Gathers rows and sends them in packed blocks."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self, shards: int, by: str):
         self.shards, self.by, self.parts, self.size = shards, by, [], 0

@@ -15,8 +15,11 @@ go to the one that sorts first. Rows with null ids are judged like others.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,8 @@ HASHES = 6
 BLOCK_BITS = 512
 #: Greatest filter that is broadcast; 2^26 bytes hold some 33 million keys.
 FILTER_BYTES = 1 << 26
+#: Entries up to which the exact join broadcasts the list.
+SMALL_LIST = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,19 +92,18 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 def _passing(shared: Broadcast):
-    @F.arrow_udf("array<string>")
-    def passing(keys: pa.Array) -> pa.Array:
-        flat = keys.flatten().to_pylist()
-        holds = shared.value.may_hold(key_hashes(flat)).tolist() if flat else []
-        out, at = [], 0
-        for row in keys.to_pylist():
-            n = len(row or ())
-            out.append([k for k, ok in zip(flat[at : at + n], holds[at : at + n]) if ok])
-            at += n
-        return pa.array(out, pa.list_(pa.string()))
+    """Rows (url, keys) to rows (url, key) of the keys that the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom: BlockedBloom = shared.value
+        for batch in batches:
+            keys = batch.column(1)
+            flat = keys.flatten()
+            passed = np.flatnonzero(bloom.may_hold(key_hashes(flat.to_pylist())))
+            rows = pc.list_parent_indices(keys).take(pa.array(passed))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), flat.take(pa.array(passed))], names=["url", "key"])
 
-    # as good as random to the optimizer, which would else copy it into a filter that it infers from the explode
-    return passing.asNondeterministic()
+    return run
 
 
 def entries(spark, rules=RULES, listed=LISTED) -> DataFrame:
@@ -114,12 +118,14 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     ship_package(spark)
     n, lengths = listed.agg(F.count("*"), F.collect_set(F.length("key") - F.instr("key", "/") + 1)).first()
     urls = pages.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), sorted(lengths))
+    keyed = urls.select("url", candidate_keys(F.col("host"), F.col("path"), sorted(lengths)).alias("keys"))
     if n * BITS_PER_KEY // 8 <= FILTER_BYTES:
         hashed = listed.select("key").distinct().toPandas()["key"].tolist()
-        keys = _passing(spark.sparkContext.broadcast(BlockedBloom(key_hashes(hashed))))(keys)
-        listed = F.broadcast(listed) if n <= 100_000 else listed
-    hits = urls.select("url", keys.alias("keys")).select("url", F.explode("keys").alias("key")).join(listed, "key")
+        passing = keyed.mapInArrow(_passing(spark.sparkContext.broadcast(BlockedBloom(key_hashes(hashed)))), "url string, key string")
+        listed = F.broadcast(listed) if n <= SMALL_LIST else listed
+    else:
+        passing = keyed.select("url", F.explode("keys").alias("key"))
+    hits = passing.join(listed, "key")
     longest = F.min(F.struct((~F.col("is_rule")).alias("other"), (-F.length("key")).alias("size"), "key", "verdict")).alias("best")
     best = hits.groupBy("url").agg(longest)
     best = best.select(F.col("url").alias("__url"), F.col("best.verdict").alias("__verdict"), F.when(~F.col("best.other"), F.col("best.key")).alias("rule"))
