@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.names import columns_of, spare
 from heddle.runtime import ship_package
 
 SHINGLE = 5
@@ -142,22 +143,23 @@ def _searcher(shared: Broadcast):
     return contained
 
 
-def _marked(docs: DataFrame, items: DataFrame, width: int, containment: float, limit: int) -> DataFrame:
-    """``docs`` with ``__found``: the items each document contains, of all blocks together."""
+def _marked(docs: DataFrame, items: DataFrame, width: int, containment: float, limit: int, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: the items each document contains, of all blocks together."""
     spark = docs.sparkSession
     ship_package(spark)
     columns = [_searcher(spark.sparkContext.broadcast(ItemIndex(block, width, containment)))("text") for block in _item_blocks(items, limit)]
-    return docs.withColumn("__found", F.concat(*columns) if columns else F.array().cast(FOUND))
+    return docs.withColumn(name, F.concat(*columns) if columns else F.array().cast(FOUND))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment: float = CONTAINMENT, limit: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_found): every item of which a document holds the given share of shingles."""
-    found = _marked(docs.select("doc_id", "text"), items, width, containment, limit)
-    return found.select("doc_id", F.explode("__found").alias("f")).select("doc_id", "f.*")
+    found = _marked(docs.select("doc_id", "text"), items, width, containment, limit, "found")
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents that contain no item, with the columns of ``docs``."""
-    marked = _marked(docs, items, SHINGLE, CONTAINMENT, limit)
-    return marked.where(F.size("__found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = spare(docs, "__found")
+    marked = _marked(docs, items, SHINGLE, CONTAINMENT, limit, name)
+    return marked.where(F.size(name) == 0).select(*columns_of(docs))
 

@@ -29,12 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano, quantise
-from heddle.llm.shards import BLOCK_KEYS, CHUNK_BYTES, Blocks, Store, grouped, merged, packed_rows, sequence, shard_of_hash, summed, text_chunks, token_hashes
+from heddle.llm.shards import BLOCK_KEYS, Blocks, Store, grouped, merged, packed_rows, sequence, shard_of_hash, summed, text_chunks, token_hashes
 from heddle.runtime import Scratch, ship_package
 
 ORDER = 3
 KEEP_FROM = 2
 DISCOUNT = 0.75
+#: Tokens looked up at once, and shuffle partitions to a shard: long runs for each shard keep look-ups vectorised.
+CHUNK_TOKENS = 1 << 19
+PARTITIONS_PER_SHARD = 3
+
 
 class Trie:
     """The levels built so far; small enough to be sent with every task."""
@@ -184,7 +188,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
     ship_package(spark)
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_SHARD)
     store = Store(scratch.root)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +240,12 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
 
 
 def unpacked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word numbers or -1, marks of first tokens, sizes) of runs of texts of about CHUNK_BYTES tokens."""
+    """(word numbers or -1, marks of first tokens, sizes) of runs of texts of about CHUNK_TOKENS tokens."""
     part, size = [], 0
     for raw in column.to_pylist():
         part.append(np.frombuffer(raw, "<u4"))
         size += len(part[-1])
-        if size >= CHUNK_BYTES // 2:
+        if size >= CHUNK_TOKENS:
             yield _joined(part)
             part, size = [], 0
     if part:

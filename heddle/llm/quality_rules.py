@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.names import columns_of, spare
 from heddle.runtime import ship_package
 
 #: Labelled rows a list is learned from at most (a bounded sample by hash of the id).
@@ -239,18 +240,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     return {name: rows[name].to_numpy(np.int64) for name in STATISTICS}, rows["__quality"].to_numpy() == 0
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with a struct ``__quality``: the statistics, ``base_failed``, ``rule`` and ``kept``."""
+def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, name: str = "__quality") -> DataFrame:
+    """``docs`` with a struct ``name``: the statistics, ``base_failed``, ``rule`` and ``kept``."""
     ship_package(docs.sparkSession)
     rules = learn(*labelled_sample(docs, labels, sample_rows))
-    stats = docs.withColumn("__quality", text_statistics("text"))
-    s = F.col("__quality")
+    stats = docs.withColumn(name, text_statistics("text"))
+    s = F.col(name)
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    fields = [s[name].alias(name) for name in STATISTICS]
+    fields = [s[statistic].alias(statistic) for statistic in STATISTICS]
     rule = verdict(s, rules)
-    return stats.withColumn("__quality", F.struct(*fields, failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept")))
+    return stats.withColumn(name, F.struct(*fields, failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Only the documents the decision list keeps, with the columns of ``docs``."""
-    return judge(docs, labels).where(F.col("__quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = spare(docs, "__quality")
+    return judge(docs, labels, name=name).where(F.col(name)["kept"]).select(*columns_of(docs))

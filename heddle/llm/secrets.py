@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.names import columns_of, spare
 from heddle.runtime import Scratch
 
 
@@ -99,12 +100,10 @@ def scan(docs: DataFrame, scratch: Scratch, ledger: DataFrame | None = None, rul
         unseen = unseen.join(known.select(F.col("blob").alias("__blob")), "__blob", "left_anti")
     unseen = unseen.withColumnRenamed("__blob", "__new")
     todo = files.join(unseen, (F.col("__blob") == F.col("__new")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    fresh = todo.select(F.col("__blob").alias("blob"), all_spans(F.col("__text"), rules).alias("spans"))
-    fresh = scratch.table(fresh.where(F.size("spans") > 0), "findings")
-    # a row repeated under one id is scanned again, with the same result
-    fresh = fresh.dropDuplicates(["blob"])
-    clean = unseen.select(F.col("__new").alias("blob")).join(fresh, "blob", "left")
-    new = clean.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+    # no filter here: one on the findings would be pushed below the join, and every copy of a blob scanned
+    fresh = scratch.table(todo.select(F.col("__blob").alias("blob"), all_spans(F.col("__text"), rules).alias("spans")), "scanned")
+    # a row repeated under one id was scanned again, with the same result
+    new = fresh.groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("rule_version"), "spans")
     return new if known is None else known.unionByName(new)
 
 
@@ -132,9 +131,10 @@ def redact(docs: DataFrame, marker: str = "[secret]", rules: tuple[Rule, ...] =
     where there is such a column. Blobs are scanned once through a ledger; texts without a finding stay as they are."""
     scratch = Scratch(docs.sparkSession, "secrets")
     ledger = scan(docs, scratch, None, rules)
-    found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__found"), F.col("spans").alias("__spans"))
-    files = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = files.join(found, F.col("__blob") == F.col("__found"), "left")
+    own, hit, spans = spare(docs, "__blob"), spare(docs, "__found"), spare(docs, "__spans")
+    found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(hit), F.col("spans").alias(spans))
+    files = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = files.join(found, F.col(own) == F.col(hit), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
@@ -143,9 +143,9 @@ def redact(docs: DataFrame, marker: str = "[secret]", rules: tuple[Rule, ...] =
         out = F.when(inside, done["out"]).otherwise(F.concat(done["out"], kept, F.lit(marker)))
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), out.alias("out"))
 
-    cleaned = F.aggregate("__spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cleaned)
+    cleaned = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns_of(docs))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.names import columns_of, spare
 from heddle.operators.components import connected_components
 from heddle.runtime import Scratch, ship_package
 
@@ -138,8 +139,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id is kept once. Rows with a null id are kept (one of them) only where no row of their component has an id."""
     scratch = Scratch(docs.sparkSession, "simhash-kept")
     chosen = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    picked = scratch.table(chosen.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept"), "n"), "picked")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.withColumn("__id", F.col("doc_id"))
-    kept = kept.join(picked.select("__kept"), F.col("__id").eqNullSafe(F.col("__kept")), "left_semi").select(*names)
+    mark, own = spare(docs, "__kept"), spare(docs, "__id")
+    picked = scratch.table(chosen.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias(mark), "n"), "picked")
+    kept = docs.withColumn(own, F.col("doc_id"))
+    kept = kept.join(picked.select(mark), F.col(own).eqNullSafe(F.col(mark)), "left_semi").select(*columns_of(docs))
     return kept.dropDuplicates(["doc_id"]) if picked.where("n > 1").limit(1).count() else kept
