@@ -1,16 +1,43 @@
 """DuckDB SQL for the queries of this package that SQL can express; the others are tested against brute force.
 
-op5 and op9 learn or list things that SQL can state in full only for op5; op3 is exact containment, so plain SQL
-gives its rows. Regular expressions stay within what both engines read alike.
+Learned models, XXH64 fingerprints and the tokenizer have no SQL form, and the repeated strings of op7 take SQL more
+memory than a machine has. Regular expressions stay within what both engines
+read alike.
 """
 
 from __future__ import annotations
 
+from heddle.llm import secrets
 from heddle.llm.url_filter import LISTED, RULES
 
 _ENTRIES = ", ".join(f"('{key}', '{verdict}', true)" for verdict, key in RULES) + ", " + ", ".join(f"('{key}', 'block', false)" for key in LISTED)
 
+
+
+def _matches(rank: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{pattern}') AS gaps,
+    regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {rule.group}) AS vals
+  FROM d WHERE regexp_matches(t, '{pattern}')"""
+
+
+_BASE = ", ".join(f"'{rule.kind}'" for rule in secrets.BASE_RULES)
+
 ORACLES: dict[str, str] = {
+    "op2_secret_scans": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches(k, rule) for k, rule in enumerate(secrets.RULES))}),
+e AS (SELECT doc_id, rank, kind, hits, gaps, vals, least, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, rank, kind, length(hits[i]) AS size, list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS begin
+  FROM e WHERE length(vals[i]) >= least),
+w AS (SELECT doc_id, kind, rank, begin, kind || ':' || begin::BIGINT || ':' || (begin + size)::BIGINT AS span FROM s),
+g AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY begin, rank) FILTER (WHERE kind IN ({_BASE})) AS base, string_agg(span, ',' ORDER BY begin, rank) AS spans FROM w GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "op3_decontamination": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
