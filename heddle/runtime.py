@@ -45,7 +45,7 @@ class Scratch:
 
 
 #: Rows and bytes of a batch handed to Python at once, where the session sets none itself; texts can be long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship_package(spark: SparkSession) -> None:
