@@ -276,7 +276,7 @@ def _add_level(trie: Trie, rows: DataFrame, level: int, scratch: Scratch) -> Non
                 out.append((shard, np.diff(keys, prepend=U64(0)).tobytes(), np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()))
             parts.clear()
             if out:
-                yield packed_rows(out)
+                yield from packed_rows(out)
 
         for batch in batches:
             for numbers, starts, _ in unpacked(batch.column(0)):

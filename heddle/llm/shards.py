@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -16,9 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm.elias_fano import U64, EliasFano
 
+try:  # arrays of a megabyte or more go back to the system when freed, so a worker's memory follows its live arrays
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+except (AttributeError, OSError):
+    pass  # another C library
+
 #: Text bytes hashed at once and keys summed at once in a worker.
 CHUNK_BYTES = 1 << 18
 BLOCK_KEYS = 1 << 20
+#: Bytes of a batch that a worker sends.
+BATCH_BYTES = 1 << 21
 #: Shards a worker keeps mapped.
 OPEN_SHARDS = 512
 
@@ -122,9 +131,15 @@ def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def packed_rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["shard", "keys", "counts"])
+def packed_rows(rows: list[tuple], names: tuple[str, ...] = ("shard", "keys", "counts")) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and binary blobs, in batches of about BATCH_BYTES."""
+    start, size = 0, 0
+    for k, row in enumerate(rows, 1):
+        size += sum(map(len, row[1:]))
+        if size >= BATCH_BYTES or k == len(rows):
+            part = rows[start:k]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], pa.binary() if j else pa.int32()) for j in range(len(names))], names=list(names))
+            start, size = k, 0
 
 
 class Blocks:
@@ -132,15 +147,15 @@ class Blocks:
 
     SCHEMA = "shard int, keys binary, counts binary"
 
-    def __init__(self, shards: int):
+    def __init__(self, shards: int, limit: int = BLOCK_KEYS):
         self.parts: list[np.ndarray] = []
         self.size = 0
-        self.shards = shards
+        self.shards, self.limit = shards, limit
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(keys)
         self.size += len(keys)
-        if self.size >= BLOCK_KEYS:
+        if self.size >= self.limit:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -154,7 +169,7 @@ class Blocks:
         for a, b in zip(edges, np.append(edges[1:], len(keys))):
             deltas = np.diff(keys[a:b], prepend=U64(0))
             rows.append((int(shards[a]), deltas.tobytes(), np.minimum(counts[a:b], (1 << 32) - 1).astype("<u4").tobytes()))
-        yield packed_rows(rows)
+        yield from packed_rows(rows)
 
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

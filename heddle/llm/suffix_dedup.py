@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano
-from heddle.llm.shards import BYTE_CODES, Blocks, Store, grouped, merged, mixed, powers_for, sequence, shard_of_hash
+from heddle.llm.shards import BYTE_CODES, Blocks, Store, grouped, merged, mixed, packed_rows, powers_for, sequence, shard_of_hash
 from heddle.runtime import Scratch, ship_package
 
 LENGTH = 100
@@ -177,14 +177,10 @@ def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "rows"])
-
-
 class _Sender:
     """Gathers rows and sends them in packed blocks."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __init__(self, shards: int, by: str):
         self.shards, self.by, self.parts, self.size = shards, by, [], 0
@@ -199,7 +195,7 @@ class _Sender:
         if self.size:
             rows = np.concatenate(self.parts)
             self.parts, self.size = [], 0
-            yield _batch(_packed(rows, shard_of_hash(rows[self.by], self.shards)))
+            yield from packed_rows(_packed(rows, shard_of_hash(rows[self.by], self.shards)), ("shard", "rows"))
 
 
 def _distinct(rows: np.ndarray, names: list[str]) -> np.ndarray:
@@ -287,7 +283,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     docs = docs.select("doc_id", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(shards)
+        blocks = Blocks(shards, 1 << 18)
         for batch in batches:
             for found in sampled(_texts(batch.column(1))):
                 yield from blocks.add(found[4])
