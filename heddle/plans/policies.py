@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.operators import evaluation, integrity, policy
@@ -96,13 +96,20 @@ def cyclic_registry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seam_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles whose sides continue each other, and the grids they form: embeddings of a label as 6x6 tiles."""
+    """Grids found from matching sides: each six vectors of a label stand for a 3 by 2 cut of one texture, whose blocks
+    reach over the cuts."""
     from heddle.media.operators import layouts, mutual_best, seams
 
-    vectors = read_table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    # a tile's pixel columns follow from the vector's first values, so neighbours in a label share some
-    side = 6
-    pixel = lambda x, y: F.concat(*[F.unhex(F.lpad(F.hex(F.pmod(F.floor(F.abs(F.col("embedding")[(x * 7 + y * 3 + c) % 64]) * 997).cast("long"), F.lit(256))), 2, "0")) for c in range(3)], F.unhex(F.lit("FF")))
-    tiles = vectors.select(F.col("label").cast("string").alias("collection"), F.col("vec_id").alias("tile"), F.lit(side).alias("side"), F.concat(*[pixel(x, y) for y in range(side) for x in range(side)]).alias("rgba"))
-    links = mutual_best(seams(tiles), ["collection", "axis"])
-    return layouts(links)
+    side, block = 12, 4
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    cells = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", nth.alias("n"))
+    cells = cells.select(F.concat_ws("-", "label", F.floor(F.col("n") / 6)).alias("collection"), F.col("vec_id").alias("tile"), (F.col("n") % 3).alias("gx"), F.floor(F.col("n") % 6 / 3).alias("gy"))
+
+    def shade(i: Column, channel: int) -> Column:
+        x, y = F.col("gx") * side + i % side, F.col("gy") * side + F.floor(i / side)
+        value = F.pmod(F.xxhash64("collection", F.floor((x + 1) / block), F.floor((y + 1) / block), F.lit(channel)), F.lit(256))
+        return F.lpad(F.hex(value), 2, "0")
+
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.concat(shade(i, 0), shade(i, 1), shade(i, 2), F.lit("FF")))
+    tiles = cells.select("collection", "tile", F.lit(side).alias("side"), F.unhex(F.array_join(pixels, "")).alias("rgba"))
+    return layouts(mutual_best(seams(tiles), ["collection", "axis"]))
