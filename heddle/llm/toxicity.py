@@ -4,10 +4,10 @@ A word is the bag of its hashed character n-grams and itself; a window of words
 a linear layer with a softmax gives its probability. Unseen misspellings share n-gram vectors with what was seen.
 Few words may make a long document toxic, so a document scores as its worst window, and training picks, round by round,
 the worst window of each toxic document and the worst of the others (multiple-instance learning). A last logistic step on
-worst windows sets the scale. The layers are linear, so once trained each word is one number, and a document
+worst windows sets the scale, and its shift is moved from the sample's odds to the odds among all labels. The layers are linear, so once trained each word is one number, and a document
 costs a look-up per word and a running sum.
 
-Training reads about SAMPLE_ROWS labelled documents of each label, chosen by hash of the id.
+Training reads about SAMPLE_ROWS toxic and OTHER_ROWS other labelled documents, chosen by hash of the id.
 
 Odd input: null and empty texts have no window and score as the bias alone would for a neutral one; null labels and
 null ids teach nothing; a document labelled twice counts as toxic if either label says so; with only one label, or none,
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from heddle.llm.folds import sampled
 from heddle.runtime import ship_package
 
-#: Labelled documents of each label (toxic or not) that are learned from at most (about).
-SAMPLE_ROWS = 800
+#: Toxic and other labelled documents that are learned from at most (about).
+SAMPLE_ROWS, OTHER_ROWS = 800, 1600
 WINDOW = 6
 DIMENSION = 12
 BUCKETS = 1 << 16
@@ -42,7 +42,7 @@ BATCH = 512
 #: Batches of a round at least; a small sample is gone through more often.
 LEAST_STEPS = 150
 #: Windows drawn from a document in the first round, and worst windows kept of a harmless one in later rounds.
-DRAWN = 24
+DRAWN = 12
 WORST = 6
 CACHE_WORDS = 500_000
 THRESHOLD = 0.3
@@ -182,7 +182,8 @@ def _calibrated(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * mean / spread
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str | None], labels: np.ndarray, odds: float | None = None, seed: int = 7) -> ToxicityModel:
+    """A model of texts and their labels; ``odds`` of toxic to other ones outside the sample, if they differ."""
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(None)
     net = Net(seed)
@@ -236,10 +237,12 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Toxicit
     scorer = Scorer(model)
     worst = np.array([w.max() if len(w := scorer.windows(t)) else model.bias for t in texts])
     model.scale, model.shift = _calibrated(worst, labels.astype(float))
+    if odds is not None:
+        model.shift += float(np.log(odds) - np.log(labels.sum() / (labels == 0).sum()))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, other_rows: int = OTHER_ROWS) -> ToxicityModel:
     """Train on labelled documents; ``docs`` and ``labels`` must hold only rows that may be learned from.
 
     The chosen ids are few by construction, so they are broadcast and no text is shuffled.
@@ -248,10 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     sizes = {r[0]: r[1] for r in usable.groupBy("__toxic").agg(F.count("*")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(None)
-    share = F.when(F.col("__toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, sample_rows / sizes[0])))
+    share = F.when(F.col("__toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, other_rows / sizes[0])))
     chosen = usable.where(sampled(F.col("doc_id"), share))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return train([t if isinstance(t, str) else None for t in rows["text"]], rows["__toxic"].to_numpy(np.int64))
+    return train([t if isinstance(t, str) else None for t in rows["text"]], rows["__toxic"].to_numpy(np.int64), sizes[1] / sizes[0])
 
 
 _SCORERS: dict[str, Scorer] = {}
