@@ -141,13 +141,16 @@ class Trie:
     def score(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token: the longest kept n-gram's, with the weights of the contexts left behind."""
         walked = self.walk(numbers, starts, self.order)
-        value = self.unigram(self.counts_of(numbers))
-        for level in range(2, self.order + 1):
+        value, open_ = np.zeros(len(numbers)), np.ones(len(numbers), bool)
+        for level in range(self.order, 1, -1):
             shards, places = walked[level - 1]
-            context_shards, context = walked[level - 2]
-            context_shards, context = np.concatenate([[-1], context_shards[:-1]]), np.where(starts, -1, np.concatenate([[-1], context[:-1]]))
-            left = value + self.codes(level, "left", context_shards, context)
-            value = np.where(places >= 0, self.codes(level, "chance", shards, places), left)
+            found = open_ & (places >= 0)
+            value += self.codes(level, "chance", shards, np.where(found, places, -1))
+            open_ &= ~found
+            shards, context = (np.concatenate([[-1], x[:-1]]) for x in walked[level - 2])
+            value += self.codes(level, "left", shards, np.where(open_ & ~starts, context, -1))
+        rest = np.flatnonzero(open_)
+        value[rest] += self.unigram(self.counts_of(numbers[rest]))
         return value
 
 
