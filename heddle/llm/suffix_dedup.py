@@ -16,6 +16,10 @@ three. The steps are
    sorted, and adjacent equal names compared; all but the first repeat;
 4. the strings found are united per document and cut out.
 
+Before anything is shuffled each task settles what it can alone: of equal triples or names in a block only the first goes
+on, and an anchor with many different triples is known to have several without sending them. So a passage that a third
+of all documents share reaches its shard as a few rows per task.
+
 Names are 64-bit hashes and not dense ranks: equal strings get equal names, and two different ones of n strings share a
 name with a chance of n^2 / 2^65. No step pairs the members of a group, and no text is shuffled: what a document
 must know comes from sorted shard files in the shared folder, by its key.
@@ -27,7 +31,7 @@ one id are ordered by their hash; null ids come after all others. A text shorter
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,9 @@ _PLACE = U64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
 _SCALE = U64(0x9E3779B97F4A7C15)
 
+#: Triples of one anchor in a block of one task from which they bypass the anchor's shard.
+CROWD = 64
+
 #: One sampled position: its anchor's and its triple's name, the document, the anchor's start, and the first and last start
 #: of the strings that have this anchor.
 SAMPLE = np.dtype([("anchor", "<u8"), ("triple", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4"), ("low", "<u4"), ("high", "<u4")])
@@ -178,12 +185,15 @@ def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 class _Sender:
-    """Gathers rows and sends them in packed blocks."""
+    """Gathers rows, settles what one task can settle alone, and sends the rest in packed blocks.
+
+    Shards from 0 on hold rows to compare, by the hash of a name; from ``shards`` on ranges to cut, from ``2 * shards`` on
+    open ranges, both by document."""
 
     LIMIT = 1 << 17
 
-    def __init__(self, shards: int, by: str):
-        self.shards, self.by, self.parts, self.size = shards, by, [], 0
+    def __init__(self, shards: int, by: str, combine: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.shards, self.by, self.combine, self.parts, self.size = shards, by, combine, [], 0
 
     def add(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(rows)
@@ -193,9 +203,18 @@ class _Sender:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            rows = np.concatenate(self.parts)
+            send, cut, unsure = self.combine(np.concatenate(self.parts))
             self.parts, self.size = [], 0
-            yield from packed_rows(_packed(rows, shard_of_hash(rows[self.by], self.shards)), ("shard", "rows"))
+            out = _packed(send, shard_of_hash(send[self.by], self.shards))
+            for k, ranges in enumerate((_ranges(cut), _ranges(unsure)), 1):
+                out += _packed(ranges, k * self.shards + shard_of_hash(ranges["key"], self.shards))
+            yield from packed_rows(out, ("shard", "rows"))
+
+
+def _settled(shard: int, shards: int, table: pa.Table) -> list[tuple] | None:
+    """Ranges that a sender settled, as rows (shard, kind, rows); None for a shard of rows to compare."""
+    kind = shard // shards
+    return [(shard % shards, ("cut", "open")[kind - 1], blob) for blob in table.column("rows").to_pylist()] if kind else None
 
 
 def _distinct(rows: np.ndarray, names: list[str]) -> np.ndarray:
@@ -206,31 +225,57 @@ def _distinct(rows: np.ndarray, names: list[str]) -> np.ndarray:
     return rows
 
 
-def compare_triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, open) of the samples of whole anchors: where a triple stood before, all its strings repeat; the first of
-    each triple of an anchor that has several is open."""
+def _triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted rows, marks of those at the place of their triple's first, each row's anchor, and its triple's number within
+    the anchor."""
     rows = _distinct(rows, ["anchor", "triple", "doc", "key", "at", "low", "high"])
     if not len(rows):
-        return rows, rows
+        return rows, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     fresh_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
     fresh = fresh_anchor | np.concatenate([[True], rows["triple"][1:] != rows["triple"][:-1]])
     head = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
     leading = (rows["key"] == head["key"]) & (rows["at"] == head["at"])
-    anchor = np.cumsum(fresh_anchor) - 1
-    triples = np.bincount(anchor, fresh)
-    return rows[~leading], rows[leading & (triples[anchor] > 1)]
+    anchor, nth = np.cumsum(fresh_anchor) - 1, np.cumsum(fresh) - 1
+    return rows, leading, anchor, nth - nth[np.flatnonzero(fresh_anchor)][anchor]
+
+
+def compare_triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, open) of the samples of whole anchors: where a triple stood before, all its strings repeat; the first of
+    each triple of an anchor that has several is open."""
+    rows, leading, anchor, nth = _triples(rows)
+    several = np.zeros(int(anchor[-1]) + 1 if len(rows) else 0, bool)
+    several[anchor[nth > 0]] = True
+    return rows[~leading], rows[leading & several[anchor]]
+
+
+def combine_triples(rows: np.ndarray, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(to send, repeated, open) of one task's samples: only the first of equal triples goes on; and of an anchor with
+    more than ``crowd`` triples here, which is then known to have several, two go on for all, and all are open."""
+    rows, leading, anchor, nth = _triples(rows)
+    crowded = np.zeros(int(anchor[-1]) + 1 if len(rows) else 0, bool)
+    crowded[anchor[nth >= crowd]] = True
+    many = crowded[anchor]
+    return rows[leading & (~many | (nth < 2))], rows[~leading], rows[leading & many]
 
 
 def compare_strings(rows: np.ndarray) -> np.ndarray:
     """The strings whose name stood before."""
+    return combine_strings(rows)[1]
+
+
+def combine_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each name, the others, none open)."""
     rows = _distinct(rows, ["name", "doc", "key", "at"])
-    return rows[1:][rows["name"][1:] == rows["name"][:-1]] if len(rows) else rows
+    again = np.concatenate([[False], rows["name"][1:] == rows["name"][:-1]]) if len(rows) else np.zeros(0, bool)
+    return rows[~again], rows[again], rows[:0]
 
 
 def _ranges(rows: np.ndarray) -> np.ndarray:
+    """Samples or single strings as ranges of string starts."""
     out = np.empty(len(rows), RANGE)
-    for name in RANGE.names:
-        out[name] = rows[name] if name in rows.dtype.names else rows["at"]
+    single = "low" not in rows.dtype.names
+    out["key"], out["at"] = rows["key"], 0 if single else rows["at"]
+    out["low"], out["high"] = (rows["at"], rows["at"]) if single else (rows["low"], rows["high"])
     return out
 
 
@@ -300,7 +345,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     store.publish(spark, scratch.table(grouped(docs.mapInArrow(anchors, Blocks.SCHEMA), twice, made), "anchors"))
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(shards, "anchor")
+        sender = _Sender(shards, "anchor", combine_triples)
         for batch in batches:
             texts, ids = _texts(batch.column(1)), _ids(batch.column(0))
             keys = doc_keys(ids, texts)
@@ -320,6 +365,9 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         yield from sender.flush()
 
     def triples(shard: int, table: pa.Table) -> list[tuple]:
+        settled = _settled(shard, shards, table)
+        if settled is not None:
+            return settled
         again, unsure = compare_triples(_unpacked(table.column("rows").to_pylist(), SAMPLE))
         out = [(s, "cut", b) for s, b in _packed(_ranges(again), shard_of_hash(again["key"], shards))]
         return out + [(s, "open", b) for s, b in _packed(_ranges(unsure), shard_of_hash(unsure["key"], shards))]
@@ -336,7 +384,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     store.publish(spark, scratch.table(grouped(sorted_triples.where("kind = 'open'").select("shard", "rows"), filed("open"), made), "open"))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(shards, "name")
+        sender = _Sender(shards, "name", combine_strings)
         for batch in batches:
             texts, ids = _texts(batch.column(1)), _ids(batch.column(0))
             keys = doc_keys(ids, texts)
@@ -357,21 +405,18 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         yield from sender.flush()
 
     def names(shard: int, table: pa.Table) -> list[tuple]:
-        again = compare_strings(_unpacked(table.column("rows").to_pylist(), STRING))
-        return _packed(_ranges_of_runs(again), shard_of_hash(again["key"], shards)) if len(again) else []
-
-    sorted_strings = scratch.table(grouped(docs.mapInArrow(strings, PACKED), names, PACKED), "strings")
-    cuts = sorted_triples.where("kind = 'cut'").select("shard", "rows").unionByName(sorted_strings)
+        settled = _settled(shard, shards, table)
+        if settled is not None:
+            return settled
+        again = _ranges(compare_strings(_unpacked(table.column("rows").to_pylist(), STRING)))
+        return [(s, "cut", b) for s, b in _packed(again, shard_of_hash(again["key"], shards))]
+
+    sorted_strings = scratch.table(grouped(docs.mapInArrow(strings, PACKED), names, "shard int, kind string, rows binary"), "strings")
+    cuts = sorted_triples.unionByName(sorted_strings).where("kind = 'cut'").select("shard", "rows")
     store.publish(spark, scratch.table(grouped(cuts, filed("cut"), made), "cuts"))
     return store, shards
 
 
-def _ranges_of_runs(rows: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), RANGE)
-    out["key"], out["at"], out["low"], out["high"] = rows["key"], 0, rows["at"], rows["at"]
-    return out
-
-
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

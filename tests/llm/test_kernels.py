@@ -103,7 +103,7 @@ def brute_removed(docs):
     return out
 
 
-def local_removed(docs):
+def local_removed(docs, crowd):
     """The operator's kernels, in one process."""
     ids = np.arange(len(docs))
     keys = suffix_dedup.doc_keys(ids, docs)
@@ -113,15 +113,23 @@ def local_removed(docs):
         for name, values in (("anchor", own), ("triple", triple), ("doc", ids[text]), ("key", keys[text]), ("at", at), ("low", low), ("high", high)):
             rows[name] = values
         parts.append(rows)
-    again, unsure = suffix_dedup.compare_triples(np.concatenate(parts) if parts else np.empty(0, suffix_dedup.SAMPLE))
+    # two tasks settle what they can, then the shard compares the rest
+    half = [np.concatenate([np.empty(0, suffix_dedup.SAMPLE), *parts[k::2]]) for k in range(2)]
+    rows = np.concatenate(half)
+    half = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    sent = [suffix_dedup.combine_triples(h, crowd) for h in half]
+    again, unsure = suffix_dedup.compare_triples(np.concatenate([x[0] for x in sent]))
+    again, unsure = np.concatenate([again, *[x[1] for x in sent]]), np.concatenate([unsure, *[x[2] for x in sent]])
     strings = []
     for r in unsure:
         text = docs[int(r["doc"])]
         for p in range(r["low"], r["high"] + 1):
             name = suffix_dedup.Names(np.frombuffer(text[p : p + 100], np.uint8))(np.array([0]), np.array([100]))[0]
             strings.append((name, r["doc"], r["key"], p))
-    more = suffix_dedup.compare_strings(np.array(strings, suffix_dedup.STRING))
-    ranges = np.concatenate([suffix_dedup._ranges(again), suffix_dedup._ranges_of_runs(more)])
+    strings = np.array(strings, suffix_dedup.STRING)
+    sent = [suffix_dedup.combine_strings(h) for h in (strings[::2], strings[1::2])]
+    more = np.concatenate([suffix_dedup.compare_strings(np.concatenate([x[0] for x in sent])), *[x[1] for x in sent]])
+    ranges = np.concatenate([suffix_dedup._ranges(again), suffix_dedup._ranges(more)])
     out = []
     for text, key in zip(docs, keys):
         marks = np.zeros(len(text), bool)
@@ -132,8 +140,9 @@ def local_removed(docs):
     return out
 
 
+@pytest.mark.parametrize("crowd", [0, 1, 64])
 @pytest.mark.parametrize("piece", [350, 1 << 17])
-def test_repeated_strings(piece, monkeypatch):
+def test_repeated_strings(piece, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rnd = random.Random(3)
     for _ in range(6):
@@ -147,7 +156,7 @@ def test_repeated_strings(piece, monkeypatch):
             text += text[a : a + rnd.choice([0, 99, 100, 101, 150])] + b" " * rnd.choice([0, 99, 100, 250])
             docs.append(bytes(text)[rnd.randrange(100) :])
         docs = [d for k, d in enumerate(docs) if d not in docs[:k]] + [b"", b"x" * 99]
-        for got, want in zip(local_removed(docs), brute_removed(docs)):
+        for got, want in zip(local_removed(docs, crowd), brute_removed(docs)):
             assert (got == want).all()
 
 
