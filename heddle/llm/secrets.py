@@ -47,6 +47,8 @@ FORMAT_RULES = (
 )
 RULES = BASE_RULES + FORMAT_RULES
 RULE_VERSION = "1"
+#: Spans found up to which redaction broadcasts them instead of shuffling all texts by blob; some 100 bytes each.
+BROADCAST_SPANS = 200_000
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -130,9 +132,11 @@ def redact(docs: DataFrame, marker: str = "[secret]", rules: tuple[Rule, ...] =
     """``docs`` with every found span replaced by ``marker`` (overlapping spans by one), and n_chars counted anew
     where there is such a column. Blobs are scanned once through a ledger; texts without a finding stay as they are."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    ledger = scan(docs, scratch, None, rules)
+    ledger = scratch.table(scan(docs, scratch, None, rules), "ledger")
     own, hit, spans = spare(docs, "__blob"), spare(docs, "__found"), spare(docs, "__spans")
     found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(hit), F.col("spans").alias(spans))
+    if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS:
+        found = F.broadcast(found)
     files = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = files.join(found, F.col(own) == F.col(hit), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -33,6 +33,8 @@ SEGMENTS = 4
 WIDTH = 64 // SEGMENTS
 #: Distinct fingerprints in one bucket beyond which it is linked by shared one-bit neighbours instead of pairs.
 HOT = 64
+#: Ids of removed documents up to which they are broadcast instead of shuffling all texts by id.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -135,12 +137,18 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with the columns of ``docs``; a row repeated under that
-    id is kept once. Rows with a null id are kept (one of them) only where no row of their component has an id."""
+    """The document with the least id of each component, with the columns of ``docs``; a row repeated under that id is
+    kept once. An id that stands for several texts stays if one of them is its component's first; rows with a null id
+    cannot be told apart by it and all stay."""
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    chosen = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    mark, own = spare(docs, "__kept"), spare(docs, "__id")
-    picked = scratch.table(chosen.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias(mark), "n"), "picked")
-    kept = docs.withColumn(own, F.col("doc_id"))
-    kept = kept.join(picked.select(mark), F.col(own).eqNullSafe(F.col(mark)), "left_semi").select(*columns_of(docs))
-    return kept.dropDuplicates(["doc_id"]) if picked.where("n > 1").limit(1).count() else kept
+    other = F.col("doc_id") != F.col("component_id")
+    per_id = components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(other).alias("gone"), F.count("*").alias("n"))
+    per_id = scratch.table(per_id.where("gone or n > 1"), "per-id")
+    n_gone, n_repeated = per_id.agg(F.count_if("gone"), F.count_if(~F.col("gone"))).first()
+    mark = spare(docs, "__gone")
+    gone = per_id.where("gone").select(F.col("doc_id").alias(mark))
+    gone = F.broadcast(gone) if n_gone <= BROADCAST_IDS else gone
+    kept = docs.join(gone, F.col("doc_id") == F.col(mark), "left_anti").select(*columns_of(docs))
+    if not n_repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

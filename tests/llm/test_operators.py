@@ -359,12 +359,24 @@ def test_pipeline_stages(spark, tables):
         elif name == "secret_scan":
             assert len(after) == len(before) and not any(brute_spans(r["text"]) for r in after)
             clean = {r["doc_id"]: r["text"] for r in before if not brute_spans(r["text"])}
-            assert all(r["text"] == clean[r["doc_id"]] for r in after if r["doc_id"] in clean)
+            assert all(r["text"] == clean[r["doc_id"]] for r in after if r["doc_id"] is not None and r["doc_id"] in clean)
         else:
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
         docs, before = out, after
 
 
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_joins_beyond_the_broadcast_bound_give_the_same(spark, tables, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", bound)
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    kept = simhash.keep_one(docs)
+    groups = brute_components([(d[0], d[1]) for d in DOCS])
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for _, _, c in groups if c is not None})
+    assert kept.where("doc_id is null").count() == 3
+    assert not any(brute_spans(r["text"]) for r in secrets.redact(docs).collect())
+
+
 def test_pipeline_runs_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
