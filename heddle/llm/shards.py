@@ -18,10 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm.elias_fano import U64, EliasFano
 
 try:  # arrays of a megabyte or more go back to the system when freed, so a worker's memory follows its live arrays
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.malloc_trim(0)
     pa.set_memory_pool(pa.system_memory_pool())
 except (AttributeError, OSError):
-    pass  # another C library
+    _LIBC = None  # another C library
+
+
+def release() -> None:
+    """Give what small freed objects held back to the system; called after each block."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
 
 #: Text bytes hashed at once and keys summed at once in a worker.
 CHUNK_BYTES = 1 << 18
@@ -170,6 +179,8 @@ class Blocks:
             deltas = np.diff(keys[a:b], prepend=U64(0))
             rows.append((int(shards[a]), deltas.tobytes(), np.minimum(counts[a:b], (1 << 32) - 1).astype("<u4").tobytes()))
         yield from packed_rows(rows)
+        del rows, keys, counts
+        release()
 
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +268,7 @@ def sequence(arrays: dict, name: str) -> EliasFano:
 def grouped(rows: DataFrame, build: Callable[[int, pa.Table], list[tuple]], schema: str) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         made = build(key[0].as_py(), table)
+        release()
         kinds = [pa.int32() if k == "shard" else pa.int64() if t == "long" else pa.string() if t == "string" else pa.binary() for k, t in (x.split() for x in schema.split(", "))]
         return pa.table([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano
-from heddle.llm.shards import BYTE_CODES, Blocks, Store, grouped, merged, mixed, packed_rows, powers_for, sequence, shard_of_hash
+from heddle.llm.shards import BYTE_CODES, Blocks, Store, grouped, merged, mixed, packed_rows, powers_for, release, sequence, shard_of_hash
 from heddle.runtime import Scratch, ship_package
 
 LENGTH = 100
@@ -208,7 +208,10 @@ class _Sender:
             out = _packed(send, shard_of_hash(send[self.by], self.shards))
             for k, ranges in enumerate((_ranges(cut), _ranges(unsure)), 1):
                 out += _packed(ranges, k * self.shards + shard_of_hash(ranges["key"], self.shards))
+            del send, cut, unsure
             yield from packed_rows(out, ("shard", "rows"))
+            del out
+            release()
 
 
 def _settled(shard: int, shards: int, table: pa.Table) -> list[tuple] | None:
