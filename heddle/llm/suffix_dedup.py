@@ -51,6 +51,8 @@ _PLACE = U64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
 _SCALE = U64(0x9E3779B97F4A7C15)
 
+#: Shards for each shuffle partition: a shard is compared in memory, so they are kept small.
+SHARDS_PER_PARTITION = 2
 #: Triples of one anchor in a block of one task from which they bypass the anchor's shard.
 CROWD = 64
 
@@ -326,7 +328,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     """Finds all repeated strings of (doc_id, text); the store has each document's ranges under ``cut``."""
     spark = docs.sparkSession
     ship_package(spark)
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or SHARDS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store = Store(scratch.root)
     docs = docs.select("doc_id", "text")
 
@@ -352,7 +354,9 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         for batch in batches:
             texts, ids = _texts(batch.column(1)), _ids(batch.column(0))
             keys = doc_keys(ids, texts)
-            for text, at, low, high, own, triple in sampled(texts):
+            found = list(sampled(texts))
+            if found:  # the whole batch at once, so that each shard is asked once
+                text, at, low, high, own, triple = (np.concatenate(x) for x in zip(*found))
                 kept = np.zeros(len(own), bool)
                 of = shard_of_hash(own, shards)
                 order = np.argsort(of, kind="stable")
