@@ -98,13 +98,23 @@ m AS (SELECT r, floor((2 * 1000 * sum(toxic) + any_value(n)) / (2 * any_value(n)
 o AS (SELECT list_sort(list(m)) AS l, any_value(n) AS n FROM m)
 SELECT n, l[4] AS low_milli, l[125] AS high_milli FROM o""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the share of toxic documents in one language, from 128 deterministic resamples."""
+    """Interval of the share of toxic documents in German, as the SQL states it, from 128 deterministic resamples;
+    ``bootstrap_ci_all`` takes all labelled rows."""
     from pyspark.sql import Window
 
     rows = judged(spark, sf_dir).where("lang = 'de'").select("toxic", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("ordinal"))
     return E.bootstrap(rows, "toxic", "ci")
 
 
+@query()
+def bootstrap_ci_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the share of toxic documents over all labelled rows, from 128 deterministic resamples."""
+    from pyspark.sql import Window
+
+    rows = read_table(spark, sf_dir, "labels").select("toxic", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("ordinal"))
+    return E.bootstrap(rows, "toxic", "ci")
+
+
 @query(f"""
 WITH e AS (SELECT o_custkey AS k, o_orderpriority AS v, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
 o AS (SELECT o_custkey AS k, o_orderpriority AS v, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2),

@@ -1,6 +1,9 @@
 """Queries over whole tables that have no oracle, against brute force."""
 
+import hashlib
+
 from heddle.plans import catalogue
+from tests.test_catalogue import SF
 
 
 def edits(a, b):
@@ -21,3 +24,11 @@ def test_levenshtein_cer_compares_whole_texts(spark, tmp_path):
     size = sum(len(t or "") for _, t in items)
     got = catalogue.QUERIES["levenshtein_cer_whole"](spark, str(tmp_path)).first()
     assert n > 800 and tuple(got) == (n, size, (2 * n * 10_000 + size) // (2 * size))
+
+
+def test_bootstrap_takes_all_labelled_rows(spark):
+    toxic = [r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").orderBy("doc_id").collect()]
+    n = len(toxic)
+    draw = lambda r, k: int(hashlib.sha256(f"ci:{r}:{k}".encode()).hexdigest()[:16], 16) % n
+    means = sorted((2000 * sum(toxic[draw(r, k)] for k in range(n)) + n) // (2 * n) for r in range(128))
+    assert tuple(catalogue.QUERIES["bootstrap_ci_all"](spark, SF).first()) == (n, means[3], means[124])
