@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.names import columns_of, spare
+from heddle.llm.near_copies import keep_first, text_node
 from heddle.operators.components import connected_components
 from heddle.runtime import Scratch, ship_package
 
@@ -118,18 +118,21 @@ def links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def components(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``doc_id``, signed ``fp`` and ``component_id``."""
+def components(docs: DataFrame, hot: int = HOT, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): ``doc_id``, signed ``fp``, ``component_id`` and, if columns are asked for
+    in ``also``, those and ``component`` (one fingerprint of the component, the same for all its rows)."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "simhash")
-    marked = scratch.table(docs.select("doc_id", simhash("text").alias("fp")), "marked")
+    extra = [column.alias(name) for name, column in (also or {}).items()]
+    marked = scratch.table(docs.select("doc_id", simhash("text").alias("fp"), *extra), "marked")
     classes = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = scratch.table(links(classes.select("fp"), scratch, hot).distinct(), "edges")
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     named = classes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    asked = ["component"] if also else []
+    return marked.join(named.join(ids, "component").select("fp", *asked, "component_id"), "fp").select("doc_id", "fp", *(also or {}), *asked, "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -137,18 +140,7 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with the columns of ``docs``; a row repeated under that id is
-    kept once. An id that stands for several texts stays if one of them is its component's first; rows with a null id
-    cannot be told apart by it and all stay."""
-    scratch = Scratch(docs.sparkSession, "simhash-kept")
-    other = F.col("doc_id") != F.col("component_id")
-    per_id = components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(other).alias("gone"), F.count("*").alias("n"))
-    per_id = scratch.table(per_id.where("gone or n > 1"), "per-id")
-    n_gone, n_repeated = per_id.agg(F.count_if("gone"), F.count_if(~F.col("gone"))).first()
-    mark = spare(docs, "__gone")
-    gone = per_id.where("gone").select(F.col("doc_id").alias(mark))
-    gone = F.broadcast(gone) if n_gone <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col(mark), "left_anti").select(*columns_of(docs))
-    if not n_repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """The document with the least id of each component, with the columns of ``docs``, decided for each id and text: an id
+    that stands for texts of several components stays with those that head theirs. Equal rows are kept once; rows with a
+    null id cannot be told apart and all stay."""
+    return keep_first(docs, components(docs, also={"node": text_node()}), BROADCAST_IDS)

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from heddle.llm import near_copies
+from heddle.llm import near_copies, simhash
 
 
 def brute_shingles(text):
@@ -69,3 +69,10 @@ def test_different_texts_under_one_id_stay(spark):
     rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, c + " end")]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, kept)) == Counter([(1, a), (5, b), (5, c)])
+
+
+def test_simhash_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (5, b)])
