@@ -99,13 +99,14 @@ class WordIds(dict):
         return np.array(self.pieces.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids_of(self, text: str) -> bytes:
-        if not text.isascii() and _ODD.search(text) or "<|" in text or _CONTROL.search(text):
+        lower = text.lower()  # can leave the range: some capitals in it have small letters beyond it
+        if not text.isascii() and (_ODD.search(text) or _ODD.search(lower)) or "<|" in text or _CONTROL.search(text):
             return self.whole(text)
         if len(self) > CACHE_WORDS:
             self.clear()
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 _WORDS: dict[str, WordIds] = {}

@@ -166,6 +166,12 @@ def test_packing_equals_the_tokenizer():
         assert words.ids_of(text) == words.whole(text)
 
 
+def test_packing_equals_the_tokenizer_where_lower_case_leaves_the_range():
+    words = packing.word_ids(packing.tokenizer_path())
+    for text in ["ƁAƊO YA ZO", "Ɗan kasuwa", "Əli and", "İstanbul", *(f"x{chr(c)}Y z" for c in range(0xA1, 0x250))]:
+        assert words.ids_of(text) == words.whole(text), text
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 @settings(max_examples=80, deadline=None)
 def test_plan_uses_every_piece_once_and_fits(histogram):
