@@ -70,13 +70,24 @@ def uuid5_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").select("n_nationkey", uuid5(NAMESPACE, F.lit("nation"), F.col("n_name")).alias("id"))
 
 
+#: Part keys that share a frame, and so its most pixels; pixels in a row of it.
+FRAME_KEYS, FRAME_WIDTH = 4096, 16
+
+
+def part_frames(parts: DataFrame) -> DataFrame:
+    """One media per brand with each of its parts as a pixel, in frames of FRAME_KEYS part keys; the last row of a frame is
+    filled up with transparent pixels."""
+    pixel = F.concat(*[F.lpad(F.hex(F.pmod(F.xxhash64("p_partkey", F.lit(k)), F.lit(256))), 2, "0") for k in range(3)], F.lit("FF"))
+    pixels = F.array_sort(F.collect_list(F.struct("p_partkey", pixel.alias("px"))))
+    frames = parts.groupBy(F.col("p_brand").alias("media_id"), F.floor(F.col("p_partkey") / FRAME_KEYS).cast("int").alias("frame_index")).agg(pixels.alias("ps"))
+    height = F.ceil(F.size("ps") / FRAME_WIDTH).cast("int")
+    rgba = F.unhex(F.rpad(F.array_join("ps.px", ""), height * (8 * FRAME_WIDTH), F.lit("0")))
+    return frames.select("media_id", "frame_index", F.lit(FRAME_WIDTH).alias("width"), height.alias("height"), F.lit("once").alias("loop_mode"), rgba.alias("rgba"))
+
+
 @query()
 def palette_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of tiny frames drawn from parts: one media per brand, its parts as pixels."""
+    """Signals of frames drawn from parts: one media per brand, all its parts as pixels."""
     from heddle.media.operators import analyse
 
-    parts = read_table(spark, sf_dir, "part")
-    pixel = F.concat(*[F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("p_partkey", F.lit(k)), F.lit(256))), 2, "0")) for k in range(3)], F.unhex(F.lit("FF")))
-    rows = parts.select("p_brand", "p_size", pixel.alias("px"))
-    frames = rows.groupBy("p_brand", "p_size").agg(F.min("px").alias("px")).select(F.concat_ws("-", "p_brand", "p_size").alias("media_id"), F.lit(0).alias("frame_index"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit("once").alias("loop_mode"), F.concat("px", "px", "px", "px").alias("rgba"))
-    return analyse(frames)
+    return analyse(part_frames(read_table(spark, sf_dir, "part")))
