@@ -111,6 +111,7 @@ class EliasFano:
         low = values[inside] & ((U64(1) << U64(self.low_bits)) - U64(1))
         begin = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - high + 1, 0)
         end = self._select0(high) - high
+        stop = end.copy()
         live = np.flatnonzero(begin < end)
         while len(live):  # halve the runs of equal high bits
             middle = (begin[live] + end[live]) >> 1
@@ -118,9 +119,9 @@ class EliasFano:
             begin[live] = np.where(less, middle + 1, begin[live])
             end[live] = np.where(less, end[live], middle)
             live = live[begin[live] < end[live]]
-        limit = np.minimum(begin, self.n - 1)
-        equal = (begin < self.n) & (self[limit] == values[inside])
-        out[inside[equal]] = begin[equal]
+        some = np.flatnonzero(begin < stop)  # the high bits are equal within a run
+        some = some[unpack_bits(self.low, self.low_bits, begin[some]) == low[some]]
+        out[inside[some]] = begin[some]
         return out
 
 

@@ -1,345 +1,587 @@
 """LM scoring: an Elias-Fano n-gram trie with quantised smoothed probabilities in memory-mapped levels.
 
-Levels, each cut into shards by the hash of an n-gram's first word:
+Words are numbered by shard and, within a shard, by the 128-bit hash of their bytes. Level 1 of a shard is the sorted high
+halves of the hashes in Elias-Fano form, the low halves as a check, and exact counts. Level k > 1 holds for each
+(k-1)-gram a range of following word numbers. Ranges are bounded by monotone pointers and the numbers are made monotone by
+adding up ranges, both in Elias-Fano form. A word is found by successor search relative to its context: the value where
+the context's range begins, plus the word's number.
 
-* level 1: the sorted 64-bit hashes of all words seen in training, with their exact counts; a word's number is its rank;
-* level k > 1: for each kept (k-1)-gram a range of following word numbers. Ranges are bounded by monotone pointers and the
-  numbers are made monotone by adding up ranges, both in Elias-Fano form. A word is found by successor search relative to
-  its context: the value where the context's range begins, plus the word's number.
+Each n-gram has its absolutely discounted share of its context and, as a context, the weight it leaves to shorter ones,
+both as one-byte codes of a code book; a token's probability interpolates them from single words up. Every n-gram seen in
+training is kept; ``keep_from`` above 1 prunes those of two or more words seen less often.
 
-Each kept n-gram has an interpolated, absolutely discounted probability and, as a context, the weight it leaves to shorter
-ones, both as one-byte codes of a code book. N-grams of two or more words are kept from KEEP_FROM sightings; words seen
-less often cannot be part of one, so they are never counted there, which loses nothing.
+All n-grams of the greatest order are counted once, over all training documents; shorter ones are their beginnings (texts
+are padded after the end for that). Each task sorts and sums blocks of its own n-grams, which are shuffled as packed trees
+by shard and merged. An n-gram's shard is that of its first word. A word that alone fills more than a shard is dealt over as
+many shards as it fills, by its second word. The number of shards follows from the bytes of the training texts.
 
-Counting covers all training documents: every task sums its own n-grams in sorted arrays, which are shuffled as packed
-blocks by shard and merged. The shards are files in the shared folder that all workers map, so memory holds only what
-queries touch; where that folder is not a mounted one, Spark hands the files to the executors.
+The shards are files in the shared folder that workers map, so memory holds only what queries touch; the n-grams of a run
+of texts are looked up once each and in order.
 
 Odd input: a null text counts as empty, which is the end token alone; null ids are not held out and not learned from;
-repeated rows are learned as often as they occur; without training rows N, V and all counts are 0.
+repeated rows are learned as often as they occur; without training rows N, V and all counts are 0. Extra columns are not
+read. A very long text is one row of word numbers in a worker's memory, four bytes each. Equal texts score equally.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano, quantise
-from heddle.llm.shards import BLOCK_KEYS, Blocks, Store, grouped, merged, packed_rows, sequence, shard_of_hash, summed, text_chunks, token_hashes
+from heddle.llm.shards import Store, grouped, packed_rows, release, sequence, shard_of_hash
 from heddle.runtime import Scratch, ship_package
 
 ORDER = 3
-KEEP_FROM = 2
+LONGEST_ORDER = 5
+KEEP_FROM = 1
 DISCOUNT = 0.75
-#: Tokens looked up at once, and shuffle partitions to a shard: long runs for each shard keep look-ups vectorised.
+#: Bytes of training text to a shard (some two million tokens), which bounds what one task merges.
+SHARD_BYTES = 12 << 20
+#: Tokens counted or looked up at once, and distinct words a worker remembers.
 CHUNK_TOKENS = 1 << 19
-PARTITIONS_PER_SHARD = 3
+CACHE_WORDS = 300_000
+#: The end token; words are never empty.
+END = b""
+_UNKNOWN = np.iinfo(np.uint32).max
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words between ASCII white space with A-Z lower-cased, then the end token."""
+    words = text.lower().split() if text else []
+    words.append(END)
+    return words
+
+
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(U64)
+    return raw[::2], raw[1::2]
+
+
+def _edges(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    begins = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return begins, np.append(begins[1:], len(sorted_values)) if len(begins) else begins
 
 
 class Trie:
-    """The levels built so far; small enough to be sent with every task."""
+    """Where the levels are, and the few words that are dealt over several shards; small enough for every task."""
 
-    def __init__(self, store: Store, shards: int, bases: np.ndarray, total: int, order: int):
-        self.store, self.shards, self.bases, self.total, self.order = store, shards, bases, total, order
-        self.levels = 1
+    def __init__(self, store: Store, bases: np.ndarray, total: int, order: int, hot: np.ndarray, hot_counts: np.ndarray, shard_tokens: float):
+        self.store, self.bases, self.total, self.order = store, bases, total, order
+        self.shards = len(bases) - 1
+        self.hot, self.hot_counts, self.hot_left = hot, hot_counts, np.ones(len(hot))
+        self.hot_spread = np.minimum(np.ceil(hot_counts / max(1.0, shard_tokens)).astype(np.int64), self.shards)
 
     @property
     def distinct(self) -> int:
         return int(self.bases[-1])
 
-    def shard_of(self, numbers: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bases, numbers, side="right") - 1
-
-    def _by_shard(self, shards: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each shard with its rows; 16-bit numbers are sorted by radix."""
-        if not len(rows):
-            return
-        own = shards[rows].astype(np.uint16 if self.shards < 1 << 16 else np.int64)
-        order = np.argsort(own, kind="stable")
-        rows, own = rows[order], own[order]
-        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        for a, b in zip(edges, np.append(edges[1:], len(rows))):
-            yield int(own[a]), rows[a:b]
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers (-1 if unseen) and counts; each distinct word is searched once."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        numbers, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        for shard, rows in self._by_shard(shard_of_hash(distinct, self.shards), np.arange(len(distinct))):
-            arrays = self.store.open(f"1-{shard}")
+    def shard_of_word(self, numbers: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.bases, numbers, side="right") - 1, self.shards - 1)
+
+    def _hot_place(self, numbers: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.hot, numbers), max(0, len(self.hot) - 1))
+        return np.where(self.hot[place] == numbers, place, -1) if len(self.hot) else np.full(len(numbers), -1, np.int64)
+
+    def shard_of_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        shards = self.shard_of_word(first)
+        if len(self.hot):
+            place = self._hot_place(first)
+            rows = np.flatnonzero(place >= 0)
+            shards[rows] = (shards[rows] + self.shard_of_word(second[rows]) * self.hot_spread[place[rows]] // self.shards) % self.shards
+        return shards
+
+    def hot_of(self, shard: int) -> np.ndarray:
+        """The dealt words that have n-grams in ``shard``, in order."""
+        return self.hot[(shard - self.shard_of_word(self.hot)) % self.shards < self.hot_spread] if len(self.hot) else self.hot
+
+    def contexts_of(self, shard: int, first: np.ndarray) -> np.ndarray:
+        """Places of words as contexts in a shard: its own by rank, then the dealt ones."""
+        out = first - self.bases[shard]
+        if len(self.hot):
+            dealt = np.flatnonzero(self._hot_place(first) >= 0)
+            out[dealt] = self.bases[shard + 1] - self.bases[shard] + np.searchsorted(self.hot_of(shard), first[dealt])
+        return out
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1 if unseen) and counts of distinct words."""
+        high, low = word_hashes(words)
+        numbers, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        order = np.argsort(high)
+        shards = shard_of_hash(high[order], self.shards)
+        for a, b in zip(*_edges(shards)):
+            arrays = self.store.open(f"words-{shards[a]}")
             if not arrays:
                 continue
-            place = sequence(arrays, "words").find(distinct[rows] - U64(arrays["first"][0]))
-            seen = place >= 0
-            numbers[rows[seen]] = place[seen] + self.bases[shard]
-            counts[rows[seen]] = arrays["counts"][place[seen]]
-        return numbers[back], counts[back]
+            rows = order[a:b]
+            place = sequence(arrays, "words").find(high[rows] - U64(arrays["first"][0]))
+            seen = np.flatnonzero(place >= 0)
+            rows, place = rows[seen], place[seen]
+            for step in range(int(arrays["ties"][0])):  # words that share the high half stand together
+                at = np.minimum(place + step, len(arrays["check"]) - 1)
+                same = np.flatnonzero(arrays["check"][at] == low[rows])
+                numbers[rows[same]] = at[same] + self.bases[shards[a]]
+                counts[rows[same]] = arrays["counts"][at[same]]
+        return numbers, counts
 
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of sorted word numbers; unknown ones (-1) have 0."""
         counts = np.zeros(len(numbers), np.int64)
-        shards = np.where(numbers >= 0, self.shard_of(numbers), -1)
-        for shard, rows in self._by_shard(shards, np.flatnonzero(numbers >= 0)):
-            counts[rows] = self.store.open(f"1-{shard}")["counts"][numbers[rows] - self.bases[shard]]
+        known = np.searchsorted(numbers, 0)
+        shards = self.shard_of_word(numbers[known:])
+        for a, b in zip(*_edges(shards)):
+            counts[known + a : known + b] = self.store.open(f"words-{shards[a]}")["counts"][numbers[known + a : known + b] - self.bases[shards[a]]]
         return counts
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's smoothed share, from its count."""
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """A word's smoothed share, from its count."""
+        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    def left_by_word(self, numbers: np.ndarray) -> np.ndarray:
+        """What each of the sorted word numbers, as a context, leaves to single words."""
+        out = np.ones(len(numbers))
+        known = np.searchsorted(numbers, 0)
+        shards = self.shard_of_word(numbers[known:])
+        for a, b in zip(*_edges(shards)):
+            arrays = self.store.open(f"grams-{shards[a]}")
+            if arrays:
+                own = numbers[known + a : known + b] - self.bases[shards[a]]
+                out[known + a : known + b] = arrays["left1.book"][arrays["left1.codes"][own]]
+        if len(self.hot):
+            place = self._hot_place(numbers)
+            out[place >= 0] = self.hot_left[place[place >= 0]]
+        return out
 
-    def step(self, level: int, shards: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Places in ``level`` of the n-grams (context's place in the level below, word), -1 where not kept."""
-        places = np.full(len(words), -1, np.int64)
-        for shard, rows in self._by_shard(shards, np.flatnonzero((contexts >= 0) & (words >= 0))):
-            arrays = self.store.open(f"{level}-{shard}")
+    def step(self, level: int, shards: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, share, weight left) in ``level`` of the n-grams (context's place in the level below, word), best given
+        in order; -1, 0 and 1 where there is none. For level 2 the contexts are word numbers."""
+        places, share, left = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))
+        order = None
+        if len(shards) and (shards[1:] < shards[:-1]).any():
+            order = np.argsort(shards, kind="stable")
+            shards, contexts, words = shards[order], contexts[order], words[order]
+        for a, b in zip(*_edges(shards)):
+            arrays = self.store.open(f"grams-{shards[a]}")
             if not arrays:
                 continue
-            pointers, grams = sequence(arrays, "pointers"), sequence(arrays, "grams")
-            at, back = np.unique(contexts[rows], return_inverse=True)  # each context's range is fetched once
-            begin, end = pointers[at].astype(np.int64), pointers[at + 1].astype(np.int64)
-            if not grams.n:
-                continue
-            before = np.where(begin > 0, grams[np.maximum(begin - 1, 0)], U64(0))
-            some = np.flatnonzero((end > begin)[back])
-            rows, back = rows[some], back[some]
-            found = grams.find(before[back] + (words[rows] + 1).astype(U64))
-            ok = (found >= begin[back]) & (found < end[back])
-            places[rows[ok]] = found[ok]
-        return places
-
-    def codes(self, level: int, name: str, shards: np.ndarray, places: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(places), np.float64)
-        for shard, rows in self._by_shard(shards, np.flatnonzero(places >= 0)):
-            arrays = self.store.open(f"{level}-{shard}")
-            if f"{name}.book" in arrays:
-                out[rows] = arrays[f"{name}.book"][arrays[f"{name}.codes"][places[rows]]]
-        return out
+            at = contexts[a:b] if level > 2 else self.contexts_of(int(shards[a]), contexts[a:b])
+            found = _successors(arrays, level, at, words[a:b])
+            hit = np.flatnonzero(found >= 0)
+            rows = a + hit if order is None else order[a + hit]
+            found = found[hit]
+            places[rows] = found
+            share[rows] = arrays[f"share{level}.book"][arrays[f"share{level}.codes"][found]]
+            if level < self.order:
+                left[rows] = arrays[f"left{level}.book"][arrays[f"left{level}.codes"][found]]
+        return places, share, left
 
-    def walk(self, numbers: np.ndarray, starts: np.ndarray, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each level 1..levels, shard and place of the n-gram that ends at each token (-1 where none is kept, or
-        where it would begin before the text); ``starts`` marks first tokens."""
-        shards = np.where(numbers >= 0, self.shard_of(numbers), -1)
-        places = np.where(numbers >= 0, numbers - self.bases[np.maximum(shards, 0)], -1)
-        out = [(shards, places)]
-        for level in range(2, levels + 1):
-            shards, places = np.concatenate([[-1], out[-1][0][:-1]]), np.concatenate([[-1], out[-1][1][:-1]])
-            places = np.where(starts, -1, places)
-            out.append((shards, self.step(level, shards, places, numbers)))
+    def score(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; ``starts`` marks the first tokens of texts."""
+        own, back = np.unique(numbers, return_inverse=True)
+        chance = self.share(self.counts_of(own))[back]
+        if not self.total:
+            return np.log10(chance)
+        n = len(own)
+        open_ = np.flatnonzero(~starts & (numbers >= 0) & np.concatenate([[False], numbers[:-1] >= 0]))
+        # a context counts even where the next word is unknown
+        after = np.flatnonzero(~starts & np.concatenate([[False], numbers[:-1] >= 0]))
+        chance[after] *= self.left_by_word(own)[back[after - 1]]
+        keys, at = np.unique(back[open_ - 1] * n + back[open_], return_inverse=True)
+        first, second = own[keys // n], own[keys % n]
+        shards = self.shard_of_pair(first, second)
+        places, share, left = self.step(2, shards, first, second)
+        chance[open_] += share[at]
+        gram = np.full(len(numbers), -1, np.int64)  # number of the n-gram of the last level that ends at a token
+        gram[open_] = np.where(places >= 0, np.arange(len(keys)), -1)[at]
+        for level in range(3, self.order + 1):
+            before = np.concatenate([[-1], gram[:-1]])
+            before[starts] = -1
+            after = np.flatnonzero(before >= 0)
+            chance[after] *= left[before[after]]
+            open_ = after[numbers[after] >= 0]
+            keys, at = np.unique(before[open_] * n + back[open_], return_inverse=True)
+            under = keys // n
+            shards_, contexts = shards[under], places[under]
+            places, share, left = self.step(level, shards_, contexts, own[keys % n])
+            shards = shards_
+            chance[open_] += share[at]
+            gram = np.full(len(numbers), -1, np.int64)
+            gram[open_] = np.where(places >= 0, np.arange(len(keys)), -1)[at]
+        return np.log10(chance)
+
+
+def _successors(arrays: dict, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the words in their contexts' ranges, -1 where they are not."""
+    pointers, grams = sequence(arrays, f"pointers{level}"), sequence(arrays, f"grams{level}")
+    out = np.full(len(words), -1, np.int64)
+    if not grams.n:
         return out
+    order = None
+    if (contexts[1:] < contexts[:-1]).any():
+        order = np.argsort(contexts, kind="stable")
+        contexts, words = contexts[order], words[order]
+    begins, stops = _edges(contexts)  # each context's range is fetched once
+    at = contexts[begins]
+    begin, end = pointers[at].astype(np.int64), pointers[at + 1].astype(np.int64)
+    before = np.where(begin > 0, grams[np.maximum(begin - 1, 0)], U64(0))
+    run = np.repeat(np.arange(len(begins)), stops - begins)
+    found = grams.find(before[run] + (words + 1).astype(U64))
+    found = np.where((found >= begin[run]) & (found < end[run]), found, -1)
+    if order is None:
+        return found
+    out[order] = found
+    return out
 
-    def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """log10 probability of the second word after the first."""
-        shards = self.shard_of(first)
-        contexts = first - self.bases[shards]
-        places = self.step(2, shards, contexts, second)
-        left = self.unigram(self.counts_of(second)) + self.codes(2, "left", shards, contexts)
-        return np.where(places >= 0, self.codes(2, "chance", shards, places), left)
 
-    def score(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: the longest kept n-gram's, with the weights of the contexts left behind."""
-        walked = self.walk(numbers, starts, self.order)
-        value, open_ = np.zeros(len(numbers)), np.ones(len(numbers), bool)
-        for level in range(self.order, 1, -1):
-            shards, places = walked[level - 1]
-            found = open_ & (places >= 0)
-            value += self.codes(level, "chance", shards, np.where(found, places, -1))
-            open_ &= ~found
-            shards, context = (np.concatenate([[-1], x[:-1]]) for x in walked[level - 2])
-            value += self.codes(level, "left", shards, np.where(open_ & ~starts, context, -1))
-        rest = np.flatnonzero(open_)
-        value[rest] += self.unigram(self.counts_of(numbers[rest]))
-        return value
-
-
-def _build_level(level: int, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, chance_below: Callable) -> dict[str, np.ndarray]:
-    """Arrays of a shard's level from kept keys (context place << 32 | word), their counts and the contexts' counts.
-
-    ``chance_below(context places, words)`` gives the interpolated probability of the next shorter n-gram.
-    """
-    places, words = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-    per = np.bincount(places, minlength=len(contexts))
-    pointers = np.concatenate([[0], np.cumsum(per)])
-    held = np.bincount(places, counts - DISCOUNT, minlength=len(contexts))
-    left = np.where(contexts > 0, 1 - held / np.maximum(contexts, 1), 1.0)
-    left = np.clip(left, 1e-9, 1.0)
-    chance = (counts - DISCOUNT) / contexts[places] + left[places] * chance_below(places, words)
-    # numbers made monotone: each range starts above the last value of the one before
-    lasts = np.zeros(len(contexts), np.int64)
-    full = np.flatnonzero(per)
-    lasts[full] = words[pointers[full + 1] - 1] + 1
-    base = np.concatenate([[0], np.cumsum(lasts)[:-1]])
-    grams = base[places] + words + 1
-    out = EliasFano.build(pointers).parts("pointers") | EliasFano.build(grams).parts("grams")
-    for name, values in (("chance", np.log10(chance)), ("left", np.log10(left))):
-        out[f"{name}.codes"], out[f"{name}.book"] = quantise(values)
-    return out
+# --- trees of n-grams ---------------------------------------------------------------------------------------------------
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte place, which compresses well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
 
+def _from_planes(blob: memoryview, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
 
-def _token_rows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in text_chunks(texts):
-        hashes, sizes = token_hashes(data, offsets)
-        yield a, b, hashes, sizes
 
+def _packed_tree(first: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> bytes:
+    """First words of the pairs, then (parents, words) of each level, parents as children per parent."""
+    head = np.array([len(levels), *[len(words) for _, words in levels]], "<i8").tobytes()
+    parts = [head, _planes(np.diff(first, prepend=0))]
+    above = len(first)
+    for k, (parents, words) in enumerate(levels):
+        if k:
+            parts.append(_planes(np.bincount(parents, minlength=above)))
+        parts.append(_planes(words))
+        above = len(words)
+    parts.append(_planes(np.minimum(counts, _UNKNOWN)))
+    return b"".join(parts)
+
+
+def _unpacked_tree(blob: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    view = memoryview(blob)
+    depth = int(np.frombuffer(view, "<i8", 1)[0])
+    sizes = np.frombuffer(view, "<i8", depth, 8).tolist()
+    at = 8 * (depth + 1)
+
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        out = _from_planes(view[at : at + 4 * n], n)
+        at += 4 * n
+        return out
 
-def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDER, shards: int | None = None) -> tuple[Trie, DataFrame]:
+    first = np.cumsum(take(sizes[0]).astype("<u4"), dtype="<u4").astype(np.int64)
+    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(sizes[0]), take(sizes[0]))]
+    for k in range(1, depth):
+        parents = np.repeat(np.arange(sizes[k - 1]), take(sizes[k - 1]))
+        levels.append((parents, take(sizes[k])))
+    return first, levels, take(sizes[-1])
+
+
+def _counted(numbers: np.ndarray, sizes: np.ndarray, trie: Trie) -> Iterator[tuple[int, bytes]]:
+    """A run of texts as one packed tree for each shard. Texts end with the end token; after it comes padding, the number
+    behind the last word's, so that every n-gram begins one of the greatest order."""
+    order = trie.order
+    ends = np.cumsum(sizes)
+    padded = np.full(len(numbers) + len(sizes) * (order - 2), trie.distinct, np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(numbers)) + text * (order - 2)
+    padded[place] = numbers
+    begins = np.delete(place, ends - 1)  # the end token begins nothing
+    if not len(begins):
+        return
+    own, back = np.unique(padded, return_inverse=True)
+    n = len(own)
+    keys, rank = np.unique(back[begins] * n + back[begins + 1], return_inverse=True)
+    first, words = own[keys // n], own[keys % n]
+    shards = trie.shard_of_pair(first, words)
+    if (shards[1:] < shards[:-1]).any():
+        by_shard = np.argsort(shards, kind="stable")
+        first, words, shards = first[by_shard], words[by_shard], shards[by_shard]
+        moved = np.empty(len(by_shard), np.int64)
+        moved[by_shard] = np.arange(len(by_shard))
+        rank = moved[rank]
+    levels = [(np.arange(len(words)), words)]
+    for level in range(3, order + 1):
+        keys, rank = np.unique(rank * n + back[begins + level - 1], return_inverse=True)
+        levels.append((keys // n, own[keys % n]))
+    counts = np.bincount(rank)
+    for a, b in zip(*_edges(shards)):
+        shard, part, low, high = int(shards[a]), [(np.arange(b - a), words[a:b])], a, b
+        for parents, following in levels[1:]:
+            base = low
+            low, high = np.searchsorted(parents, [low, high])
+            part.append((parents[low:high] - base, following[low:high]))
+        yield shard, _packed_tree(first[a:b], part, counts[low:high])
+
+
+def _merged(blobs: list[bytes], contexts_of) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """One tree of many: (contexts or parents, words) of each level in order, and the counts of the last."""
+    trees = [_unpacked_tree(blob) for blob in blobs]
+    depth = len(trees[0][1])
+    contexts = contexts_of(np.concatenate([tree[0] for tree in trees]))
+    out, rank = [], contexts
+    for level in range(depth):
+        if level:
+            offsets = np.cumsum([0] + [len(tree[1][level - 1][1]) for tree in trees[:-1]])
+            rank = rank[np.concatenate([tree[1][level][0] + offset for tree, offset in zip(trees, offsets)])]
+        words = np.concatenate([tree[1][level][1] for tree in trees])
+        keys, rank = np.unique((rank.astype(U64) << U64(32)) | words.astype(U64), return_inverse=True)
+        out.append(((keys >> U64(32)).astype(np.int64), (keys & U64(_UNKNOWN)).astype(np.int64)))
+    counts = np.bincount(rank, np.concatenate([tree[2] for tree in trees])).astype(np.int64)
+    return out, counts
+
+
+def _built(levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, word_counts: np.ndarray, own: int, padding: int, keep_from: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Arrays of a shard's levels from 2 on, and what the n-grams of each dealt word hold of its count.
+
+    ``word_counts`` are the counts of the contexts of level 2; the first ``own`` of them are the shard's own words.
+    """
+    by_level = [counts]
+    for parents, _ in reversed(levels[1:]):
+        by_level.insert(0, np.bincount(parents, by_level[0]).astype(np.int64))
+    arrays: dict[str, np.ndarray] = {}
+    totals, kept_above = word_counts, None
+    dealt = np.zeros(0)
+    for level, ((parents, words), seen) in enumerate(zip(levels, by_level), 2):
+        keep = (words != padding) & (seen >= keep_from)
+        if kept_above is not None:  # places of the kept contexts
+            place = np.cumsum(kept_above) - 1
+            keep &= kept_above[parents]
+            parents = place[parents]
+        parents, words, kept = parents[keep], words[keep], seen[keep]
+        share = (kept - DISCOUNT) / totals[parents]
+        held = np.bincount(parents, share, minlength=len(totals))
+        left = np.clip(1 - held, 1e-9, 1.0)
+        if level == 2:
+            left, dealt = left[:own], held[own:]
+        per = np.bincount(parents, minlength=len(totals))
+        pointers = np.concatenate([[0], np.cumsum(per)])
+        # numbers made monotone: each range starts above the last value of the one before
+        lasts = np.zeros(len(totals), np.int64)
+        full = np.flatnonzero(per)
+        lasts[full] = words[pointers[full + 1] - 1] + 1
+        base = np.concatenate([[0], np.cumsum(lasts)[:-1]]) if len(lasts) else lasts
+        grams = base[parents] + words + 1
+        arrays |= EliasFano.build(pointers).parts(f"pointers{level}") | EliasFano.build(grams).parts(f"grams{level}")
+        for name, values in ((f"left{level - 1}", left), (f"share{level}", share)):
+            arrays[f"{name}.codes"], book = quantise(np.log10(values))
+            arrays[f"{name}.book"] = 10 ** book.astype(np.float64)
+        totals, kept_above = kept, keep
+    return arrays, dealt
+
+
+# --- jobs ---------------------------------------------------------------------------------------------------------------
+
+
+class _Words:
+    """A worker's memory of word numbers and counts."""
+
+    def __init__(self, trie: Trie):
+        self.trie = trie
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.numbers, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Slots of the words in ``numbers`` and ``counts``."""
+        if len(self.slots) > CACHE_WORDS:
+            self.clear()
+        new = list(set(words).difference(self.slots))
+        if new:
+            numbers, counts = self.trie.words(new)
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            self.numbers, self.counts = np.concatenate([self.numbers, numbers]), np.concatenate([self.counts, counts])
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+
+_WORDS: dict[str, _Words] = {}
+
+
+def _worker_words(trie: Trie) -> _Words:
+    if trie.store.name not in _WORDS:  # the last trie's only
+        _WORDS.clear()
+        _WORDS[trie.store.name] = _Words(trie)
+    return _WORDS[trie.store.name]
+
+
+def _token_runs(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(tokens, tokens of each text) of runs of whole texts."""
+    part: list[list[bytes]] = []
+    size = 0
+    for raw in column.cast(pa.binary()).to_pylist():
+        part.append(tokens(raw))
+        size += len(part[-1])
+        if size >= CHUNK_TOKENS:
+            yield list(chain.from_iterable(part)), np.array(list(map(len, part)), np.int64)
+            part, size = [], 0
+    if part:
+        yield list(chain.from_iterable(part)), np.array(list(map(len, part)), np.int64)
+
+
+def _number_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """(batches, word numbers or -1, tokens of each text) of runs of batches of about CHUNK_TOKENS tokens."""
+    held: list[pa.RecordBatch] = []
+    parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+
+    def joined() -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+        numbers = np.concatenate(parts).astype(np.int64)
+        numbers[numbers == _UNKNOWN] = -1
+        return held, numbers, np.concatenate(sizes)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        packed = batch.column(column).cast(pa.large_binary())
+        offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+        parts.append(np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view("<u4"))
+        sizes.append(np.diff(offsets) // 4)
+        held.append(batch)
+        if sum(map(len, parts)) >= CHUNK_TOKENS:
+            yield joined()
+            held, parts, sizes = [], [], []
+    if held:
+        yield joined()
+
+
+def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDER, keep_from: int = KEEP_FROM, shards: int | None = None) -> tuple[Trie, DataFrame]:
     """The trie learned from the rows where ``training`` holds, and all rows as word numbers:
     (doc_id, learned, n_tokens, n_known, base_score, numbers)."""
     spark = docs.sparkSession
     ship_package(spark)
-    if order not in (2, 3):
-        raise ValueError("order is 2 or 3")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_SHARD)
+    if not 2 <= order <= LONGEST_ORDER:
+        raise ValueError(f"order is 2 to {LONGEST_ORDER}")
+    learned = docs.where(training).select("text")
+    size = int(learned.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    shards = shards or -(-size // SHARD_BYTES) or 1
     store = Store(scratch.root)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(shards)
+        counts: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(counts)
+            numbers = np.fromiter(counts.values(), np.int64, len(words))
+            counts.clear()
+            high, _ = word_hashes(words)
+            by_shard = np.argsort(high)
+            of = shard_of_hash(high[by_shard], shards)
+            rows = []
+            for a, b in zip(*_edges(of)):
+                picked = by_shard[a:b]
+                rows.append((int(of[a]), b" ".join(map(words.__getitem__, picked.tolist())), numbers[picked].tobytes()))
+            yield from packed_rows(rows)
+            release()
+
         for batch in batches:
-            for _, _, hashes, _ in _token_rows(batch.column(0)):
-                yield from blocks.add(hashes)
-        yield from blocks.flush()
+            for run, _ in _token_runs(batch.column(0)):
+                counts.update(run)
+                if len(counts) >= CACHE_WORDS:
+                    yield from flush()
+        if counts:
+            yield from flush()
 
     def words_of(shard: int, table: pa.Table) -> list[tuple]:
-        keys, counts = merged(table)
-        first = keys[:1]
-        arrays = {"first": first, "counts": counts} | EliasFano.build(keys - first[0]).parts("words")
-        return [(shard, len(keys), int(counts.sum()), f"1-{shard}", store.put(f"1-{shard}", arrays))]
-
-    learned = docs.where(training).select("text")
-    blocks = learned.mapInArrow(count_words, Blocks.SCHEMA)
-    made = scratch.table(grouped(blocks, words_of, "shard int, n long, total long, file string, bytes binary"), "words")
-    sizes = {r["shard"]: (r["n"], r["total"]) for r in made.select("shard", "n", "total").collect()}  # a row per shard
-    store.publish(spark, made)
-    bases = np.concatenate([[0], np.cumsum([sizes.get(k, (0, 0))[0] for k in range(shards)])]).astype(np.int64)
-    trie = Trie(store, shards, bases, sum(x[1] for x in sizes.values()), order)
-    if trie.distinct >= 1 << 32:
+        total: dict[bytes, int] = {}
+        for names, raw in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
+            for word, n in zip(names.split(b" "), np.frombuffer(raw, np.int64).tolist()):
+                total[word] = total.get(word, 0) + n
+        words, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
+        high, low = word_hashes(words)
+        by_hash = np.lexsort([low, high])
+        high, low, counts = high[by_hash], low[by_hash], counts[by_hash]
+        begins, stops = _edges(high)
+        arrays = {"first": high[:1], "ties": np.array([(stops - begins).max()]), "check": low, "counts": counts}
+        arrays |= EliasFano.build(high - high[0]).parts("words")
+        big = np.flatnonzero(counts > size // (16 * shards))  # a few for each shard
+        hot = np.stack([big, counts[big]]).astype(np.int64).tobytes()
+        return [(shard, len(counts), int(counts.sum()), store.put(f"words-{shard}", arrays), hot)]
+
+    schema = "shard int, n long, total long, file string, hot binary"
+    blocks = learned.mapInArrow(count_words, "shard int, keys binary, counts binary")
+    made = scratch.table(grouped(blocks, words_of, schema), "words").select("shard", "n", "total", "hot").collect()  # a row per shard
+    held = np.zeros(shards, np.int64)
+    for row in made:
+        held[row["shard"]] = row["n"]
+    bases = np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
+    if bases[-1] >= _UNKNOWN - 1:
         raise ValueError("more than 2^32 distinct words")
+    total = sum(row["total"] for row in made)
+    big = [np.frombuffer(row["hot"], np.int64).reshape(2, -1) + np.array([[bases[row["shard"]]], [0]]) for row in sorted(made, key=lambda r: r["shard"])]
+    hot, hot_counts = np.concatenate(big, axis=1) if big else np.zeros((2, 0), np.int64)
+    filling = hot_counts > total / shards
+    trie = Trie(store, bases, total, order, hot[filling], hot_counts[filling], total / shards)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _worker_words(trie)
         for batch in batches:
             n_tokens, n_known, base, packed = [], [], [], []
-            for _, _, hashes, sizes in _token_rows(batch.column(2)):
-                numbers, counts = trie.words(hashes)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for run, sizes in _token_runs(batch.column(2)):
+                slots = memory(run)
+                counts = memory.counts
+                starts = np.cumsum(sizes) - sizes
                 n_tokens.append(sizes)
-                n_known.append(np.add.reduceat((counts > 0).astype(np.int64), starts))
-                base.append(np.add.reduceat(trie.unigram(counts), starts))
-                numbers = np.where(numbers < 0, np.iinfo(np.uint32).max, numbers).astype("<u4")
-                packed += [numbers[s : s + n].tobytes() for s, n in zip(starts, sizes)]
+                n_known.append(np.add.reduceat((counts > 0)[slots].astype(np.int64), starts))
+                base.append(np.add.reduceat(np.log10(trie.share(counts))[slots], starts))
+                numbers = np.where(memory.numbers < 0, _UNKNOWN, memory.numbers).astype("<u4")[slots]
+                packed += [numbers[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist())]
             if packed:
                 columns = [pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(packed, pa.binary())], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "numbers"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", training.alias("learned"), "text").mapInArrow(numbered, f"doc_id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, numbers binary")
+    rows = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learned"), "text").mapInArrow(numbered, f"doc_id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, numbers binary")
     rows = scratch.table(rows, "numbers")
 
-    for level in range(2, order + 1):
-        _add_level(trie, rows.where("learned").select("numbers"), level, scratch)
-        trie.levels = level
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, numbers, sizes in _number_runs(batches, 0):
+            yield from packed_rows(list(_counted(numbers, sizes, trie)), ("shard", "tree"))
+            release()
+
+    def grams_of(shard: int, table: pa.Table) -> list[tuple]:
+        levels, counts = _merged(table.column("tree").to_pylist(), lambda first: trie.contexts_of(shard, first))
+        words, hot = store.open(f"words-{shard}"), trie.hot_of(shard)
+        own = words["counts"].astype(np.int64) if words else np.zeros(0, np.int64)
+        of_hot = trie.hot_counts[np.searchsorted(trie.hot, hot)]
+        arrays, dealt = _built(levels, counts, np.concatenate([own, of_hot]), len(own), trie.distinct, keep_from)
+        return [(shard, len(counts), int(counts.sum()), store.put(f"grams-{shard}", arrays), np.stack([hot.astype(np.float64), dealt]).tobytes())]
+
+    trees = rows.where("learned").select("numbers").mapInArrow(count_grams, "shard int, tree binary")
+    grams = scratch.table(grouped(trees, grams_of, schema), "grams").select("hot").collect()  # a row per shard
+    held_by = np.zeros(len(trie.hot))
+    for row in grams:
+        of, part = np.frombuffer(row["hot"], np.float64).reshape(2, -1)
+        np.add.at(held_by, np.searchsorted(trie.hot, of.astype(np.int64)), part)
+    trie.hot_left = np.clip(1 - held_by, 1e-9, 1.0)
     return trie, rows
 
 
-def unpacked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word numbers or -1, marks of first tokens, sizes) of runs of texts of about CHUNK_TOKENS tokens."""
-    part, size = [], 0
-    for raw in column.to_pylist():
-        part.append(np.frombuffer(raw, "<u4"))
-        size += len(part[-1])
-        if size >= CHUNK_TOKENS:
-            yield _joined(part)
-            part, size = [], 0
-    if part:
-        yield _joined(part)
-
-
-def _joined(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    numbers = np.concatenate(part).astype(np.int64)
-    numbers[numbers == np.iinfo(np.uint32).max] = -1
-    sizes = np.array([len(x) for x in part], np.int64)
-    starts = np.zeros(len(numbers), bool)
-    starts[np.cumsum(sizes) - sizes] = True
-    return numbers, starts, sizes
-
-
-def _add_level(trie: Trie, rows: DataFrame, level: int, scratch: Scratch) -> None:
-    """Counts n-grams of ``level`` words whose shorter parts are kept, and builds the level's shards."""
-    spark = rows.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = []
-            for shard in sorted(parts):
-                keys, counts = summed(np.concatenate(parts[shard]))
-                out.append((shard, np.diff(keys, prepend=U64(0)).tobytes(), np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()))
-            parts.clear()
-            if out:
-                yield from packed_rows(out)
-
-        for batch in batches:
-            for numbers, starts, _ in unpacked(batch.column(0)):
-                often = trie.counts_of(numbers) >= KEEP_FROM
-                words = np.where(often, numbers, -1)
-                walked = trie.walk(words, starts, level - 1)
-                shards, places = walked[-1]
-                shards, places = np.concatenate([[-1], shards[:-1]]), np.where(starts, -1, np.concatenate([[-1], places[:-1]]))
-                usable = (places >= 0) & (words >= 0)
-                if level > 2:  # the n-gram without its first word must be kept as well
-                    usable &= walked[-1][1] >= 0
-                usable = np.flatnonzero(usable)
-                keys = (places[usable].astype(U64) << U64(32)) | words[usable].astype(U64)
-                for shard, some in trie._by_shard(shards[usable], np.arange(len(usable))):
-                    parts.setdefault(shard, []).append(keys[some])
-                held += len(usable)
-                if held >= BLOCK_KEYS:
-                    yield from flush()
-                    held = 0
-        yield from flush()
-
-    def made(shard: int, table: pa.Table) -> list[tuple]:
-        keys, counts = merged(table)
-        keep = counts >= KEEP_FROM
-        keys, counts = keys[keep], counts[keep]
-        if level == 2:
-            contexts = trie.store.open(f"1-{shard}")["counts"].astype(np.int64)
-
-            def below(places: np.ndarray, words: np.ndarray) -> np.ndarray:
-                return 10 ** trie.unigram(trie.counts_of(words))
-        else:
-            under = trie.store.open(f"{level - 1}-{shard}")
-            if not under:
-                return []
-            contexts, last = under["counts"], under["last"]
-
-            def below(places: np.ndarray, words: np.ndarray) -> np.ndarray:
-                return 10 ** trie.pair(last[places], words)
-
-        arrays = _build_level(level, keys, counts, contexts, below)
-        if level < trie.order:  # what the next level is built from
-            arrays["counts"] = counts
-            arrays["last"] = (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        return [(shard, len(keys), int(counts.sum()), f"{level}-{shard}", trie.store.put(f"{level}-{shard}", arrays))]
-
-    blocks = rows.mapInArrow(count, Blocks.SCHEMA)
-    built = scratch.table(grouped(blocks, made, "shard int, n long, total long, file string, bytes binary"), f"level-{level}")
-    trie.store.publish(spark, built)
-
-
 def score(trie: Trie, rows: DataFrame) -> DataFrame:
     """``rows`` of ``build`` with ``score``, the text's log10 probability, in place of the numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            totals = []
-            for numbers, starts, _ in unpacked(batch.column(5)):
-                totals.append(np.add.reduceat(trie.score(numbers, starts), np.flatnonzero(starts)))
-            if totals:
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(np.concatenate(totals))], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"])
+        for held, numbers, sizes in _number_runs(batches, 5):
+            begins = np.cumsum(sizes) - sizes
+            starts = np.zeros(len(numbers), bool)
+            starts[begins] = True
+            totals = np.add.reduceat(trie.score(numbers, starts), begins)
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()
+            at = 0
+            for batch in table:
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(totals[at : at + batch.num_rows])], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"])
+                at += batch.num_rows
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, score double")

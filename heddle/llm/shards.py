@@ -1,19 +1,18 @@
-"""Hashing of whole batches of text, packed blocks of hashes for shuffles, and shard files that workers map."""
+"""Names of substrings, packed blocks of them for shuffles, and shard files that workers map."""
 
 from __future__ import annotations
 
 import ctypes
 import os
 import re
-import tempfile
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame
 
 from heddle.llm.elias_fano import U64, EliasFano
 
@@ -32,22 +31,15 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-#: Text bytes hashed at once and keys summed at once in a worker.
-CHUNK_BYTES = 1 << 18
+#: Keys summed at once in a worker.
 BLOCK_KEYS = 1 << 20
 #: Bytes of a batch that a worker sends.
 BATCH_BYTES = 1 << 21
 #: Shards a worker keeps mapped.
 OPEN_SHARDS = 512
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BASE = 0xD6E8FEB86659FD93
 BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-#: Hash that stands for the end token; words hash below it.
-END = U64((1 << 64) - 1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,8 +55,7 @@ _DOWN = _powers(pow(_BASE, -1, 1 << 64), 1 << 16)
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    x = x ^ (x >> U64(31))
-    return np.minimum(x, END - U64(1))
+    return x ^ (x >> U64(31))
 
 
 def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,52 +66,6 @@ def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP, _DOWN
 
 
-def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of the texts ``data[offsets[i]:offsets[i+1]]``, each text closed by END;
-    and the number of tokens of each text. Words never cross texts."""
-    n_texts = len(offsets) - 1
-    data = data[offsets[0] : offsets[-1]]
-    bounds = (offsets - offsets[0]).astype(np.int64)
-    if len(data):
-        inside = ~_SPACES[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        cuts = bounds[1:-1][bounds[1:-1] < len(data)]
-        begins[cuts] = inside[cuts]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        before = cuts[cuts > 0] - 1
-        ends[before] = inside[before]
-        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = powers_for(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE_CODES[_LOWER[data]] * up[: len(data)], out=sums[1:])
-        lengths = (last - first).astype(U64)
-        hashes = mixed((sums[last] - sums[first]) * down[first] + lengths * U64(0x9E3779B97F4A7C15))
-    else:
-        first, hashes = np.zeros(0, np.int64), np.zeros(0, U64)
-    words = np.searchsorted(first, bounds[1:]) - np.searchsorted(first, bounds[:-1])
-    closed = np.cumsum(words + 1) - 1
-    out = np.full(len(hashes) + n_texts, END, U64)
-    keep = np.ones(len(out), bool)
-    keep[closed] = False
-    out[keep] = hashes
-    return out, words + 1
-
-
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of whole texts of about CHUNK_BYTES; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1)
-        stop = min(stop, len(column))
-        yield row, stop, data, offsets[row : stop + 1]
-        row = stop
-
-
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and their counts."""
     if counts is None:
@@ -190,12 +135,13 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Store:
-    """Shard files under a folder that workers can map."""
+    """Files of arrays in the shared folder. Workers write and read them themselves: on a mounted folder they map them,
+    elsewhere they read a file through ``pyarrow.fs`` into memory when it is first asked for. Nothing passes the driver."""
 
     def __init__(self, root: str):
         self.mounted = root.startswith("file:") or "://" not in root
         self.root = re.sub("^file:/*", "/", root) if self.mounted else root
-        self.name = "trie-" + uuid.uuid4().hex
+        self.name = "store-" + uuid.uuid4().hex
 
     def pack(self, arrays: dict[str, np.ndarray]) -> bytes:
         """Eight-byte aligned arrays after a line that names them."""
@@ -209,43 +155,39 @@ class Store:
         return len(line).to_bytes(8, "little") + line + body
 
     def path(self, file: str) -> str:
-        return f"{self.root}/{self.name}/{file}" if self.mounted else SparkFiles.get(f"{self.name}-{file}")
-
-    def put(self, file: str, arrays: dict[str, np.ndarray]) -> bytes:
-        """Writes the file where the folder is mounted (whole, then renamed, so that a retried task is harmless);
-        else gives the bytes."""
-        packed = self.pack(arrays)
-        if not self.mounted:
-            return packed
-        target = self.path(file)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
+        return f"{self.root}/{self.name}/{file}"
+
+    def put(self, file: str, arrays: dict[str, np.ndarray]) -> str:
+        """Writes the file under another name and then moves it, so that a task that is lost or run twice leaves either
+        nothing or the whole file; its name."""
+        system, target = (fs.LocalFileSystem(), self.path(file)) if self.mounted else fs.FileSystem.from_uri(self.path(file))
+        system.create_dir(target.rsplit("/", 1)[0], recursive=True)
         part = f"{target}.{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
-            out.write(packed)
-        os.replace(part, target)
-        return b""
+        with system.open_output_stream(part) as out:
+            out.write(self.pack(arrays))
+        system.move(part, target)
+        return file
 
-    def publish(self, spark: SparkSession, rows: DataFrame) -> None:
-        """Hands files that are not on a mounted folder, rows (file, bytes), to the executors, one at a time."""
+    def _raw(self, file: str) -> np.ndarray | None:
         if self.mounted:
-            return
-        folder = tempfile.mkdtemp(prefix="heddle-trie-")
-        for row in rows.select("file", "bytes").toLocalIterator():
-            local = os.path.join(folder, f"{self.name}-{row['file']}")
-            with open(local, "wb") as out:
-                out.write(row["bytes"])
-            spark.sparkContext.addFile(local)
+            return np.memmap(self.path(file), np.uint8, "r") if os.path.exists(self.path(file)) else None
+        system, target = fs.FileSystem.from_uri(self.path(file))
+        if system.get_file_info(target).type == fs.FileType.NotFound:
+            return None
+        with system.open_input_stream(target) as source:
+            return np.frombuffer(source.read(), np.uint8)
 
     def open(self, file: str) -> dict[str, np.ndarray]:
+        """The file's arrays; none where there is no such file, as for a shard without rows."""
         key = self.path(file)
         if key in _OPEN:
             _OPEN.move_to_end(key)
             return _OPEN[key]
         arrays: dict[str, np.ndarray] = {}
-        if os.path.exists(key):
-            raw = np.memmap(key, np.uint8, "r")
+        raw = self._raw(file)
+        if raw is not None:
             size = int(raw[:8].view("<u8")[0])
-            body = raw[8 + size :]
+            body = np.asarray(raw[8 + size :])
             for entry in raw[8 : 8 + size].tobytes().decode().strip().split(";"):
                 name, kind, n, at = entry.split(" ")
                 kind = np.dtype(kind)

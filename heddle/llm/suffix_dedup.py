@@ -344,10 +344,10 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         keys = keys[counts > 1]
         if not len(keys):
             return []
-        return [(shard, f"anchor-{shard}", store.put(f"anchor-{shard}", {"first": keys[:1]} | EliasFano.build(keys - keys[0]).parts("keys")))]
+        return [(shard, store.put(f"anchor-{shard}", {"first": keys[:1]} | EliasFano.build(keys - keys[0]).parts("keys")))]
 
-    made = "shard int, file string, bytes binary"
-    store.publish(spark, scratch.table(grouped(docs.mapInArrow(anchors, Blocks.SCHEMA), twice, made), "anchors"))
+    made = "shard int, file string"
+    scratch.table(grouped(docs.mapInArrow(anchors, Blocks.SCHEMA), twice, made), "anchors")
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shards, "anchor", combine_triples)
@@ -384,11 +384,11 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     def filed(kind: str):
         def run(shard: int, table: pa.Table) -> list[tuple]:
             rows = _unpacked(table.column("rows").to_pylist(), RANGE)
-            return [(shard, f"{kind}-{shard}", store.put(f"{kind}-{shard}", _by_document(rows)))]
+            return [(shard, store.put(f"{kind}-{shard}", _by_document(rows)))]
 
         return run
 
-    store.publish(spark, scratch.table(grouped(sorted_triples.where("kind = 'open'").select("shard", "rows"), filed("open"), made), "open"))
+    scratch.table(grouped(sorted_triples.where("kind = 'open'").select("shard", "rows"), filed("open"), made), "open")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shards, "name", combine_strings)
@@ -420,7 +420,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
 
     sorted_strings = scratch.table(grouped(docs.mapInArrow(strings, PACKED), names, "shard int, kind string, rows binary"), "strings")
     cuts = sorted_triples.unionByName(sorted_strings).where("kind = 'cut'").select("shard", "rows")
-    store.publish(spark, scratch.table(grouped(cuts, filed("cut"), made), "cuts"))
+    scratch.table(grouped(cuts, filed("cut"), made), "cuts")
     return store, shards
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heddle.llm import decontaminate, queries, quality_rules, secrets, simhash, url_filter
+from heddle.llm import decontaminate, ngram_lm, queries, quality_rules, secrets, simhash, url_filter
 from heddle.runtime import Scratch
 from tests.llm.test_kernels import brute_fingerprint, brute_removed, brute_statistics
 
@@ -176,37 +176,50 @@ def test_lm_scoring(spark, tables):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(words), sum(c[w] > 0 for w in words), n, held(d[0], 5, 1))
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    # the trie against dictionaries: absolute discounting over kept n-grams
-    two, three = Counter(), Counter()
-    for t in learned:
+
+
+def brute_score(texts, order, keep_from, texts_to_score):
+    """Interpolated absolute discounting by dictionaries."""
+    tokens = lambda t: (t or "").encode().lower().split() + [None]
+    seen, held = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+    for t in texts:
+        w = tokens(t)
+        for k in range(1, order + 1):
+            seen[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    n, v = sum(seen[1].values()), len(seen[1])
+    for k in range(2, order + 1):
+        seen[k] = Counter({g: x for g, x in seen[k].items() if x >= keep_from})
+        for g, x in seen[k].items():
+            held[k - 1][g[:-1]] += x - 0.75
+
+    def chance(context, w):
+        if not context:
+            return (seen[1][(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        below = chance(context[1:], w)
+        k = len(context)
+        if context not in seen[k]:
+            return below
+        total = seen[k][context]
+        return max(seen[k + 1][(*context, w)] - 0.75, 0) / total + max(1 - held[k][context] / total, 1e-9) * below
+
+    for t in texts_to_score:
         w = tokens(t)
-        two.update(zip(w, w[1:]))
-        three.update(zip(w, w[1:], w[2:]))
-    two = {k: x for k, x in two.items() if x >= 2}
-    three = {k: x for k, x in three.items() if x >= 2}
-    held2, held3 = Counter(), Counter()
-    for (a, _), x in two.items():
-        held2[a] += x - 0.75
-    for (a, b, _), x in three.items():
-        held3[a, b] += x - 0.75
-
-    def p1(w):
-        return (c[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def p2(a, w):
-        if c[a] < 2:
-            return p1(w)
-        return max(two.get((a, w), 0) - 0.75, 0) / c[a] + (1 - held2[a] / c[a]) * p1(w)
-
-    def p3(a, b, w):
-        if (a, b) not in two:
-            return p2(b, w)
-        return max(three.get((a, b, w), 0) - 0.75, 0) / two[a, b] + max(1 - held3[a, b] / two[a, b], 1e-9) * p2(b, w)
-
-    for d in DOCS[:100]:
-        w = tokens(d[1] or "")
-        want = [math.log10(p1(w[0]) if k == 0 else p2(w[0], w[1]) if k == 1 else p3(w[k - 2], w[k - 1], w[k])) for k in range(len(w))]
-        assert by_id[d[0]]["score"] == pytest.approx(sum(want), rel=0.03, abs=0.3)
+        yield sum(math.log10(chance(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(len(w)))
+
+
+@pytest.mark.parametrize("order,keep_from,shards", [(2, 1, None), (3, 1, 1), (3, 1, 7), (3, 2, 3), (5, 1, 40)])
+def test_trie_against_dictionaries(spark, tables, order, keep_from, shards):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 130 or doc_id >= 300")
+    extra = spark.createDataFrame([(900, "the the the the cat " * 400 + "the dog"), (901, "The CAT the unseenword the")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    trie, rows = ngram_lm.build(docs, (F.col("doc_id") % 3 == 0), Scratch(spark, "lm-test"), order, keep_from, shards)
+    if shards and shards > 3:
+        assert len(trie.hot) and trie.hot_spread.max() > 1  # the commonest words are dealt over several shards
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(trie, rows).collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted = brute_score([t for k, t in texts if k % 3 == 0], order, keep_from, [t for _, t in texts])
+    for (k, t), want in zip(texts, wanted):
+        assert got[k] == pytest.approx(want, rel=0.02, abs=0.3), (k, t)
 
 
 def test_urls(spark, tables):
