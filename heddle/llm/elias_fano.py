@@ -38,17 +38,25 @@ def unpack_bits(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
     return (low | high) & (_ALL >> U64(64 - width))
 
 
+_ONES = U64(0x0101010101010101)
+_TOPS = U64(0x8080808080808080)
+#: Place of the one with k ones before it in byte v, at 8 v + k.
+_IN_BYTE = np.zeros(2048, np.uint8)
+for _v in range(256):
+    for _k, _place in enumerate(k for k in range(8) if _v >> k & 1):
+        _IN_BYTE[8 * _v + _k] = _place
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the one with ``rank`` ones before it, by halving."""
-    place = np.zeros(len(words), np.int64)
-    words, rank = words.copy(), rank.copy()
-    for half in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(words & U64((1 << half) - 1)).astype(np.int64)
-        right = rank >= below
-        rank -= np.where(right, below, 0)
-        place += np.where(right, half, 0)
-        words = np.where(right, words >> U64(half), words)
-    return place
+    """Place of the one with ``rank`` ones before it: the byte by running sums of all bytes at once, then a table."""
+    rank = rank.astype(U64)
+    sums = words - ((words >> U64(1)) & U64(0x5555555555555555))
+    sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+    sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    shift = np.bitwise_count(((rank * _ONES | _TOPS) - sums) & _TOPS).astype(U64) << U64(3)
+    rank -= ((sums << U64(8)) >> shift) & U64(0xFF)
+    byte = (words >> shift) & U64(0xFF)
+    return (shift + _IN_BYTE[(byte << U64(3)) + rank]).astype(np.int64)
 
 
 class EliasFano:
@@ -86,17 +94,39 @@ class EliasFano:
 
     def _select1(self, rank: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, rank.astype(self.ones.dtype), side="right") - 1
-        return word * 64 + _select_in_word(self.high[word], (rank - self.ones[word]).astype(np.int64))
+        return word * 64 + _select_in_word(self.high[word], rank - self.ones[word])
 
     def _select0(self, rank: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.zeros, rank.astype(self.zeros.dtype), side="right") - 1
-        return word * 64 + _select_in_word(~self.high[word], (rank - self.zeros[word]).astype(np.int64))
+        return word * 64 + _select_in_word(~self.high[word], rank - self.zeros[word])
+
+    def _after(self, place: np.ndarray, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the one (or zero) of ``rank``, the next after ``place``; mostly in the same word."""
+        at = place + 1
+        word = at >> 6
+        bits = self.high[word]
+        bits = (bits if ones else ~bits) >> (at & 63).astype(U64)
+        out = at + np.bitwise_count((bits & (~bits + U64(1))) - U64(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            out[far] = (self._select1 if ones else self._select0)(rank[far])
+        return out
 
     def __getitem__(self, index: np.ndarray) -> np.ndarray:
         index = np.asarray(index, np.int64)
         high = (self._select1(index) - index).astype(U64)
         return (high << U64(self.low_bits)) | unpack_bits(self.low, self.low_bits, index)
 
+    def ranges(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at ``index`` and at the places after."""
+        index = np.asarray(index, np.int64)
+        place = self._select1(index)
+        after = self._after(place, index + 1, True)
+        low = U64(self.low_bits)
+        first = ((place - index).astype(U64) << low) | unpack_bits(self.low, self.low_bits, index)
+        second = ((after - index - 1).astype(U64) << low) | unpack_bits(self.low, self.low_bits, index + 1)
+        return first.astype(np.int64), second.astype(np.int64)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of the first element equal to each value, or -1."""
         values = np.asarray(values, U64)
@@ -109,8 +139,9 @@ class EliasFano:
             return out
         high = high[inside]
         low = values[inside] & ((U64(1) << U64(self.low_bits)) - U64(1))
-        begin = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - high + 1, 0)
-        end = self._select0(high) - high
+        before = np.where(high > 0, self._select0(np.maximum(high - 1, 0)), -1)
+        begin = before - high + 1
+        end = self._after(before, high, False) - high
         stop = end.copy()
         live = np.flatnonzero(begin < end)
         while len(live):  # halve the runs of equal high bits

@@ -3,8 +3,8 @@
 Words are numbered by shard and, within a shard, by the 128-bit hash of their bytes. Level 1 of a shard is the sorted high
 halves of the hashes in Elias-Fano form, the low halves as a check, and exact counts. Level k > 1 holds for each
 (k-1)-gram a range of following word numbers. Ranges are bounded by monotone pointers and the numbers are made monotone by
-adding up ranges, both in Elias-Fano form. A word is found by successor search relative to its context: the value where
-the context's range begins, plus the word's number.
+adding the number of all words for each context, both in Elias-Fano form. A word is found by successor search relative to
+its context: the value at which the context's range begins, plus the word's number.
 
 Each n-gram has its absolutely discounted share of its context and, as a context, the weight it leaves to shorter ones,
 both as one-byte codes of a code book; a token's probability interpolates them from single words up. Every n-gram seen in
@@ -25,18 +25,17 @@ read. A very long text is one row of word numbers in a worker's memory, four byt
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano, quantise
-from heddle.llm.shards import Store, grouped, packed_rows, release, sequence, shard_of_hash
+from heddle.llm.shards import Store, grouped, keep_arrays, packed_rows, release, sequence, shard_of_hash
 from heddle.runtime import Scratch, ship_package
 
 ORDER = 3
@@ -45,19 +44,34 @@ KEEP_FROM = 1
 DISCOUNT = 0.75
 #: Bytes of training text to a shard (some two million tokens), which bounds what one task merges.
 SHARD_BYTES = 12 << 20
-#: Tokens counted or looked up at once, and distinct words a worker remembers.
-CHUNK_TOKENS = 1 << 19
-CACHE_WORDS = 300_000
+#: Bytes of text split at once, tokens counted or looked up at once, and words gathered before they are summed and sent.
+CHUNK_BYTES = 1 << 22
+CHUNK_TOKENS = 1 << 18
+BLOCK_WORDS = 1 << 20
 #: The end token; words are never empty.
 END = b""
 _UNKNOWN = np.iinfo(np.uint32).max
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased, then the end token."""
-    words = text.lower().split() if text else []
-    words.append(END)
-    return words
+def encoded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens, all tokens as their numbers there, and the tokens of each text: words between ASCII white space with
+    A-Z lower-cased, then the end token (the last of the distinct ones)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string(), safe=False).fill_null("")))
+    words = lists.flatten()
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end gives empty pieces
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(some)])[bounds])
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary())
+    data = (names.buffers()[2] or b"") and names.buffers()[2].to_pybytes()
+    edges = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1].tolist() if len(names) else []
+    distinct = [data[a:b] for a, b in zip(edges, edges[1:])]
+    out = np.full(len(coded) + len(sizes), len(distinct), np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = coded.indices.to_numpy(zero_copy_only=False)
+    return [*distinct, END], out, sizes + 1
 
 
 def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +234,7 @@ class Trie:
 
 def _successors(arrays: dict, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Places of the words in their contexts' ranges, -1 where they are not."""
-    pointers, grams = sequence(arrays, f"pointers{level}"), sequence(arrays, f"grams{level}")
+    pointers, grams, width = sequence(arrays, f"pointers{level}"), sequence(arrays, f"grams{level}"), int(arrays["width"][0])
     out = np.full(len(words), -1, np.int64)
     if not grams.n:
         return out
@@ -229,12 +243,11 @@ def _successors(arrays: dict, level: int, contexts: np.ndarray, words: np.ndarra
         order = np.argsort(contexts, kind="stable")
         contexts, words = contexts[order], words[order]
     begins, stops = _edges(contexts)  # each context's range is fetched once
-    at = contexts[begins]
-    begin, end = pointers[at].astype(np.int64), pointers[at + 1].astype(np.int64)
-    before = np.where(begin > 0, grams[np.maximum(begin - 1, 0)], U64(0))
-    run = np.repeat(np.arange(len(begins)), stops - begins)
-    found = grams.find(before[run] + (words + 1).astype(U64))
-    found = np.where((found >= begin[run]) & (found < end[run]), found, -1)
+    begin, end = pointers.ranges(contexts[begins])
+    some = np.repeat(end > begin, stops - begins)
+    found = np.full(len(words), -1, np.int64)
+    found[some] = grams.find((contexts[some] * width + words[some]).astype(U64))
+    found[found >= np.repeat(end, stops - begins)] = -1
     if order is None:
         return found
     out[order] = found
@@ -349,7 +362,7 @@ def _built(levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, word
     by_level = [counts]
     for parents, _ in reversed(levels[1:]):
         by_level.insert(0, np.bincount(parents, by_level[0]).astype(np.int64))
-    arrays: dict[str, np.ndarray] = {}
+    arrays = {"width": np.array([padding])}
     totals, kept_above = word_counts, None
     dealt = np.zeros(0)
     for level, ((parents, words), seen) in enumerate(zip(levels, by_level), 2):
@@ -366,12 +379,7 @@ def _built(levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, word
             left, dealt = left[:own], held[own:]
         per = np.bincount(parents, minlength=len(totals))
         pointers = np.concatenate([[0], np.cumsum(per)])
-        # numbers made monotone: each range starts above the last value of the one before
-        lasts = np.zeros(len(totals), np.int64)
-        full = np.flatnonzero(per)
-        lasts[full] = words[pointers[full + 1] - 1] + 1
-        base = np.concatenate([[0], np.cumsum(lasts)[:-1]]) if len(lasts) else lasts
-        grams = base[parents] + words + 1
+        grams = parents * padding + words  # the padding's number is that of all words
         arrays |= EliasFano.build(pointers).parts(f"pointers{level}") | EliasFano.build(grams).parts(f"grams{level}")
         for name, values in ((f"left{level - 1}", left), (f"share{level}", share)):
             arrays[f"{name}.codes"], book = quantise(np.log10(values))
@@ -383,51 +391,15 @@ def _built(levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, word
 # --- jobs ---------------------------------------------------------------------------------------------------------------
 
 
-class _Words:
-    """A worker's memory of word numbers and counts."""
-
-    def __init__(self, trie: Trie):
-        self.trie = trie
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.numbers, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Slots of the words in ``numbers`` and ``counts``."""
-        if len(self.slots) > CACHE_WORDS:
-            self.clear()
-        new = list(set(words).difference(self.slots))
-        if new:
-            numbers, counts = self.trie.words(new)
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
-            self.numbers, self.counts = np.concatenate([self.numbers, numbers]), np.concatenate([self.counts, counts])
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-
-
-_WORDS: dict[str, _Words] = {}
-
-
-def _worker_words(trie: Trie) -> _Words:
-    if trie.store.name not in _WORDS:  # the last trie's only
-        _WORDS.clear()
-        _WORDS[trie.store.name] = _Words(trie)
-    return _WORDS[trie.store.name]
-
-
-def _token_runs(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(tokens, tokens of each text) of runs of whole texts."""
-    part: list[list[bytes]] = []
-    size = 0
-    for raw in column.cast(pa.binary()).to_pylist():
-        part.append(tokens(raw))
-        size += len(part[-1])
-        if size >= CHUNK_TOKENS:
-            yield list(chain.from_iterable(part)), np.array(list(map(len, part)), np.int64)
-            part, size = [], 0
-    if part:
-        yield list(chain.from_iterable(part)), np.array(list(map(len, part)), np.int64)
+def _token_runs(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """``encoded`` of runs of whole texts of about CHUNK_BYTES."""
+    begin, size = 0, 0
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for k, n in enumerate(lengths.tolist(), 1):
+        size += n
+        if size >= CHUNK_BYTES or k == len(lengths):
+            yield encoded(column.slice(begin, k - begin))
+            begin, size = k, 0
 
 
 def _number_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
@@ -469,12 +441,12 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
     store = Store(scratch.root)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            numbers = np.fromiter(counts.values(), np.int64, len(words))
-            counts.clear()
+            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            held.clear()
+            words, numbers = table.column("word").to_pylist(), table.column("n_sum").to_numpy()
             high, _ = word_hashes(words)
             by_shard = np.argsort(high)
             of = shard_of_hash(high[by_shard], shards)
@@ -486,11 +458,11 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
             release()
 
         for batch in batches:
-            for run, _ in _token_runs(batch.column(0)):
-                counts.update(run)
-                if len(counts) >= CACHE_WORDS:
+            for words, codes, _ in _token_runs(batch.column(0)):
+                held.append(pa.table({"word": pa.array(words, pa.binary()), "n": np.bincount(codes, minlength=len(words))}))
+                if sum(map(len, held)) >= BLOCK_WORDS:
                     yield from flush()
-        if counts:
+        if held:
             yield from flush()
 
     def words_of(shard: int, table: pa.Table) -> list[tuple]:
@@ -525,18 +497,17 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
     trie = Trie(store, bases, total, order, hot[filling], hot_counts[filling], total / shards)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _worker_words(trie)
+        keep_arrays()
         for batch in batches:
             n_tokens, n_known, base, packed = [], [], [], []
-            for run, sizes in _token_runs(batch.column(2)):
-                slots = memory(run)
-                counts = memory.counts
+            for words, codes, sizes in _token_runs(batch.column(2)):
+                own, counts = trie.words(words)
                 starts = np.cumsum(sizes) - sizes
                 n_tokens.append(sizes)
-                n_known.append(np.add.reduceat((counts > 0)[slots].astype(np.int64), starts))
-                base.append(np.add.reduceat(np.log10(trie.share(counts))[slots], starts))
-                numbers = np.where(memory.numbers < 0, _UNKNOWN, memory.numbers).astype("<u4")[slots]
-                packed += [numbers[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist())]
+                n_known.append(np.add.reduceat((counts > 0).astype(np.int64)[codes], starts))
+                base.append(np.add.reduceat(np.log10(trie.share(counts))[codes], starts))
+                numbers = np.where(own < 0, _UNKNOWN, own).astype("<u4")[codes].tobytes()
+                packed += [numbers[4 * s : 4 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist())]
             if packed:
                 columns = [pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(packed, pa.binary())], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "numbers"])
@@ -546,6 +517,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
     rows = scratch.table(rows, "numbers")
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_arrays()
         for _, numbers, sizes in _number_runs(batches, 0):
             yield from packed_rows(list(_counted(numbers, sizes, trie)), ("shard", "tree"))
             release()
@@ -572,6 +544,7 @@ def score(trie: Trie, rows: DataFrame) -> DataFrame:
     """``rows`` of ``build`` with ``score``, the text's log10 probability, in place of the numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_arrays()
         for held, numbers, sizes in _number_runs(batches, 5):
             begins = np.cumsum(sizes) - sizes
             starts = np.zeros(len(numbers), bool)
