@@ -1,34 +1,43 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Test items are short and documents long, so a symmetric similarity says nothing; what counts is the share of an item's
-word shingles that a document holds. Items are partitioned by size (shingle counts from 2^k to 2^(k+1)-1); in a
-partition each item's MinHash sketch is its least hashes, as many as the partition's largest item may miss plus one.
-A document that contains enough of an item therefore holds at least one sketched shingle: the search loses nothing.
-Documents are read once, in place: their shingle hashes are looked up in the sketches, and every (document, item) hit
-is verified on the item's whole shingle set.
-
-The items are a stated query set. They are sent to the tasks in blocks of at most BLOCK_SHINGLES shingles, one pass over
-the documents for each block, so what is broadcast has a fixed bound.
+word shingles that a document holds. Items are partitioned by size (shingle counts from 2^k to 2^(k+1)-1), and each
+partition is an index of its own. In it an item's MinHash sketch is its s least hashes, where s - 1 is what the partition's
+largest item may miss. Containment bound: a document that holds a share c or more of an item of n shingles misses at most
+n - ceil(c n) < s of them, hence not all s sketched ones, so the search loses nothing. A document with fewer than c 2^k
+shingles of any item can hold no item of partition k, and is not looked up there. Documents are read once, in place, with all
+their shingles, since no sketch of a long document says what it lacks. Every (document, item) hit is then decided
+on the shingles themselves, as word tuples.
+
+The items are a stated query set. They are sent to the tasks in blocks of at most BLOCK_SHINGLES shingles, one job over
+the documents for each block, whose hits are written before the next block is built, so that the driver and each task
+hold one block at a time.
 
 Words are maximal runs of letters and digits, lower-cased. An item of fewer than five words has its whole word
-sequence as its only shingle; an item without words is never found, and a null text has no words. Items or documents
-with null ids are searched like others. A repeated item row (same id and text) is searched once, a repeated document row
-gives repeated results.
+sequence as its only shingle; an item without words is never found, and a null text has no words. Ids may be of any type;
+items or documents with null ids are searched like others. A repeated item row (same id and text) is searched once, a
+repeated document row gives repeated results. Items that overlap or tie are all reported. Without items nothing is found,
+and an empty table gives no rows. A very long text is searched whole by one worker, in memory in proportion to its words.
+Extra columns are not read by ``contaminated`` and stay as they are in ``keep_clean``, also under this module's names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heddle.llm.names import columns_of, spare
-from heddle.runtime import ship_package
+from heddle.runtime import Scratch, ship_package
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -36,7 +45,8 @@ CONTAINMENT = 0.8
 BLOCK_SHINGLES = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-FOUND = "array<struct<item_id:bigint,n_item_shingles:bigint,n_found:bigint>>"
+#: Contaminated rows up to which their list is broadcast instead of shuffling all texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,37 +80,35 @@ def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Word numbers, size-partitioned sketches and whole shingle sets of a block of items."""
+    """Word numbers and, for each shingle width and size partition, the sketches of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int = SHINGLE, containment: float = CONTAINMENT):
+    def __init__(self, items: list[tuple[Any, str | None]], width: int = SHINGLE, containment: float = CONTAINMENT):
+        self.width, self.containment = width, containment
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int | None, int, int, np.ndarray]] = []  # id, shingles, least to find, their hashes
-        sketches: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for item_id, text in sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+        self.items: list[tuple[Any, list[str]]] = []
+        sketches: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
+        for item_id, text in dict.fromkeys(items):
             words = words_of(text)
             if not words:
                 continue
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
             span = min(width, len(words))
             hashes = np.unique(_rolled(numbers, span))
-            n = len(hashes)
-            largest = 2 ** n.bit_length() - 1  # of the item's size partition
-            sketch = hashes[: largest - least_found(largest, containment) + 1]
-            sketches.setdefault(span, []).append((sketch, len(self.items)))
-            self.items.append((item_id, n, least_found(n, containment), hashes))
-        self.lookup: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for span, parts in sketches.items():
+            part = len(hashes).bit_length() - 1
+            largest = 2 ** (part + 1) - 1
+            sketches.setdefault((span, part), []).append((hashes[: largest - least_found(largest, containment) + 1], len(self.items)))
+            self.items.append((item_id, words))
+        self.partitions: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for (span, part), parts in sorted(sketches.items()):
             keys = np.concatenate([s for s, _ in parts])
             owners = np.concatenate([np.full(len(s), k, np.int64) for s, k in parts])
             order = np.argsort(keys, kind="stable")
-            self.lookup[span] = keys[order], owners[order]
+            self.partitions.setdefault(span, []).append((least_found(2**part, containment), keys[order], owners[order]))
 
-    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, its shingles, those found) of every item the text contains."""
-        words = words_of(text)
-        numbers = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), np.uint64, len(words))
-        found = []
-        for span, (keys, owners) in self.lookup.items():
+    def candidates(self, numbers: np.ndarray) -> dict[int, set[int]]:
+        """For each shingle width, the items of which a text (as word numbers, 0 for others) holds a sketched shingle."""
+        found: dict[int, set[int]] = {}
+        for span, partitions in self.partitions.items():
             if len(numbers) < span:
                 continue
             known = np.cumsum(np.concatenate([[0], numbers == 0]))
@@ -108,20 +116,33 @@ class ItemIndex:
             if not len(usable):
                 continue
             hashes = np.unique(_rolled(numbers, span)[usable])
-            low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
-            hit = np.flatnonzero(high > low)
-            candidates = {int(k) for j in hit for k in owners[low[j] : high[j]]}
-            for k in sorted(candidates):
-                item_id, n, least, own = self.items[k]
-                held = int(np.isin(own, hashes, assume_unique=True).sum())
-                if held >= least:
-                    found.append((item_id, n, held))
+            for least, keys, owners in partitions:
+                if len(hashes) < least:
+                    break  # nor any larger partition
+                low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
+                for j in np.flatnonzero(high > low):
+                    found.setdefault(span, set()).update(owners[low[j] : high[j]].tolist())
         return found
 
-
-def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    def search(self, text: str | None) -> list[tuple[Any, int, int]]:
+        """(item_id, its shingles, those found) of every item the text contains."""
+        words = words_of(text)
+        numbers = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), np.uint64, len(words))
+        out = []
+        for span, owners in self.candidates(numbers).items():
+            held = shingles_of(words, span)
+            for k in sorted(owners):
+                item_id, own = self.items[k]
+                asked = shingles_of(own, span)
+                n = len(asked & held)
+                if n >= least_found(len(asked), self.containment):
+                    out.append((item_id, len(asked), n))
+        return out
+
+
+def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[Any, str | None]]]:
     """The items in blocks of bounded size, one partition of them at the driver at a time."""
-    block: list[tuple[int | None, str | None]] = []
+    block: list[tuple[Any, str | None]] = []
     size = 0
     for row in items.select("item_id", "text").toLocalIterator():
         size += len(words_of(row[1]))
@@ -133,33 +154,70 @@ def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None
         yield block
 
 
-def _searcher(shared: Broadcast):
-    @F.arrow_udf(FOUND)
+def _searcher(shared: Broadcast, id_type: T.DataType):
+    fields = T.StructType([T.StructField("item_id", id_type), T.StructField("n_item_shingles", T.LongType()), T.StructField("n_found", T.LongType())])
+    kind = to_arrow_type(T.ArrayType(fields))
+
+    @F.arrow_udf(T.ArrayType(fields))
     def contained(text: pa.Array) -> pa.Array:
         index: ItemIndex = shared.value
-        rows = [[dict(zip(("item_id", "n_item_shingles", "n_found"), x)) for x in index.search(t)] for t in text.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("n_item_shingles", pa.int64()), ("n_found", pa.int64())])))
+        names = ("item_id", "n_item_shingles", "n_found")
+        return pa.array([[dict(zip(names, x)) for x in index.search(t)] for t in text.to_pylist()], kind)
 
     return contained
 
 
-def _marked(docs: DataFrame, items: DataFrame, width: int, containment: float, limit: int, name: str) -> DataFrame:
-    """``docs`` with a column ``name``: the items each document contains, of all blocks together."""
+def _by_block(docs: DataFrame, columns: list[Column], items: DataFrame, width: int, containment: float, limit: int) -> DataFrame | None:
+    """``columns`` and ``found`` of the documents that contain an item, of all blocks; None without items. The hits of each
+    block but an only one are written before the next is built."""
     spark = docs.sparkSession
     ship_package(spark)
-    columns = [_searcher(spark.sparkContext.broadcast(ItemIndex(block, width, containment)))("text") for block in _item_blocks(items, limit)]
-    return docs.withColumn(name, F.concat(*columns) if columns else F.array().cast(FOUND))
+    id_type = items.schema["item_id"].dataType
+    scratch = Scratch(spark, "decontamination")
+    parts: list[DataFrame] = []
+    blocks = _item_blocks(items, limit)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(ItemIndex(block, width, containment))
+        found = docs.select(*columns, _searcher(shared, id_type)("text").alias("found")).where(F.size("found") > 0)
+        if parts or after is not None:
+            found = scratch.table(found, f"block-{len(parts)}")
+            shared.destroy()
+        parts.append(found)
+        block = after
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment: float = CONTAINMENT, limit: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_found): every item of which a document holds the given share of shingles."""
-    found = _marked(docs.select("doc_id", "text"), items, width, containment, limit, "found")
+    found = _by_block(docs.select("doc_id", "text"), [F.col("doc_id")], items, width, containment, limit)
+    if found is None:
+        none = docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], items.schema["item_id"]]))
+        return none.select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_found"))
     return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
-    """The documents that contain no item, with the columns of ``docs``."""
-    name = spare(docs, "__found")
-    marked = _marked(docs, items, SHINGLE, CONTAINMENT, limit, name)
-    return marked.where(F.size(name) == 0).select(*columns_of(docs))
-
+    """The documents that contain no item, with the columns of ``docs``. With several blocks, the texts that hold an item
+    are named by their SHA-256 in the written hits and taken out at the end."""
+    blocks = 0
+    for block in _item_blocks(items, limit):
+        blocks += 1
+        if blocks > 1:
+            break
+        only = block
+    if not blocks:
+        return docs
+    if blocks == 1:
+        spark = docs.sparkSession
+        ship_package(spark)
+        name = spare(docs, "__found")
+        shared = spark.sparkContext.broadcast(ItemIndex(only))
+        marked = docs.withColumn(name, _searcher(shared, items.schema["item_id"].dataType)("text"))
+        return marked.where(F.size(name) == 0).select(*columns_of(docs))
+    named = F.sha2(F.coalesce("text", F.lit("")), 256)
+    hits = _by_block(docs, [named.alias("hit")], items, SHINGLE, CONTAINMENT, limit).select("hit").distinct()
+    hits = Scratch(docs.sparkSession, "decontamination").table(hits, "hits")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    return docs.join(hits, named == F.col("hit"), "left_anti").select(*columns_of(docs))

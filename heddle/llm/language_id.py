@@ -5,17 +5,24 @@ n-grams, the longest known ones only: 5-grams, else 4-grams and so on down to si
 boundaries marked. A text's language is the one with the greatest sum, and the score is its share after a softmax
 over the mean evidence of a word, sharpened with the square root of the number of words.
 
-Counts come from a bounded sample: about SAMPLE_ROWS labelled documents of each language, chosen by hash of the id.
-
-Odd input: a null text, or one without a letter, is ``und`` with score 0; null labels teach nothing; without any label all
-texts are ``und``; equal sums go to the language that sorts first.
+A word is a maximal run of letters (Unicode category L) of the lower-cased text, in training and in prediction alike.
+Counts come from a bounded sample of whole documents: about SAMPLE_ROWS labelled ones of each language, and no more than
+hold SAMPLE_CHARS characters on average, chosen by hash of the id.
+
+Odd input: a null text, or one without a letter (numerals are none), is ``und`` with score 0; null labels teach nothing;
+without any label all texts are ``und``; equal sums go to the language that sorts first. Repeated rows are predicted, and
+learned from, as often as they occur. A very long text is scored whole, in one worker, with memory in proportion to its
+words. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +35,21 @@ from heddle.runtime import ship_package
 
 #: Labelled documents of each language that counts are taken from at most (about).
 SAMPLE_ROWS = 1500
+#: Characters of each language's sample at most (about).
+SAMPLE_CHARS = 30_000_000
 #: A word is known from this many sightings on; rarer ones only feed the n-grams.
 KNOWN_FROM = 2
 LONGEST = 5
 SMOOTHING = 0.5
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters: what ``\\w`` takes, without the underscore and all numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    return _LETTERS.findall((text or "").lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -98,7 +113,7 @@ class Scorer(dict):
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if len(self) > CACHE_WORDS:
@@ -131,15 +146,25 @@ def _predictor(shared: Broadcast):
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BackoffModel:
     """A model of ``rows`` (doc_id, text, lang), all of which may be learned from."""
     usable = rows.where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.count("*")).collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(F.count("*"), F.sum(F.length("text"))).collect()}
     if not sizes:
         return BackoffModel([])
     share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-    counted = usable.where(sampled(F.col("doc_id"), share)).select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    found = counted.toPandas().sort_values(["lang", "word"], kind="stable")
+    for lang, (n, chars) in sorted(sizes.items()):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n, SAMPLE_CHARS / max(1, chars)))).otherwise(share)
+    ship_package(rows.sparkSession)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update((lang, word) for word in words_of(text))
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.string()) for j in range(2)] + [pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
+
+    chosen = usable.where(sampled(F.col("doc_id"), share)).select(F.col("lang").cast("string"), "text")
+    counted = chosen.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = counted.toPandas().sort_values(["lang", "word"], kind="stable")  # bounded by the sample
     return BackoffModel(list(zip(found["lang"], found["word"], found["n"].astype(int))))
 
 

@@ -58,10 +58,12 @@ p AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+c AS (SELECT page_id, host, path, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS chost, url_decode(path) AS cpath FROM q),
 h AS (
   SELECT page_id, host, path, e.key, e.verdict, e.is_rule,
     row_number() OVER (PARTITION BY page_id ORDER BY e.is_rule DESC NULLS LAST, length(e.key) DESC, e.key) AS k
-  FROM q LEFT JOIN e ON host <> '' AND (host = split_part(e.key, '/', 1) OR ends_with(host, '.' || split_part(e.key, '/', 1)))
-    AND starts_with(path, substr(e.key, strpos(e.key, '/'))))
+  FROM c LEFT JOIN e ON host <> ''
+    AND CASE WHEN is_rule THEN (host = split_part(e.key, '/', 1) OR ends_with(host, '.' || split_part(e.key, '/', 1))) AND starts_with(path, substr(e.key, strpos(e.key, '/')))
+      ELSE (chost = split_part(e.key, '/', 1) OR ends_with(chost, '.' || split_part(e.key, '/', 1))) AND starts_with(cpath, substr(e.key, strpos(e.key, '/'))) END)
 SELECT page_id, host, path, CASE WHEN is_rule THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM h WHERE k = 1""",
 }

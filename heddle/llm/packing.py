@@ -10,7 +10,8 @@ Tokenising is exact: texts of plain Latin characters are split here and their wo
 tokenizer's own answers; every other text goes to the tokenizer whole.
 
 Odd input: a null text counts as the empty text, which is the end token alone; repeated rows are packed each; ids may be
-null. An empty table gives no pieces.
+null and of any type. An empty table gives no pieces. Pieces of equal length tie and take places in the order of partitions
+and rows. A very long text is tokenised whole in one worker and cut; only its pieces go on. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from heddle.runtime import Scratch, ship_package
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Rows of the list of lengths by partition up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 #: Words whose token ids a worker keeps; beyond it the cache is emptied.
 CACHE_WORDS = 500_000
 
@@ -118,32 +121,37 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
-def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(length, CRC-32) of each piece; only documents longer than a sequence are cut."""
+def cut(ids: bytes, capacity: int = CAPACITY) -> list[bytes]:
+    """The pieces; only documents longer than a sequence are cut."""
     width = 4 * capacity
-    parts = [ids[k : k + width] for k in range(0, len(ids), width)]
-    return [(len(part) // 4, zlib.crc32(part)) for part in parts]
+    return [ids[k : k + width] for k in range(0, len(ids), width)]
 
 
-def _pieces(path: str | None, capacity: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str | None, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path or tokenizer_path())
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows, piece, length, crc, ordinal = [], [], [], [], []
+            rows, piece, length, crc, ordinal, whole = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for k, (size, check) in enumerate(cut(words.ids_of(text or "") + end, capacity)):
+                for k, part_ids in enumerate(cut(words.ids_of(text or "") + end, capacity)):
+                    size = len(part_ids) // 4
                     rows.append(row)
                     piece.append(k)
                     length.append(size)
-                    crc.append(check)
+                    crc.append(zlib.crc32(part_ids))
+                    if with_ids:
+                        whole.append(np.frombuffer(part_ids, "<i4"))
                     ordinal.append(int(seen[size]))
                     seen[size] += 1
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             numbers = [pa.array(x, t) for x, t in ((piece, pa.int32()), (length, pa.int64()), (crc, pa.int64()), ([part] * len(rows), pa.int32()), (ordinal, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([ids, *numbers], names=["doc_id", "piece", "length", "ids_crc32", "part", "ordinal"])
+            columns = dict(zip(("doc_id", "piece", "length", "ids_crc32", "part", "ordinal"), [ids, *numbers]))
+            if with_ids:
+                columns["ids"] = pa.array(whole, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -217,14 +225,16 @@ def _places(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*rows)) if rows else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, the token ids."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "packing")
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("ordinal", T.LongType())])
-    pieces = scratch.table(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, None), schema), "pieces")
+    fields = [("doc_id", id_type), ("piece", T.IntegerType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("part", T.IntegerType()), ("ordinal", T.LongType())]
+    fields += [("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
+    pieces = scratch.table(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, with_ids), schema), "pieces")
     counts = scratch.table(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {row[0]: row[1] for row in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     shared = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
@@ -240,10 +250,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
 
     before = F.sum("n").over(_by_length()) - F.col("n")
     bases = counts.select(F.col("length").alias("__length"), F.col("part").alias("__part"), before.alias("__before"))
+    # a row for each length in each partition: no key holds more pieces than one partition gave
+    bases = F.broadcast(bases) if counts.count() <= BROADCAST_ROWS else bases.hint("merge")
     ranked = pieces.join(bases, (F.col("length") == F.col("__length")) & (F.col("part") == F.col("__part")))
     at = place(F.col("length"), F.col("__before") + F.col("ordinal"))
-    out = ranked.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "length", "ids_crc32", at.alias("at"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    ids = ["ids"] if with_ids else []
+    out = ranked.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "length", "ids_crc32", at.alias("at"), *ids)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *ids)
 
 
 def _by_length():

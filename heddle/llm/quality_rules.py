@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.folds import sampled
 from heddle.llm.names import columns_of, spare
 from heddle.runtime import ship_package
 
@@ -46,16 +47,22 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    keys = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    numbers = {word: k for k, word in enumerate(dict.fromkeys(words))}
+    keys = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
     windows = np.zeros(n, np.uint64)
     for k in range(width):
         windows *= _MIX
         windows += keys[k : n + k]
-    ordered = np.sort(windows)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
+    order = np.argsort(windows, kind="stable")
+    ordered = windows[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    if not len(same):
         return 0
-    hits = np.flatnonzero(np.isin(windows, twice))
+    suspects = np.unique(np.concatenate([order[same], order[same + 1]]))  # the few windows whose hash is not alone
+    seen: dict[bytes, list[int]] = {}
+    for k in suspects.tolist():
+        seen.setdefault(keys[k : k + width].tobytes(), []).append(k)
+    hits = np.array([k for places in seen.values() if len(places) > 1 for k in places], np.int64)
     edges = np.zeros(len(words) + 1, np.int32)
     np.add.at(edges, hits, 1)
     np.add.at(edges, hits + width, -1)
@@ -228,7 +235,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     share = min(1.0, sample_rows / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(sampled(F.col("doc_id"), share))
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")

@@ -24,7 +24,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, scanned once per distinct text through the blob ledger."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digest(secrets.findings_by_path(docs, secrets.scan(docs, Scratch(spark, "secrets"))))
+    scratch = Scratch(spark, "secrets")
+    found = scratch.table(secrets.scan(docs, scratch), "findings")
+    return secrets.digest(secrets.findings_by_path(docs, found))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

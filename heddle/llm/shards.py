@@ -45,8 +45,9 @@ BATCH_BYTES = 1 << 21
 #: Shards a worker keeps mapped.
 OPEN_SHARDS = 512
 
-_BASE = 0xD6E8FEB86659FD93
-BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+#: Two polynomials, so that names have 128 bits: a base and a number for each byte value.
+_BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
+BYTE_CODES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1) for seed in (20, 21)]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -55,8 +56,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _powers(_BASE, 1 << 16)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), 1 << 16)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,12 +65,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if n > len(_UP):
-        size = 1 << (n - 1).bit_length()
-        _UP, _DOWN = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
-    return _UP, _DOWN
+def powers_for(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base up to at least the n-th, and of its inverse."""
+    if which not in _POWERS or n > len(_POWERS[which][0]):
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        _POWERS[which] = _powers(_BASES[which], size), _powers(pow(_BASES[which], -1, 1 << 64), size)
+    return _POWERS[which]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,31 +1,33 @@
-"""Removal of repeated byte strings by a distributed suffix order over a difference cover.
+"""Removal of repeated byte strings through a sampled cover of positions and names of what stands around them.
 
 A byte goes if a string of LENGTH bytes covers it that also starts earlier (in a smaller document, or earlier in the same).
 
-The classic scheme sorts the suffixes at a difference cover of positions, names them, and merges the remaining suffixes
-with those names: what makes it work is that any two positions meet the cover after the same shift. Here only equal strings
-of LENGTH bytes matter, so the cover is taken from the content: of the positions in a string, the one whose ANCHOR bytes
-hash least. Any two equal strings meet it after the same shift, and one position in some 25 is sampled instead of two in
-three. The steps are
-
-1. sample: names of the anchors; those that occur only once in the corpus cannot lie in a repeated string and are dropped;
-2. recurse on names: a sampled suffix and what stands before it are named by the triple of names (left context, anchor,
-   right context), which spans every string that has this anchor. Names are sorted, adjacent equal ones compared: all but
-   the first of equal triples repeat with all their strings, and need no more work;
-3. merge the rest: where one anchor has different triples, the strings of the first of each triple are named one by one,
-   sorted, and adjacent equal names compared; all but the first repeat;
+The classic scheme sorts the suffixes at a difference cover of positions, recurses on their names and merges the remaining
+suffixes with them. This operator keeps the idea of a cover and gives up the order of suffixes, which nothing here needs: only
+equal strings of LENGTH bytes matter. No suffix is sorted and nothing recurses. The cover is taken from the content: of the
+positions in a string, the one whose ANCHOR bytes hash least. Any two equal strings meet it after the same shift, and one
+position in some 25 is sampled instead of two in three. The steps are
+
+1. anchors: names of the sampled substrings are counted; those that occur only once in the corpus cannot lie in a repeated
+   string and are dropped;
+2. triples: an anchor is named together with what stands before and after it, which spans every string that has this
+   anchor. Equal triples are grouped: all but the first repeat with all their strings, and need no more work;
+3. strings: where one anchor has different triples, the strings of the first of each triple are named one by one and
+   grouped; all but the first of equal ones repeat;
 4. the strings found are united per document and cut out.
 
 Before anything is shuffled each task settles what it can alone: of equal triples or names in a block only the first goes
 on, and an anchor with many different triples is known to have several without sending them. So a passage that a third
 of all documents share reaches its shard as a few rows per task.
 
-Names are 64-bit hashes and not dense ranks: equal strings get equal names, and two different ones of n strings share a
-name with a chance of n^2 / 2^65. No step pairs the members of a group, and no text is shuffled: what a document
-must know comes from sorted shard files in the shared folder, by its key.
+Triples and strings are named by 128 bits (two polynomials): two different ones of n share a name with a chance of n^2 /
+2^129. Anchors are named by 64 bits, which only choose what is looked at. No step pairs the members of a group, and no text
+is shuffled. The number of shards follows from the bytes of the texts, so that one shard's rows fit a worker.
 
-Odd input: a null text counts as empty; rows repeated with the same id and text are one document; different texts under
-one id are ordered by their hash; null ids come after all others. A text shorter than LENGTH bytes is kept whole.
+Odd input: a null text counts as empty; rows of one id and text are one document, so each gets the same result; texts under
+one id are ordered by their hash; null ids come after all others. Ids that are no integers are ordered by a hash of their
+text. A text shorter than LENGTH bytes is kept whole. A very long text is read in pieces. An empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.llm.elias_fano import U64, EliasFano
 from heddle.llm.shards import BYTE_CODES, Blocks, Store, grouped, merged, mixed, packed_rows, powers_for, release, sequence, shard_of_hash
@@ -51,26 +54,26 @@ _PLACE = U64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
 _SCALE = U64(0x9E3779B97F4A7C15)
 
-#: Shards for each shuffle partition: a shard is compared in memory, so they are kept small.
-SHARDS_PER_PARTITION = 2
+#: Bytes of text to a shard: a shard is compared in memory, so they are kept small.
+SHARD_BYTES = 8 << 20
 #: Triples of one anchor in a block of one task from which they bypass the anchor's shard.
 CROWD = 64
 
 #: One sampled position: its anchor's and its triple's name, the document, the anchor's start, and the first and last start
 #: of the strings that have this anchor.
-SAMPLE = np.dtype([("anchor", "<u8"), ("triple", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4"), ("low", "<u4"), ("high", "<u4")])
-STRING = np.dtype([("name", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4")])
+SAMPLE = np.dtype([("anchor", "<u8"), ("triple", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4"), ("low", "<u4"), ("high", "<u4")])
+STRING = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4")])
 RANGE = np.dtype([("key", "<u8"), ("at", "<u4"), ("low", "<u4"), ("high", "<u4")])
 PACKED = "shard int, rows binary"
 
 
 class Names:
-    """Names of substrings of a byte array from running sums of a polynomial."""
+    """Names of substrings of a byte array from running sums of one of the two polynomials."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers_for(len(data) + 1)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = powers_for(len(data) + 1, which)
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE_CODES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(BYTE_CODES[which][data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         size = (stop - start).astype(U64)
@@ -90,9 +93,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def sample(data: np.ndarray, bounds: np.ndarray, first: int, last: int) -> tuple[np.ndarray, ...]:
     """The cover of the strings that start in [first, last) and lie within one text (``bounds`` are the texts' edges).
 
-    Arrays: number of the text, anchor's start, first and last string start, anchor's name, triple's name.
+    Arrays: number of the text, anchor's start, first and last string start, anchor's name, triple's name and its check.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64, U64))
     last = min(last, len(data) - LENGTH + 1)
     if last <= first:
         return none
@@ -115,7 +118,9 @@ def sample(data: np.ndarray, bounds: np.ndarray, first: int, last: int) -> tuple
     left = np.maximum(place - (LENGTH - ANCHOR), bounds[text])
     right = np.minimum(place + LENGTH, bounds[text + 1])
     triple = mixed(mixed(names(left, place) + _SCALE * own) + names(place + ANCHOR, right) * _SCALE)
-    return text, place, low, high, own, triple
+    other = Names(data, 1)
+    check = mixed(mixed(other(left, place) + _SCALE * other(place, place + ANCHOR)) + other(place + ANCHOR, right) * _SCALE)
+    return text, place, low, high, own, triple, check
 
 
 def sampled(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -126,9 +131,9 @@ def sampled(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     def joined() -> tuple[np.ndarray, ...]:
         bounds = np.concatenate([[0], np.cumsum([len(texts[k]) for k in run])])
         data = np.frombuffer(b"".join(texts[k] for k in run), np.uint8)
-        text, place, low, high, own, triple = sample(data, bounds, 0, len(data))
+        text, place, low, high, *names = sample(data, bounds, 0, len(data))
         begin = bounds[text]
-        return np.array(run, np.int64)[text], place - begin, low - begin, high - begin, own, triple
+        return np.array(run, np.int64)[text], place - begin, low - begin, high - begin, *names
 
     for k, text in enumerate(texts):
         if len(text) < LENGTH:
@@ -140,7 +145,7 @@ def sampled(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
                 data = np.frombuffer(text, np.uint8)[begin:stop]
                 # an edge that is not the text's lies beyond any context of these strings
                 found = sample(data, np.array([0, len(data)]), first - begin, first - begin + PIECE)
-                yield np.full(len(found[0]), k), found[1] + begin, found[2] + begin, found[3] + begin, found[4], found[5]
+                yield np.full(len(found[0]), k), found[1] + begin, found[2] + begin, found[3] + begin, *found[4:]
             continue
         if size + len(text) > PIECE and run:
             yield joined()
@@ -159,6 +164,14 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _order(docs: DataFrame) -> Column:
+    """The id, or where ids are no integers the hash of its text."""
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return own.cast("long")
+    return F.when(own.isNotNull(), F.xxhash64(own.cast("string")))
+
+
 def doc_keys(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
     whole = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts))
     return mixed(whole + ids.astype(U64) * _SCALE)
@@ -233,11 +246,11 @@ def _distinct(rows: np.ndarray, names: list[str]) -> np.ndarray:
 def _triples(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted rows, marks of those at the place of their triple's first, each row's anchor, and its triple's number within
     the anchor."""
-    rows = _distinct(rows, ["anchor", "triple", "doc", "key", "at", "low", "high"])
+    rows = _distinct(rows, ["anchor", "triple", "check", "doc", "key", "at", "low", "high"])
     if not len(rows):
         return rows, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     fresh_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
-    fresh = fresh_anchor | np.concatenate([[True], rows["triple"][1:] != rows["triple"][:-1]])
+    fresh = fresh_anchor | np.concatenate([[True], (rows["triple"][1:] != rows["triple"][:-1]) | (rows["check"][1:] != rows["check"][:-1])])
     head = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
     leading = (rows["key"] == head["key"]) & (rows["at"] == head["at"])
     anchor, nth = np.cumsum(fresh_anchor) - 1, np.cumsum(fresh) - 1
@@ -270,8 +283,8 @@ def compare_strings(rows: np.ndarray) -> np.ndarray:
 
 def combine_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first of each name, the others, none open)."""
-    rows = _distinct(rows, ["name", "doc", "key", "at"])
-    again = np.concatenate([[False], rows["name"][1:] == rows["name"][:-1]]) if len(rows) else np.zeros(0, bool)
+    rows = _distinct(rows, ["name", "check", "doc", "key", "at"])
+    again = np.concatenate([[False], (rows["name"][1:] == rows["name"][:-1]) & (rows["check"][1:] == rows["check"][:-1])]) if len(rows) else np.zeros(0, bool)
     return rows[~again], rows[again], rows[:0]
 
 
@@ -328,9 +341,10 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
     """Finds all repeated strings of (doc_id, text); the store has each document's ranges under ``cut``."""
     spark = docs.sparkSession
     ship_package(spark)
-    shards = shards or SHARDS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(_order(docs).alias("doc_id"), "text")
+    if shards is None:
+        shards = -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES) or 1
     store = Store(scratch.root)
-    docs = docs.select("doc_id", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(shards, 1 << 18)
@@ -356,7 +370,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
             keys = doc_keys(ids, texts)
             found = list(sampled(texts))
             if found:  # the whole batch at once, so that each shard is asked once
-                text, at, low, high, own, triple = (np.concatenate(x) for x in zip(*found))
+                text, at, low, high, own, triple, check = (np.concatenate(x) for x in zip(*found))
                 kept = np.zeros(len(own), bool)
                 of = shard_of_hash(own, shards)
                 order = np.argsort(of, kind="stable")
@@ -366,7 +380,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
                     if arrays:
                         kept[order[a:b]] = sequence(arrays, "keys").find(own[order[a:b]] - U64(arrays["first"][0])) >= 0
                 rows = np.empty(int(kept.sum()), SAMPLE)
-                for name, values in (("anchor", own), ("triple", triple), ("doc", ids[text]), ("key", keys[text]), ("at", at), ("low", low), ("high", high)):
+                for name, values in (("anchor", own), ("triple", triple), ("check", check), ("doc", ids[text]), ("key", keys[text]), ("at", at), ("low", low), ("high", high)):
                     rows[name] = values[kept]
                 yield from sender.add(rows)
         yield from sender.flush()
@@ -406,7 +420,8 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
                     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     start = np.repeat(begin, n) + inner
                     rows = np.empty(len(start), STRING)
-                    rows["name"] = Names(np.frombuffer(b"".join(parts), np.uint8))(start, start + LENGTH)
+                    data = np.frombuffer(b"".join(parts), np.uint8)
+                    rows["name"], rows["check"] = (Names(data, which)(start, start + LENGTH) for which in (0, 1))
                     rows["doc"], rows["key"], rows["at"] = ids[k], keys[k], np.repeat(low[a : a + 2048], n) + inner
                     yield from sender.add(rows)
         yield from sender.flush()
@@ -439,7 +454,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return docs.select("doc_id", digest(F.col("doc_id"), F.col("text")).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", digest(_order(docs), F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
@@ -452,4 +467,4 @@ def removed_runs(docs: DataFrame) -> DataFrame:
         rows = [[{"begin": a, "stop": b} for a, b in united(*f)] if f else [] for f in found]
         return pa.array(rows, pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())])))
 
-    return docs.select("doc_id", F.explode(runs(F.col("doc_id"), F.col("text"))).alias("r")).select("doc_id", "r.begin", "r.stop")
+    return docs.select("doc_id", F.explode(runs(_order(docs), F.col("text"))).alias("r")).select("doc_id", "r.begin", "r.stop")

@@ -11,7 +11,9 @@ Training reads about SAMPLE_ROWS toxic and OTHER_ROWS other labelled documents,
 
 Odd input: null and empty texts have no window and score as the bias alone would for a neutral one; null labels and
 null ids teach nothing; a document labelled twice counts as toxic if either label says so; with only one label, or none,
-every score is 0.
+every score is 0. Repeated rows score alike; windows that tie count once. A very long text is scored whole, in memory in
+proportion to its words; the training sample is bounded in documents and, by SAMPLE_CHARS, in characters. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from heddle.runtime import ship_package
 
 #: Toxic and other labelled documents that are learned from at most (about).
 SAMPLE_ROWS, OTHER_ROWS = 800, 1600
+#: Characters of each label's sample at most (about).
+SAMPLE_CHARS = 20_000_000
 WINDOW = 6
 DIMENSION = 12
 BUCKETS = 1 << 16
@@ -251,7 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
     sizes = {r[0]: r[1] for r in usable.groupBy("__toxic").agg(F.count("*")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(None)
-    share = F.when(F.col("__toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, other_rows / sizes[0])))
+    mean = docs.agg(F.avg(F.length("text"))).first()[0] or 1.0
+    least = max(1, int(SAMPLE_CHARS / max(1.0, mean)))
+    shares = {1: min(1.0, min(sample_rows, least) / sizes[1]), 0: min(1.0, min(other_rows, least) / sizes[0])}
+    share = F.when(F.col("__toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     chosen = usable.where(sampled(F.col("doc_id"), share))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train([t if isinstance(t, str) else None for t in rows["text"]], rows["__toxic"].to_numpy(np.int64), sizes[1] / sizes[0])

@@ -1,16 +1,23 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
 A listed entry is a canonical host and path prefix, such as ``example.org/es/``; it fits its host and all subdomains
-and every path that starts with its path. A URL's candidate keys are its host and parent domains, each with every prefix
-of its path of a length that occurs in the list. The Bloom filter keeps each key's bits in one 512-bit block, so a test
-touches one block; keys that pass go to an exact join with the list, which removes false positives. The longest
-fitting rule decides, and of URLs without a rule a fitting entry of the block list.
+and every path that starts with its path. Canonical means: without user, port and trailing dots, the host's A-Z in lower
+case, the path's percent-codes resolved. ``canonical_entries`` makes entries of a table of URLs, whatever its size. Rules are
+compared with the host and path as they stand, listed entries with the canonical ones.
 
-The filter is broadcast only up to FILTER_BYTES; a longer list is joined without it. Work is done on distinct URLs, so
-repeated pages cost one look-up.
+A URL's candidate keys are its host and parent domains, each with every prefix of its path of a length that occurs in the
+list. The Bloom filter keeps each key's bits in one 512-bit block, so a test touches one block; keys that pass go to an
+exact join with the list, which removes false positives. The longest fitting rule decides, and of URLs without a rule a
+fitting entry of the block list.
+
+The filter is built where the list is: in parts by key hash, PART_KEYS keys each, written as files that the workers map.
+Neither keys nor bits pass the driver, and a worker's memory holds the blocks it touches. Work is done on distinct URLs,
+so repeated pages cost one look-up, and findings join back apart for URLs that very many pages share.
 
 Odd input: a null URL, or one without ``://``, has an empty host and path, fits nothing and is allowed. Equally long rules
-go to the one that sorts first. Rows with null ids are judged like others.
+go to the one that sorts first. Rows with null ids are judged like others, repeated rows each. A percent-code that is none
+leaves the path as it is. An empty list allows all; an empty table gives no rows. A very long URL costs its labels times the
+list's path lengths. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.runtime import ship_package
+from heddle.llm.joins import BROADCAST_ROWS, join_found
+from heddle.llm.shards import Store, grouped, mixed, shard_of_hash
+from heddle.runtime import Scratch, ship_package
 
 #: The rules (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -35,8 +43,9 @@ LISTED = tuple(f"{name}.example.{top}/" for name in ("adult-x", "casino-win", "f
 BITS_PER_KEY = 16
 HASHES = 6
 BLOCK_BITS = 512
-#: Greatest filter that is broadcast; 2^26 bytes hold some 33 million keys.
-FILTER_BYTES = 1 << 26
+#: Keys of one part of the filter (8 MB of bits).
+PART_KEYS = 1 << 22
+SEED = 42
 #: Entries up to which the exact join broadcasts the list.
 SMALL_LIST = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,17 +63,30 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
+def canonical_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 class BlockedBloom:
     """Bits of 64-bit key hashes; the high half picks a block, the low half its bits by double hashing."""
 
-    def __init__(self, hashes: np.ndarray, bits_per_key: int = BITS_PER_KEY):
-        self.blocks = max(1, -(-len(hashes) * bits_per_key // BLOCK_BITS))
-        self.bits = np.zeros(self.blocks * (BLOCK_BITS // 8), np.uint8)
-        for at in self._places(hashes):
-            np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    def __init__(self, blocks: int, bits: np.ndarray):
+        self.blocks, self.bits = blocks, bits
+
+    @classmethod
+    def build(cls, hashes: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> BlockedBloom:
+        blocks = max(1, -(-len(hashes) * bits_per_key // BLOCK_BITS))
+        bloom = cls(blocks, np.zeros(blocks * (BLOCK_BITS // 8), np.uint8))
+        for at in bloom._places(hashes):
+            np.bitwise_or.at(bloom.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return bloom
 
     def _places(self, hashes: np.ndarray):
-        block = ((hashes >> np.uint64(32)) % np.uint64(self.blocks)).astype(np.int64) * BLOCK_BITS
+        block = (mixed(hashes) % np.uint64(self.blocks)).astype(np.int64) * BLOCK_BITS
         first = (hashes & np.uint64(0xFFFF)).astype(np.int64)
         step = ((hashes >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64) | 1
         for k in range(HASHES):
@@ -78,7 +100,8 @@ class BlockedBloom:
 
 
 def key_hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+    """The hashes that ``F.xxhash64`` gives."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys, [SEED] * len(keys)), np.uint64, len(keys))
 
 
 def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
@@ -91,17 +114,37 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
 
 
-def _passing(shared: Broadcast):
+def _filter(listed: DataFrame, n: int, scratch: Scratch, part_keys: int) -> tuple[Store, int]:
+    """Writes the filter of ``listed`` in parts by key hash."""
+    parts, store = max(1, -(-n // part_keys)), Store(scratch.root)
+    high = F.shiftrightunsigned(F.xxhash64("key"), 32)
+    hashed = listed.select(F.shiftright(high * F.lit(parts), 32).cast("int").alias("shard"), F.xxhash64("key").alias("h")).distinct()
+
+    def build(shard: int, table: pa.Table) -> list[tuple]:
+        bloom = BlockedBloom.build(table.column("h").to_numpy().astype(np.int64).view(np.uint64))
+        return [(shard, store.put(f"bloom-{shard}", {"blocks": np.array([bloom.blocks]), "bits": bloom.bits}))]
+
+    scratch.table(grouped(hashed, build, "shard int, file string"), "filter")
+    return store, parts
+
+
+def _passing(store: Store, parts: int):
     """Rows (url, keys) to rows (url, key) of the keys that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom: BlockedBloom = shared.value
         for batch in batches:
             keys = batch.column(1)
             flat = keys.flatten()
-            passed = np.flatnonzero(bloom.may_hold(key_hashes(flat.to_pylist())))
-            rows = pc.list_parent_indices(keys).take(pa.array(passed))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), flat.take(pa.array(passed))], names=["url", "key"])
+            hashes = key_hashes(flat.to_pylist())
+            passed = np.zeros(len(hashes), bool)
+            of = shard_of_hash(hashes, parts)
+            for part in np.unique(of).tolist():
+                arrays = store.open(f"bloom-{part}")
+                if arrays:
+                    own = np.flatnonzero(of == part) if parts > 1 else slice(None)
+                    passed[own] = BlockedBloom(int(arrays["blocks"][0]), arrays["bits"]).may_hold(hashes[own])
+            some = pa.array(np.flatnonzero(passed))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.list_parent_indices(keys).take(some)), flat.take(some)], names=["url", "key"])
 
     return run
 
@@ -112,22 +155,37 @@ def entries(spark, rules=RULES, listed=LISTED) -> DataFrame:
     return spark.createDataFrame(rows, "key string, verdict string, is_rule boolean")
 
 
-def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
+def canonical_entries(urls: DataFrame, column: str = "url") -> DataFrame:
+    """(key, verdict, is_rule) of a block list given as URLs, or as hosts with or without a path; null and empty ones
+    are left out."""
+    url = F.when(F.instr(F.col(column), "://") > 0, F.col(column)).otherwise(F.concat(F.lit("http://"), F.col(column)))
+    host, path = canonical_host(host_of(url)), canonical_path(path_of(url))
+    key = F.concat(host, F.when(path == "", F.lit("/")).otherwise(path))
+    return urls.where(F.col(column).isNotNull() & (host != "")).select(key.alias("key"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule")).distinct()
+
+
+def judge(pages: DataFrame, listed: DataFrame, part_keys: int = PART_KEYS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page; ``listed`` is (key, verdict, is_rule)."""
     spark = pages.sparkSession
     ship_package(spark)
+    scratch = Scratch(spark, "url-filter")
     n, lengths = listed.agg(F.count("*"), F.collect_set(F.length("key") - F.instr("key", "/") + 1)).first()
-    urls = pages.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = urls.select("url", candidate_keys(F.col("host"), F.col("path"), sorted(lengths)).alias("keys"))
-    if n * BITS_PER_KEY // 8 <= FILTER_BYTES:
-        hashed = listed.select("key").distinct().toPandas()["key"].tolist()
-        passing = keyed.mapInArrow(_passing(spark.sparkContext.broadcast(BlockedBloom(key_hashes(hashed)))), "url string, key string")
-        listed = F.broadcast(listed) if n <= SMALL_LIST else listed
-    else:
-        passing = keyed.select("url", F.explode("keys").alias("key"))
-    hits = passing.join(listed, "key")
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rows = pages.select("page_id", "url")
+    if not n:
+        return rows.select("page_id", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    urls = rows.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
+    # the keys of the URL as it stands meet rules, those of the canonical one meet listed entries
+    plain = candidate_keys(F.col("host"), F.col("path"), sorted(lengths))
+    canonical = candidate_keys(canonical_host(F.col("host")), canonical_path(F.col("path")), sorted(lengths))
+    keyed = urls.select("url", F.array_union(F.transform(plain, lambda k: F.concat(F.lit("="), k)), F.transform(canonical, lambda k: F.concat(F.lit("~"), k))).alias("keys"))
+    listed = listed.withColumn("key", F.concat(F.when(F.col("is_rule"), "=").otherwise("~"), "key"))
+    store, parts = _filter(listed, n, scratch, part_keys)
+    passing = keyed.mapInArrow(_passing(store, parts), "url string, key string")
+    hits = passing.join(F.broadcast(listed) if n <= SMALL_LIST else listed, "key")
     longest = F.min(F.struct((~F.col("is_rule")).alias("other"), (-F.length("key")).alias("size"), "key", "verdict")).alias("best")
     best = hits.groupBy("url").agg(longest)
-    best = best.select(F.col("url").alias("__url"), F.col("best.verdict").alias("__verdict"), F.when(~F.col("best.other"), F.col("best.key")).alias("rule"))
-    joined = pages.select("page_id", "url").join(best, F.col("url") == F.col("__url"), "left")
-    return joined.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"))
+    best = best.select(F.col("url").alias("__url"), F.col("best.verdict").alias("__verdict"), F.when(~F.col("best.other"), F.substr("best.key", F.lit(2))).alias("rule"))
+    best = scratch.table(best, "best")
+    joined = join_found(rows, "url", best, "__url", best.count() <= BROADCAST_ROWS)
+    return joined.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"))

@@ -102,9 +102,9 @@ def local_removed(docs, crowd):
     ids = np.arange(len(docs))
     keys = suffix_dedup.doc_keys(ids, docs)
     parts = []
-    for text, at, low, high, own, triple in suffix_dedup.sampled(docs):
+    for text, at, low, high, own, triple, check in suffix_dedup.sampled(docs):
         rows = np.empty(len(own), suffix_dedup.SAMPLE)
-        for name, values in (("anchor", own), ("triple", triple), ("doc", ids[text]), ("key", keys[text]), ("at", at), ("low", low), ("high", high)):
+        for name, values in (("anchor", own), ("triple", triple), ("check", check), ("doc", ids[text]), ("key", keys[text]), ("at", at), ("low", low), ("high", high)):
             rows[name] = values
         parts.append(rows)
     # two tasks settle what they can, then the shard compares the rest
@@ -118,8 +118,8 @@ def local_removed(docs, crowd):
     for r in unsure:
         text = docs[int(r["doc"])]
         for p in range(r["low"], r["high"] + 1):
-            name = suffix_dedup.Names(np.frombuffer(text[p : p + 100], np.uint8))(np.array([0]), np.array([100]))[0]
-            strings.append((name, r["doc"], r["key"], p))
+            name, check = (suffix_dedup.Names(np.frombuffer(text[p : p + 100], np.uint8), which)(np.array([0]), np.array([100]))[0] for which in (0, 1))
+            strings.append((name, check, r["doc"], r["key"], p))
     strings = np.array(strings, suffix_dedup.STRING)
     sent = [suffix_dedup.combine_strings(h) for h in (strings[::2], strings[1::2])]
     more = np.concatenate([suffix_dedup.compare_strings(np.concatenate([x[0] for x in sent])), *[x[1] for x in sent]])
@@ -166,6 +166,15 @@ def test_packing_equals_the_tokenizer_where_lower_case_leaves_the_range():
         assert words.ids_of(text) == words.whole(text), text
 
 
+def test_packing_equals_the_tokenizer_on_random_strings():
+    words, rnd = packing.word_ids(packing.tokenizer_path()), random.Random(5)
+    texts = ["Əla gün"]
+    for top in (0x7F, 0x250, 0x1F00):
+        letters = [chr(c) for c in range(0x20, top)]
+        texts += ["".join(rnd.choices(letters, k=rnd.randrange(1, 14))) + " " + "".join(rnd.choices(letters[:224], k=4)) for _ in range(7000)]
+    assert [t for t in texts if words.ids_of(t) != words.whole(t)] == []
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 @settings(max_examples=80, deadline=None)
 def test_plan_uses_every_piece_once_and_fits(histogram):
@@ -189,7 +198,7 @@ def test_plan_replaces_the_smallest_with_two():
 
 def test_bloom_has_no_false_negatives_and_few_false_positives():
     keys = [f"k{k}" for k in range(5000)]
-    bloom = url_filter.BlockedBloom(url_filter.key_hashes(keys))
+    bloom = url_filter.BlockedBloom.build(url_filter.key_hashes(keys))
     assert bloom.may_hold(url_filter.key_hashes(keys)).all()
     assert bloom.may_hold(url_filter.key_hashes([f"x{k}" for k in range(20000)])).mean() < 0.02
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heddle.llm import decontaminate, ngram_lm, queries, quality_rules, secrets, simhash, url_filter
+from heddle.llm import decontaminate, joins, language_id, ngram_lm, queries, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from heddle.runtime import Scratch
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_kernels import brute_fingerprint, brute_removed, brute_statistics
 
 RND = random.Random(11)
@@ -108,6 +110,69 @@ def test_language(spark, tables):
     assert sum(a != b for a, b in tested) <= 1 and len(tested) > 10
 
 
+def brute_language(rows, text):
+    """Word-first backoff by plain counting; (language, score)."""
+    counts = defaultdict(Counter)
+    words = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    for t, lang in rows:
+        counts[lang].update(words(t))
+    languages, every = sorted(counts), Counter()
+    for c in counts.values():
+        every.update(c)
+    pieces = lambda w, n: [(f"<{w}>" if n > 1 else w)[k : k + n] for k in range(len(w) + (2 if n > 1 else 0) - n + 1)]
+    grams = {(lang, n): Counter() for lang in languages for n in range(1, 6)}
+    for lang in languages:
+        for w, x in counts[lang].items():
+            for n in range(1, 6):
+                for g in pieces(w, n):
+                    grams[lang, n][g] += x
+    known = {n: Counter() for n in range(1, 6)}
+    for (_, n), c in grams.items():
+        known[n].update(c)
+
+    def logs(tables, least):
+        keys = {k for t in tables for k in t if sum(u[k] for u in tables) >= least}
+        totals = [sum(t[k] + 0.5 for k in keys) for t in tables]
+        return {k: [math.log((t[k] + 0.5) / total) for t, total in zip(tables, totals)] for k in keys}
+
+    by_word = logs([counts[x] for x in languages], 2)
+    by_gram = {n: logs([grams[x, n] for x in languages], 2 if n > 1 else 1) for n in range(1, 6)}
+
+    def row(w):
+        if w in by_word:
+            return by_word[w]
+        for n in range(5, 0, -1):
+            found = [by_gram[n][g] for g in pieces(w, n) if g in by_gram[n]]
+            if found:
+                return np.mean([np.array(f) - np.mean(f) for f in found], axis=0)
+        return [0.0] * len(languages)
+
+    seen = words(text)
+    if not seen:
+        return "und", 0.0
+    total = sum(np.array(row(w)) - np.mean(row(w)) for w in seen)
+    k = int(np.argmax(total))
+    return languages[k], 1 / float(np.exp((total - total[k]) / math.sqrt(len(seen))).sum())
+
+
+def test_language_against_plain_counting(spark, tables):
+    learned = [(d[1], d[2]) for d in DOCS if d[0] is not None and d[1] is not None and d[2] is not None and not held(d[0], 4, 2)]
+    got = defaultdict(list)
+    for r in queries.op1_language_id(spark, tables).collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    for d in [*DOCS[:30], *DOCS[-12:-3]]:
+        lang, score = brute_language(learned, d[1])
+        assert any(a == lang and b == pytest.approx(score, rel=1e-3) for a, b in got[d[0]]), d
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(0, "the thing 3", "en"), (1, "der schöne", "de"), (2, "² ½ ① Ⅷ ٣ _", None), (3, "x²", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", language_id.identify(docs, model).alias("p")).collect()}
+    assert tuple(got[2]) == ("und", 0.0) and got[3]["lang_pred"] in ("en", "de")
+
+
 def brute_spans(text):
     text = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -129,13 +194,65 @@ def test_secrets(spark, tables):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
 
 
-def test_ledger_scans_only_unseen_blobs(spark, tables):
+def test_ledger_scans_only_unseen_blobs_and_rules(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    first = secrets.scan(docs, Scratch(spark, "t"))
-    known = Scratch(spark, "t").table(first.withColumn("spans", F.array().cast(secrets._SPAN)), "ledger")  # a ledger that found nothing
-    again = secrets.scan(docs, Scratch(spark, "t"), known)
-    assert again.count() == known.count() and again.where(F.size("spans") > 0).count() == 0
-    assert secrets.scan(docs, Scratch(spark, "t"), known, version="2").where(F.size("spans") > 0).count() > 0
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assign, access, hexes = secrets.BASE_RULES
+
+    def spans(rules, part):
+        rows = secrets.findings_by_path(part, Scratch(spark, "t").table(secrets.scan(part, Scratch(spark, "t"), ledger, rules), "f")).collect()
+        return {(r["doc_id"], tuple((x["kind"], x["start"], x["end"]) for x in r["spans"])) for r in rows}
+
+    def pairs():
+        return ledger.rows().groupBy("blob", "rule_version").count()
+
+    some = spans((assign, access), docs.where("doc_id < 60"))
+    n = ledger.rows().count()
+    assert n == 2 * docs.where("doc_id < 60").select("text").distinct().count() and some
+    # a second run with one more rule and more documents scans what is missing, and nothing twice
+    everything = spans(secrets.BASE_RULES, docs)
+    assert pairs().where("count > 1").count() == 0
+    assert pairs().count() == 3 * docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert everything == {(d[0], tuple((k, a, b) for a, _, b, k in brute_spans(d[1]))) for d in DOCS}
+    # what the ledger says is taken as it is: a blob whose rows say that nothing was found is not scanned again
+    before = ledger.rows().count()
+    assert spans(secrets.BASE_RULES, docs) == everything and ledger.rows().count() == before
+    other = secrets.Rule("assign", r"(?i)(token)=(x+)", 2, 1, True)
+    assert other.version != assign.version
+    assert not any(found for _, found in spans((other,), docs))
+
+
+FORMATS = [
+    ("pem", "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc+/=\nxyz\n-----END RSA PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----\nMII\n-----END PUBLIC KEY-----"),
+    ("forge", "ghp_" + "aB3" * 12, "ghp_" + "a" * 35),
+    ("forge", "glpat-" + "x_-9" * 5, "glpat-short"),
+    ("chat", "xoxb-12345-ABCDE", "xoxz-1234567890"),
+    ("jwt", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM", "eyJhbGciOiJI.abcdefghijkl.SflKxwRJSM"),
+]
+
+
+@pytest.mark.parametrize("kind,hit,miss", FORMATS)
+def test_format_rules(spark, kind, hit, miss):
+    docs = spark.createDataFrame([(0, f"é {hit} z"), (1, f"é {miss} z")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.findings_by_path(docs, secrets.scan(docs, Scratch(spark, "t"))).collect()}
+    assert [(x["kind"], x["start"], x["end"]) for x in found[0] if x["kind"] == kind] == [(kind, 2, 2 + len(hit))]
+    assert not any(x["kind"] == kind for x in found[1])
+
+
+def test_many_secrets_in_a_long_text(spark):
+    rnd = random.Random(9)
+    text = "".join(f"{'é' * rnd.randrange(5)}𝔸token={'k' * rnd.randrange(8, 30)} {'0a' * rnd.randrange(6, 12)}\n" for _ in range(3000))
+    docs = spark.createDataFrame([(0, text), (1, "x" * 9000 + " " + SECRET), (2, SECRET)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.findings_by_path(docs, secrets.scan(docs, Scratch(spark, "t"))).collect()}
+    want = brute_spans(text)
+    assert [(x["start"], x["rank"], x["end"], x["kind"]) for x in found[0]] == want and len(want) > 2000
+    out, at = [], 0
+    for a, _, b, _ in want:
+        if a >= at:
+            out.append(text[at:a] + "[secret]")
+        at = max(at, b)
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert got == {0: "".join(out) + text[at:], 1: "x" * 9000 + " [secret]", 2: "[secret]"}
 
 
 def test_redaction(spark):
@@ -160,6 +277,19 @@ def test_decontamination(spark, tables):
     docs, items = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
     blocked = decontaminate.contaminated(docs, items, limit=10)
     assert {tuple(r) for r in blocked.collect()} == want
+    clean = decontaminate.keep_clean(docs, items, limit=10).collect()
+    hit = {d for d, *_ in want}
+    assert {r["doc_id"] for r in clean if r["doc_id"] is not None} == {d[0] for d in DOCS if d[0] is not None} - hit
+
+
+def test_decontamination_with_text_ids_and_clashing_columns(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([("a", " ".join(words), 1), ("a", "clean", 2), (None, " ".join(words[5:30]), 3), ("b", None, 4)], "doc_id string, text string, __found int")
+    items = spark.createDataFrame([("i", " ".join(words[3:20])), ("j", "other words that are in no document"), ("", " ".join(words[5:12]))], "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {("a", "i"), ("a", ""), (None, "i"), (None, "")}
+    for limit in (5, 10**6):
+        assert sorted(tuple(r) for r in decontaminate.keep_clean(docs, items, limit).collect()) == [("a", "clean", 2), ("b", None, 4)]
 
 
 def test_lm_scoring(spark, tables):
@@ -236,11 +366,46 @@ def test_urls(spark, tables):
         want[page_id, host, path, rules[0][1] if rules else None, verdict] += 1
     assert got == want
     listed = url_filter.entries(spark)
-    saved, url_filter.FILTER_BYTES = url_filter.FILTER_BYTES, 0
-    try:
-        assert Counter(tuple(r) for r in url_filter.judge(spark.read.parquet(f"{tables}/pages.parquet"), listed).collect()) == want
-    finally:
-        url_filter.FILTER_BYTES = saved
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    assert Counter(tuple(r) for r in url_filter.judge(pages, listed, part_keys=3).collect()) == want  # several filter parts
+    verdicts = url_filter.judge(pages, listed.limit(0)).select("rule", "verdict").distinct().collect()
+    assert [tuple(r) for r in verdicts] == [(None, "allow")]
+
+
+def test_a_long_list_of_urls(spark):
+    n = 300_000
+    raw = spark.range(n).select(F.concat(F.lit("https://User@Bad"), F.col("id"), F.lit(".Example.ORG.:8080/a%41+"), F.col("id") % 3).alias("url"))
+    listed = url_filter.canonical_entries(raw.unionByName(spark.createDataFrame([(None,), ("",), ("plain.example",)], "url string")))
+    assert listed.count() == n + 1 and listed.where("key = 'bad7.example.org/aA+1'").count() == 1
+    pages = [(k, f"http://www.bad{k * 1000}.example.org:80/aA+{k * 1000 % 3}/x") for k in range(300)]
+    pages += [(1000 + k, f"http://bad{n + k}.example.org/aA+{k % 3}") for k in range(300)] + [(2000, "ftp://x.plain.example"), (2000, "ftp://x.plain.example/y"), (2001, "http://bad1.example.org/aA+0"), (2002, "http://bad%4/%ZZ")]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), listed, part_keys=1 << 16).collect()
+    for r in got:
+        blocked = r["page_id"] < 1000 or r["page_id"] == 2000 and r["path"] != ""
+        assert (r["verdict"] == "block") == blocked and r["rule"] is None, r
+    assert len(got) == len(pages)
+
+
+def test_toxicity_score_against_plain_arithmetic(spark, tables):
+    """Each window's mean over its words of the mean of their n-grams' numbers; the worst window decides."""
+    labels = {d: t for d, _, t in LABELS if d is not None and t in (0, 1) and not held(d, 4, 2)}
+    rows = [(d[1], labels[d[0]]) for d in DOCS if d[0] in labels]
+    model = toxicity.train([t for t, _ in rows], np.array([y for _, y in rows]))
+
+    def number(token):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", token)
+        if not word:
+            return 0.0
+        marked = f"<{word}>"
+        parts = [marked, *(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))]
+        return float(np.mean([model.bucket[zlib.crc32(x.encode()) % toxicity.BUCKETS] for x in parts]))
+
+    scorer = toxicity.Scorer(model)
+    for text in [d[1] for d in DOCS[:40]] + ["", None, "one", "###", "a b c d e f g"]:
+        numbers = [number(t) for t in (text or "").lower().split()]
+        windows = [np.mean(numbers[k : k + 6]) + model.bias for k in range(max(1, len(numbers) - 5))] if numbers else [model.bias]
+        want = 1 / (1 + math.exp(-max(-30, min(30, model.scale * max(windows) + model.shift))))
+        assert scorer.score(text) == pytest.approx(want, rel=1e-4)
 
 
 def test_toxicity(spark, tables):
@@ -262,6 +427,20 @@ def test_suffix_dedup(spark, tables):
         assert set(rows[doc_id]) == {(len(text), int(marks.sum()), spans, hashlib.sha256(kept).hexdigest())}
 
 
+def test_suffix_dedup_with_text_ids_and_many_shards(spark):
+    rnd = random.Random(2)
+    passage = "".join(rnd.choices("abcdef ", k=150))
+    rows = [("x", passage + " one"), ("y", "two " + passage), (None, passage), ("x", passage + " one"), ("z", None)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id string, text string, shard int")
+    got = [tuple(r)[:3] for r in suffix_dedup.deduplicate(docs).collect()]
+    first = [k for k in ("x", "y") if (k, len(passage) + 4, 0) in got]
+    assert len(first) == 1 and len(got) == 5  # one of the two is first, by the hash of its id
+    assert sorted(x[2] for x in got if x[0] not in first) in ([0, 150, 150, 150], [0, 150, 150])
+    scratch = Scratch(spark, "t")
+    store, shards = suffix_dedup.repeated(docs, scratch, shards=9)
+    assert shards == 9
+
+
 def test_packing(spark, tables):
     from tokenizers import Tokenizer
 
@@ -302,6 +481,20 @@ def test_quality(spark, tables):
     assert good > 50 and bad <= 3
 
 
+def test_emitted_rules_decide_like_the_learned_ones(spark, tables):
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    rules = quality_rules.learn(*quality_rules.labelled_sample(docs, labels))
+    assert rules
+    stats = docs.select(quality_rules.text_statistics("text").alias("s")).select("s.*", quality_rules.verdict(F.col("s"), rules).alias("rule")).toPandas()
+    matrix = np.column_stack([f.values({n: stats[n].to_numpy() for n in quality_rules.STATISTICS}) for f in quality_rules.FEATURES])
+    first = np.zeros(len(stats), int)
+    for k in range(len(rules), 0, -1):
+        first[quality_rules._covers(rules[k - 1], matrix)] = k
+    assert (stats["rule"].to_numpy() == first).all() and set(first) > {0}
+    judged = quality_rules.judge(docs, labels).select("__quality.*").toPandas()
+    assert (judged["kept"] == ~judged["base_failed"] & (judged["rule"] == 0)).all()
+
+
 def brute_components(rows):
     fps = [(i, brute_fingerprint(t or "")) for i, t in rows]
     group = {fp: fp for _, fp in fps}
@@ -363,8 +556,8 @@ def test_pipeline_stages(spark, tables):
         if name == "quality_rules":
             assert all(len((r["text"] or "").split()) >= 20 for r in after) and len(after) > 40
         elif name == "simhash_dedup":
-            groups = brute_components([(r["doc_id"], r["text"]) for r in before])
-            assert {r["doc_id"] for r in after if r["doc_id"] is not None} == {c for _, _, c in groups if c is not None}
+            least = brute_kept([(r["doc_id"], r["text"]) for r in before])
+            assert {r["doc_id"] for r in after if r["doc_id"] is not None} == {c for c in least.values() if c is not None}
             assert Counter(r["doc_id"] for r in after if r["doc_id"] is not None).most_common(1)[0][1] == 1
         elif name == "decontamination":
             found = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{tables}/benchmark.parquet")).collect()}
@@ -382,6 +575,10 @@ def test_pipeline_stages(spark, tables):
 def test_joins_beyond_the_broadcast_bound_give_the_same(spark, tables, monkeypatch, bound):
     monkeypatch.setattr(simhash, "BROADCAST_IDS", bound)
     monkeypatch.setattr(secrets, "BROADCAST_SPANS", bound)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", bound)
+    test_urls(spark, tables)
+    test_secrets(spark, tables)
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     kept = simhash.keep_one(docs)
     groups = brute_components([(d[0], d[1]) for d in DOCS])
