@@ -80,9 +80,16 @@ def canonical_digest(*columns: Column | str) -> Column:
 
 
 def json_pointer(document: Column, pointer: str) -> Column:
-    """RFC 6901 look-up of a static pointer in JSON text; absent and null both give null."""
-    path = "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in (x.replace("~1", "/").replace("~0", "~") for x in pointer.split("/")[1:]))
-    return F.get_json_object(document, path)
+    """RFC 6901 look-up of a static pointer in JSON text: a struct (present, value), since a member that is null is not an
+    absent one; strings come without quotes, other values as JSON."""
+    node, present = F.try_parse_json(document), F.lit(True)
+    for part in (x.replace("~1", "/").replace("~0", "~") for x in pointer.split("/")[1:]):
+        step = f"$[{part}]" if part.isdigit() else "$['" + part.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        node = F.try_variant_get(node, step, "variant")
+    present = node.isNotNull()
+    text = F.to_json(node)
+    value = F.when(~F.is_variant_null(node), F.coalesce(F.try_variant_get(node, "$", "string"), text))
+    return F.struct(F.coalesce(present, F.lit(False)).alias("present"), value.alias("value"))
 
 
 def tokens(text: Column) -> Column:
@@ -111,10 +118,17 @@ def language_chain(tag: str, fallback: dict[str, list[str]]) -> list[str]:
 
 
 def semver_key(version: Column) -> Column:
-    """A struct that orders versions: numbers, then whether it is a release, then its pre-release text."""
+    """A struct that orders versions: numbers, then releases after pre-releases, then pre-release parts one by one: numeric
+    ones as numbers and before others, a list before one that goes on."""
     core = F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\.")
     pre = F.regexp_extract(version, r"^\d+\.\d+\.\d+-([0-9A-Za-z.-]+)", 1)
-    return F.struct(core[0].cast("long").alias("major"), core[1].cast("long").alias("minor"), core[2].cast("long").alias("patch"), (pre == "").alias("release"), pre.alias("pre"))
+
+    def part(p: Column) -> Column:
+        number = p.rlike(r"^\d+$")
+        return F.struct((~number).alias("textual"), F.when(number, p.cast("decimal(38,0)")).alias("number"), F.when(~number, p).alias("text"))
+
+    parts = F.when(pre == "", F.array()).otherwise(F.transform(F.split(pre, r"\."), part))
+    return F.struct(core[0].cast("long").alias("major"), core[1].cast("long").alias("minor"), core[2].cast("long").alias("patch"), (pre == "").alias("release"), parts.alias("pre"))
 
 
 def color_family(red: Column, green: Column, blue: Column) -> Column:

@@ -19,32 +19,55 @@ def probe_masks(radius: int, width: int = BAND_BITS) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
 
 
-def near_pairs(df: DataFrame, item: str, value: str, threshold: int, cap: int | None = BUCKET_CAP) -> DataFrame:
-    """(left, right, distance) of items with hashes at most ``threshold`` bits apart.
+def hash_classes(df: DataFrame, item: str, value: str) -> DataFrame:
+    """(h, first, members): each distinct hash with its least item and how many items have it."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(item).alias("first"), F.count("*").alias("members"))
 
-    64 bits are four bands; of two such hashes some band differs in at most threshold div 4 bits, so one side is filed
-    under its bands and the other asks for each band with up to that many bits flipped. A bucket beyond ``cap`` is dropped
-    whole, as the operator is defined; with ``cap=None`` none is, and the result is exact.
 
-    Pairs are formed between distinct hashes and handed to items afterwards, so copies cost no candidates.
+def _filed(hashes: DataFrame) -> DataFrame:
+    bands = [F.struct(F.lit(k).alias("b"), band(F.col("h"), F.lit(k), BAND_BITS).alias("v")) for k in range(64 // BAND_BITS)]
+    return hashes.select("h", F.explode(F.array(*bands)).alias("f")).select("h", "f.*")
+
+
+def near_hashes(hashes: DataFrame, threshold: int, cap: int | None = None, counts: str | None = None) -> DataFrame:
+    """(x, y, distance) of distinct hashes ``h`` at most ``threshold`` bits apart, x < y.
+
+    64 bits are four bands; of two such hashes some band differs in at most threshold div 4 bits. Which band values lie so
+    near each other is found among the distinct values, 65536 a band at most, before any hash is joined. With ``cap`` a bucket
+    of more items (``counts`` is the column that says how many have a hash) is dropped whole, which may lose pairs; without,
+    which is the default, the result is exact.
     """
-    hashes = df.select(F.col(value).alias("h")).where("h is not null").distinct()
-    bands = 64 // BAND_BITS
-    filed = hashes.select("h", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), band(F.col("h"), F.lit(k), BAND_BITS).alias("v")) for k in range(bands)])).alias("f")).select("h", "f.*")
+    filed = _filed(hashes)
     if cap is not None:
-        items = df.select(F.col(value).alias("h")).where("h is not null")
-        per_bucket = items.groupBy("h").agg(F.count("*").alias("n")).join(filed, "h").groupBy("b", "v").agg(F.sum("n").alias("n"))
-        filed = filed.join(per_bucket.where(F.col("n") > cap).select("b", "v"), ["b", "v"], "left_anti")
-    masks = probe_masks(threshold // bands)
-    asked = filed if cap is None else hashes.select("h", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), band(F.col("h"), F.lit(k), BAND_BITS).alias("v")) for k in range(bands)])).alias("f")).select("h", "f.*")
-    asked = asked.withColumn("v", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("v").bitwiseXOR(m))))
-    close = asked.alias("p").join(filed.alias("q"), ["b", "v"]).where(F.col("p.h") < F.col("q.h"))
-    close = close.select(F.col("p.h").alias("x"), F.col("q.h").alias("y")).where(hamming64(F.col("x"), F.col("y")) <= threshold).distinct()
-    items = df.select(F.col(item).alias("i"), F.col(value).alias("h")).where("h is not null")
-    apart = close.join(items.select(F.col("h").alias("x"), F.col("i").alias("i1")), "x").join(items.select(F.col("h").alias("y"), F.col("i").alias("i2")), "y")
-    same = items.alias("a").join(items.alias("b"), "h").where(F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("i1"), F.col("b.i").alias("i2"), F.lit(0).alias("distance"))
-    pairs = apart.select("i1", "i2", hamming64(F.col("x"), F.col("y")).alias("distance")).unionByName(same)
-    return pairs.select(F.least("i1", "i2").alias("left"), F.greatest("i1", "i2").alias("right"), "distance")
+        weight = F.sum(counts) if counts else F.count("*")
+        large = filed.join(hashes, "h").groupBy("b", "v").agg(weight.alias("n")).where(F.col("n") > cap).select("b", "v")
+        asked, filed = filed, filed.join(large, ["b", "v"], "left_anti")
+    else:
+        asked = filed
+    masks = F.array(*[F.lit(m).cast("long") for m in probe_masks(threshold // (64 // BAND_BITS))])
+    values = asked.select("b", "v").distinct()
+    neighbours = values.withColumn("w", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))))
+    neighbours = neighbours.join(filed.select("b", F.col("v").alias("w")).distinct(), ["b", "w"], "left_semi")
+    met = asked.select(F.col("h").alias("x"), "b", "v").join(neighbours, ["b", "v"]).join(filed.select(F.col("h").alias("y"), "b", F.col("v").alias("w")), ["b", "w"])
+    # with a cap, a dropped bucket on one side may be asked from the other, so both directions count
+    close = met.where(hamming64(F.col("x"), F.col("y")) <= threshold).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return close.withColumn("distance", hamming64(F.col("x"), F.col("y")))
+
+
+def near_pairs(df: DataFrame, item: str, value: str, threshold: int, cap: int | None = None) -> DataFrame:
+    """(left, right, distance, left_members, right_members): pairs of classes of items with equal hashes, each named by its
+    least item, that are at most ``threshold`` bits apart, and a row with distance 0 for each class of several items (left and
+    right are its least and its greatest item). Copies are counted, not paired; ``hash_classes`` says which items they are."""
+    classes = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(item).alias("first"), F.max(item).alias("last"), F.count("*").alias("members"))
+    close = near_hashes(classes.select("h", "members"), threshold, cap, "members")
+    a = classes.select(F.col("h").alias("x"), F.col("first").alias("i"), F.col("members").alias("m"))
+    b = classes.select(F.col("h").alias("y"), F.col("first").alias("j"), F.col("members").alias("n"))
+    both = close.join(a, "x").join(b, "y")
+    swap = F.col("i") > F.col("j")
+    pick = lambda name, first, second: F.when(swap, F.col(second)).otherwise(F.col(first)).alias(name)
+    apart = both.select(pick("left", "i", "j"), pick("right", "j", "i"), "distance", pick("left_members", "m", "n"), pick("right_members", "n", "m"))
+    same = classes.where("members > 1").select(F.col("first").alias("left"), F.col("last").alias("right"), F.lit(0).alias("distance"), F.col("members").alias("left_members"), F.col("members").alias("right_members"))
+    return apart.unionByName(same)
 
 
 def suppressed(pairs: DataFrame, decisions: DataFrame) -> DataFrame:

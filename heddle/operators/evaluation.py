@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.columns import ratio_bp
+from heddle.operators.ranking import running
+from heddle.runtime import Scratch
 
 #: 97.5 % point of the normal distribution.
 Z = 1.959963984540054
@@ -41,28 +43,27 @@ def f1_by_label(df: DataFrame, label: str, expected: Column, observed: Column) -
 
 
 def macro_micro(labels: DataFrame) -> DataFrame:
-    """Macro F1 over labels with support and micro F1 over all."""
+    """Macro F1 over labels with support and micro F1 over all; 10000 without any."""
     c = F.col
     return labels.agg(
-        F.floor((2 * F.sum(F.when(c("support") > 0, c("f1_bp"))) + F.count_if(c("support") > 0)) / (2 * F.count_if(c("support") > 0))).cast("long").alias("macro_f1_bp"),
-        f1_bp(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro_f1_bp"),
+        F.coalesce(F.floor((2 * F.sum(F.when(c("support") > 0, c("f1_bp"))) + F.count_if(c("support") > 0)) / (2 * F.count_if(c("support") > 0))), F.lit(10_000)).cast("long").alias("macro_f1_bp"),
+        f1_bp(F.coalesce(F.sum("tp"), F.lit(0)), F.coalesce(F.sum("fp"), F.lit(0)), F.coalesce(F.sum("fn"), F.lit(0))).alias("micro_f1_bp"),
     )
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, points: list[float], scratch: Scratch) -> DataFrame:
     """Nearest-rank percentiles (the value at rank ceil(n * p)), from counts of distinct values.
 
-    Values are counted first and ranked by running counts, so equal values cost one row; no group is gathered.
+    Values are counted first and ranked by running counts over ranges, so equal values cost one row and a group of any
+    size is dealt over many tasks.
     """
-    from pyspark.sql import Window
-
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    ranked = running(counted, by, [F.col(value)], F.col("__n"), scratch, "__below")
     totals = counted.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    running = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__to", running).join(totals, by)
-    wanted = ranked.select(*by, value, "__n", "__to", "__all", F.explode(F.array(*[F.lit(int(round(p * 1000))) for p in points])).alias("p_milli"))
+    wanted = ranked.join(totals, by) if by else ranked.withColumn("__all", F.lit(totals.first()[0]))
+    wanted = wanted.select(*by, value, "__n", "__below", "__all", F.explode(F.array(*[F.lit(int(round(p * 1000))) for p in points])).alias("p_milli"))
     rank = F.greatest(F.floor((F.col("p_milli") * F.col("__all") + 999) / 1000), F.lit(1))
-    return wanted.where((rank <= F.col("__to")) & (rank > F.col("__to") - F.col("__n"))).select(*by, "p_milli", F.col(value).alias("value"))
+    return wanted.where((rank > F.col("__below")) & (rank <= F.col("__below") + F.col("__n"))).select(*by, "p_milli", F.col(value).alias("value"))
 
 
 def bootstrap(values: DataFrame, value: str, seed: str, rounds: int = 128, low: int = 3, high: int = 124) -> DataFrame:

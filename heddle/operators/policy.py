@@ -33,11 +33,36 @@ def qualification(subjects: DataFrame, registry: DataFrame, keys: list[str], ins
     return found.select(subject, status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("qualification"))
 
 
-def rights_decision(status: Column, effective_from: Column, effective_until: Column, at: Column, withdrawn: Column, decisions: list[Column]) -> Column:
-    """withdrawn, else restricted, else unknown, else allowed; a profile outside its half-open interval is unknown."""
-    valid = (status == "active") & (effective_from <= at) & (effective_until.isNull() | (at < effective_until))
-    any_of = lambda value: F.exists(F.array(*decisions), lambda d: d == value)
-    return F.when(F.coalesce(withdrawn, F.lit(False)), "withdrawn").when(~F.coalesce(valid, F.lit(False)), "unknown").when(any_of("restricted"), "restricted").when(any_of("unknown"), "unknown").otherwise("allowed")
+#: Decisions that restrict distribution, and the one that allows it.
+RESTRICTING, ALLOWING = ("deny", "conditional", "not-granted"), "allow"
+
+
+def rights_decision(profile_status: Column, effective_from: Column, effective_until: Column, at: Column, withdrawn: Column, decisions: list[Column]) -> Column:
+    """Outside the profile's half-open interval ``unknown``; else ``withdrawn``; else ``restricted`` if any decision restricts,
+    ``unknown`` if any is unclear or missing, and ``allowed`` if all allow. A profile that is not active fails the query."""
+    valid = (effective_from <= at) & (effective_until.isNull() | (at < effective_until))
+    of = F.array(*[F.coalesce(d, F.lit("unknown")) for d in decisions])
+    decided = (
+        F.when(~F.coalesce(valid, F.lit(False)), "unknown")
+        .when(F.coalesce(withdrawn, F.lit(False)), "withdrawn")
+        .when(F.exists(of, lambda d: d.isin(*RESTRICTING)), "restricted")
+        .when(F.exists(of, lambda d: d != ALLOWING), "unknown")
+        .otherwise("allowed")
+    )
+    return F.when(profile_status == "active", decided).otherwise(F.raise_error(F.lit("rights selector does not resolve to an active profile")).cast("string"))
+
+
+def selected_profile(default: Column, inherits: Column, project_default: Column) -> Column:
+    """A platform's rights profile: its own default or the project's, exactly one of which it must name."""
+    own, other = default.isNotNull(), F.coalesce(inherits, F.lit(False))
+    return F.when(own & ~other, default).when(~own & other, project_default).otherwise(F.raise_error(F.lit("a platform must choose exactly one rights default")).cast("string"))
+
+
+def content_guard(rating: Column, warnings: Column, include_sensitive: bool, row_rights: Column, expected_rights: Column) -> Column:
+    """What stands against showing a record: sensitive content without opt-in, or rights that differ from the effective ones;
+    null if nothing does."""
+    sensitive = F.lit(not include_sensitive) & ((rating != "general") | (F.size(warnings) > 0))
+    return F.when(sensitive, "CONTENT_POLICY_BLOCKED").when(~row_rights.eqNullSafe(expected_rights), "RIGHTS_MISMATCH")
 
 
 def safe_record(release_states: list[Column], availability: Column, rating: Column, warnings: Column, rights: Column, tombstoned: Column, review: Column, attested: Column, in_active_collection: Column) -> Column:
@@ -53,6 +78,20 @@ def trust(review: Column, origin: Column) -> Column:
     return F.when(review == "approved", F.when(origin.isin("human", "mixed"), "human-approved").otherwise("approved")).when(review == "rejected", "rejected").when(origin == "human", "human-unreviewed").otherwise("machine-unreviewed")
 
 
+def runtime_trust(review: Column, attested: Column, hash_profile: Column, origin: Column) -> Column:
+    """What a reader without control data can say about a record: state of the attestation, of the hash profile, and of the
+    model's qualification and the generation's attestation, which only machine text needs."""
+    signed, waiting = F.coalesce(attested, F.lit(False)), F.coalesce(review, F.lit("unreviewed")) == "unreviewed"
+    profiled = F.coalesce(hash_profile, F.lit("")) != ""
+    attestation = F.when(signed, "unverified").when(waiting | profiled, "legacy-unattested").otherwise("legacy-unprofiled")
+    profile = F.when(signed | (profiled & ~waiting), "valid").when(waiting, "not-applicable").otherwise("legacy-unprofiled")
+    machine = F.when(origin == "ai", "missing").otherwise("not-applicable")
+    return F.struct(
+        F.lit("offline-unknown").alias("control_state"), attestation.alias("review_attestation"), profile.alias("review_hash_profile"),
+        machine.alias("model_qualification"), machine.alias("generation_attestation"), F.lit(False).alias("safe_eligible"),
+    )
+
+
 def needs_description(current: Column, media_changed: Column, context_changed: Column, protected: Column, missing_language: Column, mode: str = "changed") -> Column:
     """Whether a description must be made again: new rows always; ``all`` forces unless protected; ``missing`` asks only for
     languages that are absent; else a change of media or context decides."""

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from heddle.operators.ranking import ordinals
+from heddle.runtime import Scratch
 
 #: Most collections and groups listed in a search row.
 MAX_COLLECTIONS, MAX_GROUPS = 64, 32
@@ -54,10 +58,10 @@ def group_families(items: DataFrame) -> DataFrame:
 
 
 def active_links(memberships: DataFrame, collections: DataFrame, items: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """(collection_id, item_id, position) of active memberships whose both ends are active and not withdrawn."""
+    """(collection_id, item_id, position) of active memberships; neither they nor their ends may be withdrawn or inactive."""
     gone = tombstones.select(F.col("target_id").alias("id")).distinct()
     live = lambda df: df.where(F.col("availability.status") == "active").join(gone, "id", "left_anti").select("id")
-    rows = memberships.where("status = 'active'").select("collection_id", "item_id", "position")
+    rows = memberships.where("status = 'active'").join(gone, "id", "left_anti").select("collection_id", "item_id", "position")
     rows = rows.join(live(collections).withColumnRenamed("id", "collection_id"), "collection_id", "left_semi")
     return rows.join(live(items).withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
@@ -67,19 +71,35 @@ def _capped(column: Column, most: int, name: str) -> list[Column]:
     return [F.size(values).alias(f"{name}_count"), F.slice(values, 1, most).alias(f"{name}_ids"), (F.size(values) > most).alias(f"{name}s_truncated")]
 
 
-def search_rows(items: DataFrame, links: DataFrame, groups: DataFrame, language: str) -> DataFrame:
-    """One flat row per publishable item that is described in the language, with capped lists and their true counts."""
+def _sorted_set(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))))
+
+
+def search_rows(items: DataFrame, links: DataFrame, groups: DataFrame, language: str, rights: DataFrame | None = None) -> DataFrame:
+    """One nested row per publishable item that is described in the language, with sorted sets, capped lists and their true
+    counts. Eligible are items with a complete concept mapping whose review is open or approved and that an active
+    collection holds. Colours are those of fixed and mixed renderings only. ``groups`` has item_id and group_key,
+    ``rights`` platform and distribution_status."""
     packs = links.groupBy("item_id").agg(F.array_sort(F.collect_set("collection_id")).alias("collections"))
     member = groups.groupBy("item_id").agg(F.array_sort(F.collect_set("group_key")).alias("groups"))
-    rows = items.where(F.col("availability.status") == "active").join(packs, F.col("id") == packs["item_id"]).drop("item_id")
+    eligible = F.col("review.status").isin("approved", "unreviewed") & (F.col("concept_mapping_status") == "complete") & (F.size("concept_ids") > 0)
+    rows = items.where((F.col("availability.status") == "active") & eligible).join(packs, F.col("id") == packs["item_id"]).drop("item_id")
     rows = rows.join(member, F.col("id") == member["item_id"], "left").drop("item_id")
+    rows = rows.join(F.broadcast(rights), "platform", "left") if rights is not None else rows.withColumn("distribution_status", F.lit("unknown"))
     told = F.col("descriptions")[language]
+    drawn = F.coalesce(F.col("facets.rendering.items"), F.array().cast(T.ArrayType(items.schema["facets"].dataType["rendering"].dataType["items"].dataType.elementType)))
+    coloured = F.filter(drawn, lambda r: r["color_behavior"].isin("fixed", "mixed") & r["dominant_colors"].isNotNull())
+    facets = F.struct(
+        F.exists("media", lambda m: F.coalesce(m["animated"], F.lit(False))).alias("animated"), _sorted_set(F.transform("media", lambda m: m["kind"])).alias("media_kinds"),
+        _sorted_set(F.transform(drawn, lambda r: r["color_behavior"])).alias("color_behaviors"), _sorted_set(F.flatten(F.transform(coloured, lambda r: F.transform(r["dominant_colors"], lambda c: c["family"])))).alias("color_families"),
+        (F.coalesce(F.col("facets.text_content.status"), F.lit("none")) != "none").alias("contains_text"), "facets.content_types", "facets.styles", "facets.suggested_uses", "facets.uncertainties",
+    )
+    native = F.struct("platform", "native_namespace", "scope_id", "native_id", "identity_epoch", F.lit("current").alias("status"))
     return rows.where(told.isNotNull()).select(
-        F.col("id").alias("item_id"), F.lit(language).alias("language"), "platform", "native_id", told["text"].alias("text"), told["motion"].alias("motion"), told["usage"].alias("usage"),
-        "concept_ids", "semantic_tags", F.exists("media", lambda m: m["animated"]).alias("animated"), F.array_distinct(F.transform("media", lambda m: m["kind"])).alias("media_kinds"),
-        F.array_distinct(F.transform("facets.rendering.items", lambda r: r["color_behavior"])).alias("color_behaviors"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("facets.rendering.items", lambda r: F.transform(F.coalesce(r["dominant_colors"], F.array().cast("array<struct<hex:string,family:string,coverage_bp:int>>")), lambda c: c["family"]))))).alias("color_families"),
-        literal_text().alias("literal_text"), "content.rating", "content.warnings", F.col("review.status").alias("review"), *_capped(F.col("collections"), MAX_COLLECTIONS, "collection"), *_capped(F.col("groups"), MAX_GROUPS, "group"),
+        F.col("id").alias("item_id"), F.lit(language).alias("language"), F.sha2(F.to_json(F.struct(*sorted(items.columns))), 256).alias("record_sha256"), "platform", "native_id",
+        F.lit(1).alias("native_reference_count"), F.array(native).alias("native_references"), told["text"].alias("text"), told["motion"].alias("motion"), told["usage"].alias("usage"), "concept_ids", "semantic_tags",
+        facets.alias("facets"), literal_text().alias("literal_text"), F.col("availability.status").alias("availability"), "content.rating", "content.warnings", F.col("review.status").alias("review"),
+        F.col("distribution_status").alias("rights"), *_capped(F.col("collections"), MAX_COLLECTIONS, "collection"), *_capped(F.col("groups"), MAX_GROUPS, "group"),
     )
 
 
@@ -91,7 +111,7 @@ def literal_text(items: str = "facets.text_content.items") -> Column:
 
 def agent_view(rows: DataFrame) -> DataFrame:
     """Search rows in the narrow projection for agents."""
-    return rows.select("item_id", "native_id", "language", "text", "motion", F.array_join("usage", "; ").alias("usage"), "semantic_tags", "animated")
+    return rows.select("item_id", "record_sha256", "native_id", "language", "text", "motion", F.array_join("usage", "; ").alias("usage"), "concept_ids", "semantic_tags", "facets.animated", "literal_text", "rating", "rights", "collection_ids", "group_ids")
 
 
 def lookup_documents(items: DataFrame, links: DataFrame, collections: DataFrame) -> DataFrame:
@@ -139,10 +159,8 @@ def complete_fragments(fragments: DataFrame, items: DataFrame) -> DataFrame:
     return fragments.join(whole.select("group_id"), "group_id", "left_semi")
 
 
-def catalog(collections: DataFrame, links: DataFrame) -> DataFrame:
+def catalog(collections: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The catalogue page: collections by title, with their counts and the running ordinal."""
-    from pyspark.sql import Window
-
     counts = links.groupBy("collection_id").agg(F.count("*").alias("members"))
     rows = collections.join(counts, F.col("id") == F.col("collection_id"), "left").select("id", "title", "native_id", F.coalesce("members", F.lit(0)).alias("members"))
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy(F.lower("title"), F.lower("native_id"), "id")) - 1)
+    return ordinals(rows, [F.lower("title"), F.lower("native_id"), F.col("id")], scratch)

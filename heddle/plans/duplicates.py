@@ -19,14 +19,11 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT sha256(text) AS text_sha256, strlen(text)::BIGINT AS n_bytes, count(*) AS members,
-  string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS member_ids
-FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT sha256(text) AS text_sha256, strlen(text)::BIGINT AS n_bytes, count(*) OVER w AS members, min(doc_id) OVER w AS first_member, doc_id
+FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text) QUALIFY count(*) OVER w > 1""")
 def exact_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal texts with their ordered members (ids only are gathered, after the groups are known)."""
-    members = group_members(hashed(spark, sf_dir), ["text_sha256", "n_bytes"], "doc_id")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return members.groupBy("text_sha256", "n_bytes", "members").agg(ids.alias("member_ids")).select("text_sha256", "n_bytes", "members", "member_ids")
+    """The members of groups of equal texts, a row each, with the group's size and least member."""
+    return group_members(hashed(spark, sf_dir), ["text_sha256", "n_bytes"], "doc_id")
 
 
 @query("""
@@ -85,33 +82,36 @@ _SIMHASH = """
 w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS v FROM w),
 s AS (SELECT doc_id, {bits} AS h FROM x GROUP BY 1),
-c AS (SELECT a.doc_id AS l, b.doc_id AS r, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.h, b.h)) <= 8)
+g AS (SELECT h, min(doc_id) AS doc_id, max(doc_id) AS top, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS l, b.doc_id AS r, bit_count(xor(a.h, b.h))::INTEGER AS distance, a.n AS left_members, b.n AS right_members FROM g a JOIN g b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.h, b.h)) <= 8
+  UNION ALL SELECT doc_id, top, 0, n, n FROM g WHERE n > 1)
 """.format(bits=" + ".join(f"(CASE WHEN 2 * sum((v >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64)))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(Scratch(spark, "simhash").table(simhashes(spark, sf_dir), "hashes"), "doc_id", "h", 8, cap=None)
+    return near_pairs(Scratch(spark, "simhash").table(simhashes(spark, sf_dir), "hashes"), "doc_id", "h", 8)
 
 
-@query(f'WITH {_SIMHASH} SELECT l AS "left", r AS "right", distance FROM c')
+@query(f'WITH {_SIMHASH} SELECT l AS "left", r AS "right", distance, left_members, right_members FROM c')
 def near_simhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents with similarity hashes at most 8 bits apart, by banded multi-probe join."""
+    """Classes of documents with equal similarity hashes, and pairs of classes at most 8 bits apart, by banded multi-probe
+    join."""
     return _near(spark, sf_dir)
 
 
 @query(f"""
 WITH {_SIMHASH}, d AS (SELECT l AS item, r AS other, distance FROM c UNION ALL SELECT r, l, distance FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY distance, other) AS rank, count(*) OVER (PARTITION BY item) AS available FROM d)
-SELECT item, other, distance, rank::INTEGER AS rank, available, available > 1 AS overflow FROM k WHERE rank <= 1""")
+SELECT item, other, distance, rank::INTEGER AS rank, available, available > 3 AS overflow FROM k WHERE rank <= 3""")
 def candidate_top_k_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best partner of each document, how many there were, and whether some were left out."""
+    """The three best partner classes of each class of documents, how many there were, and whether some were left out."""
     pairs = _near(spark, sf_dir)
     both = pairs.select(F.col("left").alias("item"), F.col("right").alias("other"), "distance").unionByName(pairs.select(F.col("right").alias("item"), F.col("left").alias("other"), "distance"))
-    return top_k(both, ["item"], [F.col("distance"), F.col("other")], 1).select("item", "other", "distance", "rank", "available", "overflow")
+    return top_k(both, ["item"], [F.col("distance"), F.col("other")], 3).select("item", "other", "distance", "rank", "available", "overflow")
 
 
 @query(f"""
-WITH {_SIMHASH} SELECT l AS "left", r AS "right", distance FROM c
+WITH {_SIMHASH} SELECT l AS "left", r AS "right", distance, left_members, right_members FROM c
 WHERE NOT EXISTS (SELECT 1 FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id = l AND b.doc_id = r)""")
 def suppressed_pairs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near pairs without those of equal text."""
@@ -129,12 +129,13 @@ def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT vec_id, array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '')::BIT AS b FROM embeddings WHERE len(embedding) = 64)
-SELECT a.vec_id AS "left", c.vec_id AS "right", bit_count(xor(a.b, c.b))::INTEGER AS distance
-FROM s a JOIN s c ON a.vec_id < c.vec_id WHERE bit_count(xor(a.b, c.b)) <= 16""")
+WITH s AS (SELECT vec_id, array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '')::BIT AS b FROM embeddings WHERE len(embedding) = 64),
+g AS (SELECT b, min(vec_id) AS vec_id, max(vec_id) AS top, count(*) AS n FROM s GROUP BY 1)
+SELECT a.vec_id AS "left", c.vec_id AS "right", bit_count(xor(a.b, c.b))::INTEGER AS distance, a.n AS left_members, c.n AS right_members
+FROM g a JOIN g c ON a.vec_id < c.vec_id WHERE bit_count(xor(a.b, c.b)) <= 16 UNION ALL SELECT vec_id, top, 0, n, n FROM g WHERE n > 1""")
 def near_embedding_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of embeddings whose signs differ in at most 16 of 64 places."""
-    return near_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 16, cap=None)
+    """Classes of embeddings of 64 dimensions with equal signs, and pairs of classes whose signs differ in at most 16 places."""
+    return near_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 16)
 
 
 @query()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from heddle.operators import evaluation as E
 from heddle.plans.catalogue import query
-from heddle.runtime import read_table
+from heddle.operators.ranking import ordinals
+from heddle.runtime import Scratch, read_table
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,28 +58,18 @@ def stratum_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH x AS (SELECT sum(levenshtein(b.text, d.text))::BIGINT AS edits, sum(length(b.text))::BIGINT AS reference_length
-  FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM benchmark) b
-  JOIN (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '?', 'g') AS text FROM documents) d ON doc_id = item_id)
+  FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM benchmark) b
+  JOIN (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM documents) d ON doc_id = item_id)
 SELECT *, {_BP.format(n='edits', d='reference_length')} AS cer_bp FROM x""")
 def levenshtein_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of benchmark items against the first 200 characters of documents of the same number, as the
-    SQL states it; ``levenshtein_cer_whole`` compares whole texts."""
+    """Character error rate of benchmark items against the whole documents of the same number; a null text is an empty one,
+    and characters beyond ASCII count as one and the same (the oracle's distance counts bytes)."""
 
     def plain(text: Column) -> Column:
-        return F.regexp_replace(text, "[^ -~]", "?")  # the oracle's distance counts bytes
+        return F.regexp_replace(F.coalesce(text, F.lit("")), "[^ -~]", "?")
 
     items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), plain(F.col("text")).alias("reference"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", plain(F.substring("text", 1, 200)).alias("hypothesis"))
-    return E.error_rate(items.join(docs, "doc_id"), F.col("reference"), F.col("hypothesis"))
-
-
-@query()
-def levenshtein_cer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of benchmark items against the whole documents of the same number, character by character; a
-    null text is an empty one."""
-    text = F.coalesce("text", F.lit(""))
-    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("reference"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", text.alias("hypothesis"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", plain(F.col("text")).alias("hypothesis"))
     return E.error_rate(items.join(docs, "doc_id"), F.col("reference"), F.col("hypothesis"))
 
 
@@ -88,30 +79,18 @@ SELECT l_returnflag, p AS p_milli, cents AS value FROM x, (VALUES (500), (900),
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of prices by flag."""
     lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
-    return E.percentiles(lines, ["l_returnflag"], "cents", [0.5, 0.9, 0.95])
+    return E.percentiles(lines, ["l_returnflag"], "cents", [0.5, 0.9, 0.95], Scratch(spark, "percentiles"))
 
 
 @query("""
-WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, toxic FROM labels JOIN documents USING (doc_id) WHERE lang = 'de'),
+WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, toxic FROM labels),
 n AS (SELECT count(*) AS n FROM v), d AS (SELECT r, k, n, (('0x' || substr(sha256('ci:' || r || ':' || k), 1, 16))::UBIGINT % n)::BIGINT AS ordinal FROM n, range(128) AS a(r), range(n) AS b(k)),
 m AS (SELECT r, floor((2 * 1000 * sum(toxic) + any_value(n)) / (2 * any_value(n)))::BIGINT AS m, any_value(n) AS n FROM d JOIN v USING (ordinal) GROUP BY r),
 o AS (SELECT list_sort(list(m)) AS l, any_value(n) AS n FROM m)
 SELECT n, l[4] AS low_milli, l[125] AS high_milli FROM o""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the share of toxic documents in German, as the SQL states it, from 128 deterministic resamples;
-    ``bootstrap_ci_all`` takes all labelled rows."""
-    from pyspark.sql import Window
-
-    rows = judged(spark, sf_dir).where("lang = 'de'").select("toxic", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("ordinal"))
-    return E.bootstrap(rows, "toxic", "ci")
-
-
-@query()
-def bootstrap_ci_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the share of toxic documents over all labelled rows, from 128 deterministic resamples."""
-    from pyspark.sql import Window
-
-    rows = read_table(spark, sf_dir, "labels").select("toxic", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("ordinal"))
+    rows = ordinals(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), [F.col("doc_id")], Scratch(spark, "bootstrap"))
     return E.bootstrap(rows, "toxic", "ci")
 
 

@@ -88,15 +88,14 @@ def qualification_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'withdrawn' WHEN NOT (r_regionkey <> 4 AND r_regionkey <= 3 AND (r_regionkey = 0 OR 3 < r_regionkey + 3)) THEN 'unknown'
-  WHEN n_nationkey % 5 = 1 OR r_regionkey = 2 THEN 'restricted' WHEN n_nationkey % 5 = 2 THEN 'unknown' ELSE 'allowed' END AS decision
+SELECT n_nationkey, CASE WHEN NOT (r_regionkey <= 3 AND (r_regionkey = 0 OR 3 < r_regionkey + 3)) THEN 'unknown' WHEN n_nationkey % 7 = 0 THEN 'withdrawn'
+  WHEN n_nationkey % 5 IN (1, 3) OR r_regionkey = 2 THEN 'restricted' WHEN n_nationkey % 5 IN (2, 4) THEN 'unknown' ELSE 'allowed' END AS decision
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def rights_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder of rights decisions on nations with made-up profiles."""
+    """The ladder of rights decisions on nations with made-up profiles; some are outside their interval and withdrawn as well."""
     rows = read_table(spark, sf_dir, "nation").join(F.broadcast(read_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     k, r = F.col("n_nationkey"), F.col("r_regionkey")
-    own = F.when(k % 5 == 1, "restricted").when(k % 5 == 2, "unknown").otherwise("allowed")
-    regional = F.when(r == 2, "restricted").otherwise("allowed")
-    status = F.when(r == 4, "draft").otherwise("active")
-    decided = policy.rights_decision(status, r, F.when(r != 0, r + 3), F.lit(3), k % 7 == 0, [own, regional])
+    own = F.when(k % 5 == 1, "deny").when(k % 5 == 3, "conditional").when(k % 5 == 0, "allow").when(k % 5 == 2, "unknown")  # or none
+    regional = F.when(r == 2, "not-granted").otherwise("allow")
+    decided = policy.rights_decision(F.lit("active"), r, F.when(r != 0, r + 3), F.lit(3), k % 7 == 0, [own, regional])
     return rows.select("n_nationkey", decided.alias("decision"))

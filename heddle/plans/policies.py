@@ -60,7 +60,7 @@ def best_allowed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT s_suppkey AS k, s_nationkey AS g FROM supplier), c AS (SELECT k FROM n WHERE k % 6 = 0),
-p AS (SELECT a.k AS l, b.k AS r FROM n a JOIN n b ON a.g = b.g AND a.k < b.k)
+p AS (SELECT min(k) OVER (PARTITION BY g) AS l, k AS r FROM n QUALIFY l <> r)
 SELECT k AS item FROM c UNION SELECT r FROM p JOIN c ON l = k UNION SELECT l FROM p JOIN c ON r = k""")
 def incremental_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an index must scan again: items whose digest changed, and their neighbours."""
@@ -68,8 +68,8 @@ def incremental_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = incremental.changed(rows, None, "item", ["s_name", "s_nationkey"])
     now = rows.withColumn("s_name", F.when(F.col("item") % 6 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
     moved = incremental.changed(now, state, "item", ["s_name", "s_nationkey"])
-    a, b = rows.select(F.col("item").alias("left"), "s_nationkey"), rows.select(F.col("item").alias("right"), "s_nationkey")
-    pairs = a.join(b, "s_nationkey").where("left < right").select("left", "right")
+    first = rows.groupBy("s_nationkey").agg(F.min("item").alias("left"))  # near pairs: each item with the first of its nation
+    pairs = rows.select(F.col("item").alias("right"), "s_nationkey").join(first, "s_nationkey").where("left <> right").select("left", "right")
     return incremental.affected(moved.select("item"), pairs, pairs.limit(0))
 
 

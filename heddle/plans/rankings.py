@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.operators.intervals import as_of, midpoints, presentation
 from heddle.operators.ranking import chunks, keyset_page, latest, next_positions, order_breaks
 from heddle.plans.catalogue import query
-from heddle.runtime import read_table
+from heddle.runtime import Scratch, read_table
 
 
 @query("""
@@ -22,11 +22,12 @@ def latest_order_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, o_custkey, o_orderstatus, (row_number() OVER (ORDER BY o_orderkey) - 1)::INTEGER AS ordinal
-FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 200""")
+FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= 700) ORDER BY o_orderkey LIMIT 200""")
 def keyset_page_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of orders after a key; the page size is the operator's own limit."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return keyset_page(orders, ["o_orderkey"], (700,), 200)
+    last = orders.where("o_orderkey <= 700").agg(F.max("o_orderkey")).first()[0]
+    return keyset_page(orders, ["o_orderkey"], (last,), 200)
 
 
 @query("""
@@ -76,7 +77,7 @@ SELECT conv_id, turn, role, ((row_number() OVER (PARTITION BY role ORDER BY conv
 def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each role in chunks of seven."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return chunks(turns, ["role"], [F.col("conv_id"), F.col("turn")], 7)
+    return chunks(turns, ["role"], [F.col("conv_id"), F.col("turn")], 7, Scratch(spark, "chunks"))
 
 
 @query("""

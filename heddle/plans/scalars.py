@@ -10,10 +10,15 @@ from heddle.plans.catalogue import query
 from heddle.runtime import read_table
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("""
+WITH d AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a":{"k":null}}' WHEN 1 THEN '{"a":{}}' WHEN 2 THEN '{"a":{"k":"x' || event_id || '"}}' ELSE '{"a":{"k":[1,{"b":2}]}}' END AS doc, props FROM events)
+SELECT event_id, json_extract_string(props, '$.k') AS k, event_id % 4 <> 1 AS present, CASE event_id % 4 WHEN 2 THEN 'x' || event_id WHEN 3 THEN '[1,{"b":2}]' END AS value FROM d""")
 def json_pointer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value from each event's JSON."""
-    return read_table(spark, sf_dir, "events").select("event_id", json_pointer(F.col("props"), "/k").alias("k"))
+    """A value from each event's JSON, and one that may be absent, null, a text or a list."""
+    k = F.col("event_id")
+    doc = F.when(k % 4 == 0, '{"a":{"k":null}}').when(k % 4 == 1, '{"a":{}}').when(k % 4 == 2, F.concat(F.lit('{"a":{"k":"x'), k, F.lit('"}}'))).otherwise('{"a":{"k":[1,{"b":2}]}}')
+    found = read_table(spark, sf_dir, "events").select("event_id", json_pointer(F.col("props"), "/k")["value"].alias("k"), json_pointer(doc, "/a/k").alias("p"))
+    return found.select("event_id", "k", "p.present", "p.value")
 
 
 @query("""
@@ -40,10 +45,14 @@ def canonical_language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, min(p_size // 10 * 1000000 + p_size % 10 * 1000 + p_partkey % 20) AS least_key FROM part GROUP BY 1""")
+WITH v AS (SELECT p_brand, p_size // 10 AS a, p_size % 10 AS b, p_partkey % 20 AS c, p_partkey % 3 AS kind, p_partkey % 13 AS n FROM part),
+r AS (SELECT *, a || '.' || b || '.' || c || CASE kind WHEN 0 THEN '' WHEN 1 THEN '-rc.' || n ELSE '-rc.' || n || '.x' END AS version,
+  CASE kind WHEN 0 THEN 1 ELSE 0 END AS release, CASE kind WHEN 0 THEN 0 ELSE n END AS pre, kind AS more FROM v)
+SELECT p_brand, arg_min(version, (a, b, c, release, pre, more)) AS least, arg_max(version, (a, b, c, release, pre, more)) AS greatest FROM r GROUP BY 1""")
 def least_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least of each brand's made-up versions, in semantic order."""
-    parts = read_table(spark, sf_dir, "part")
-    version = F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10, F.col("p_partkey") % 20)
-    least = parts.groupBy("p_brand").agg(F.min(semver_key(version)).alias("v"))
-    return least.select("p_brand", (F.col("v.major") * 1000000 + F.col("v.minor") * 1000 + F.col("v.patch")).alias("least_key"))
+    """The least and the greatest of each brand's made-up versions, in semantic order; some are pre-releases."""
+    k = F.col("p_partkey")
+    pre = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("-rc."), k % 13)).otherwise(F.concat(F.lit("-rc."), k % 13, F.lit(".x")))
+    version = F.concat(F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10, k % 20), pre)
+    rows = read_table(spark, sf_dir, "part").select("p_brand", version.alias("version"))
+    return rows.groupBy("p_brand").agg(F.min_by("version", semver_key(F.col("version"))).alias("least"), F.max_by("version", semver_key(F.col("version"))).alias("greatest"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.grouping import table_root
+from heddle.operators.grouping import tree_depth, tree_root
 
 
 class SnapshotError(ValueError):
@@ -18,7 +18,7 @@ def _record(df: DataFrame):
     return F.to_json(F.struct(*sorted(df.columns)))
 
 
-def write(spark: SparkSession, root: str, version: str, tables: dict[str, tuple[DataFrame, list[str]]], buckets: int = 64) -> dict:
+def write(spark: SparkSession, root: str, version: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> dict:
     """Writes tables (name -> frame, primary key) as version ``version``; the manifest comes last, so a failed write is
     never seen. Returns the manifest."""
     entries = {}
@@ -26,8 +26,9 @@ def write(spark: SparkSession, root: str, version: str, tables: dict[str, tuple[
         path = f"{root}/{version}/{name}"
         df.write.mode("overwrite").parquet(path)
         stored = spark.read.schema(df.schema).parquet(path)
-        row = table_root(stored, key, _record(stored), buckets).first()
-        entries[name] = {"primary_key": key, "n_rows": row["n_rows"] or 0, "root": row["root"], "schema": df.schema.simpleString(), "buckets": buckets}
+        depth = tree_depth(stored.count())
+        row = tree_root(stored, key, _record(stored), depth).first()
+        entries[name] = {"primary_key": key, "n_rows": row["n_rows"] if row else 0, "root": row["root"] if row else "", "schema": df.schema.simpleString(), "depth": depth}
     manifest = {"version": version, "tables": entries}
     text = json.dumps(manifest, sort_keys=True, separators=(",", ":"))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{version}/manifest")
@@ -48,9 +49,9 @@ def read(spark: SparkSession, root: str, version: str, name: str, verify: bool =
         raise SnapshotError(f"no table {name}")
     df = spark.read.parquet(f"{root}/{version}/{name}")
     if verify:
-        row = table_root(df, entry["primary_key"], _record(df), entry["buckets"]).first()
+        row = tree_root(df, entry["primary_key"], _record(df), entry["depth"]).first()
         twice = df.groupBy(*entry["primary_key"]).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if twice or (row["n_rows"] or 0) != entry["n_rows"] or row["root"] != entry["root"]:
+        if twice or (row["n_rows"] if row else 0) != entry["n_rows"] or (row["root"] if row else "") != entry["root"]:
             raise SnapshotError(f"{name} differs from its manifest")
     return df
 

@@ -41,12 +41,14 @@ def test_bits(spark):
 def test_text(spark):
     assert one(spark, C.language_tag(F.lit("zh_hANT-tw"))) == "zh-Hant-TW"
     assert one(spark, C.tokens(F.lit("éa b-c"))) == ["éa", "b", "c"]
-    assert one(spark, C.json_pointer(F.lit('{"a/b":{"c":[1,2]}}'), "/a~1b/c/1")) == "2"
+    assert tuple(one(spark, C.json_pointer(F.lit('{"a/b":{"c":[1,2]}}'), "/a~1b/c/1"))) == (True, "2")
     assert one(spark, C.nfkc_fold(F.lit("Ｓtraße  X"))) == "strasse x"
     assert C.language_chain("ru-RU-x", {"ru": ["ru", "en"]}) == ["ru", "en"]
-    versions = ["1.10.0", "1.2.0", "1.2.0-rc.1"]
+    versions = ["1.10.0", "1.2.0", "1.2.0-rc.1", "1.2.0-rc.10", "1.2.0-rc.9", "1.2.0-rc", "1.2.0-1", "1.2.0-rc.x"]
     rows = spark.createDataFrame([(v,) for v in versions], "v string").orderBy(C.semver_key(F.col("v"))).collect()
-    assert [r["v"] for r in rows] == ["1.2.0-rc.1", "1.2.0", "1.10.0"]
+    assert [r["v"] for r in rows] == ["1.2.0-1", "1.2.0-rc", "1.2.0-rc.1", "1.2.0-rc.9", "1.2.0-rc.10", "1.2.0-rc.x", "1.2.0", "1.10.0"]
+    document = F.lit('{"a":null,"b":{"c":"x"}}')
+    assert [tuple(one(spark, C.json_pointer(document, p))) for p in ("/a", "/b/c", "/d", "/b/c/0")] == [(True, None), (True, "x"), (False, None), (False, None)]
 
 
 @pytest.mark.parametrize("rgb,want", [((255, 0, 0), "red"), ((0, 0, 0), "black"), ((255, 255, 255), "white"), ((128, 128, 128), "gray"), ((255, 230, 0), "yellow"), ((0xF7, 0xC8, 0x43), "orange"), ((0, 0, 255), "blue"), ((120, 70, 20), "brown")])
@@ -63,7 +65,7 @@ def test_perceptual_hash_of_an_opaque_red_square():
     canvas = kernels.layout_canvas(frame)
     pack = lambda x: base64.urlsafe_b64encode(x.to_bytes(8, "big")).rstrip(b"=").decode()
     assert pack(kernels.phash(kernels.luminance(canvas))) == "gAAqACoAKgA"
-    assert kernels.palette([frame]) == [("#ff0000", 10_000)]
+    assert kernels.palette([frame]) == [("#ff0000", "red", 10_000)]
     assert kernels.half_up(int((canvas[..., 3] >= 16).sum()) * 10_000, 256 * 256) == 7656
 
 
@@ -73,6 +75,41 @@ def test_alignment_finds_rotations_and_holds():
     assert kernels.aligned([], []) == [64] and kernels.aligned([1], [3]) == [1]
 
 
+def test_palette_keeps_every_selected_colour():
+    import numpy as np
+
+    frame = np.zeros((200, 200, 4), np.uint8)
+    frame[..., 0] = frame[..., 3] = 255
+    frame[0, 0] = (0, 255, 0, 16)
+    assert kernels.palette([frame]) == [("#ff0000", "red", 9999), ("#00ff00", "green", 1)]
+    halves = np.zeros((2, 2, 4), np.uint8)
+    halves[..., 3] = 255
+    halves[0, 0, 0] = halves[0, 1, 2] = 255
+    assert [x[1:] for x in kernels.palette([halves])] == [("black", 5000), ("blue", 2500), ("red", 2500)]
+
+
+def test_entropy_of_histograms():
+    import numpy as np
+
+    assert [kernels.entropy_millibits(np.array(c)) for c in ([0, 0], [5], [1, 1], [1, 1, 1, 1], [3, 1], [1, 2, 3, 4])] == [0, 0, 1000, 2000, 811, 1846]
+
+
+def test_grids_are_the_largest_full_rectangles(spark):
+    from heddle.media.operators import layouts
+
+    links = [("c", 10 * y + x, 10 * y + x + 1, "x", 0.01 + x / 100, True) for y in range(2) for x in range(2)]
+    links += [("c", x, 10 + x, "y", 0.02, True) for x in range(3)] + [("c", 12, 13, "x", 0.5, False), ("c", 50, 51, "x", 0.2, True), ("c", 60, 61, "x", 0.1, True)]
+    got = layouts(spark.createDataFrame(links, "collection string, a long, b long, axis string, score double, unique boolean")).collect()
+    grids = {}
+    for r in got:
+        grids.setdefault(r["grid"], {})[r["x"], r["y"]] = r["tile"]
+    # the weak fourth tile of the second row and the strip with a poor seam are left out
+    assert list(grids.values()) == [{(x, y): 10 * y + x for y in range(2) for x in range(3)}, {(0, 0): 60, (1, 0): 61}]
+    long = [("c", k, k + 1, "x", 0.01, True) for k in range(12)]
+    got = layouts(spark.createDataFrame(long, "collection string, a long, b long, axis string, score double, unique boolean")).collect()
+    assert max(r["x"] for r in got) == 7  # no side beyond eight
+
+
 def test_seams():
     import numpy as np
 

@@ -48,17 +48,30 @@ def test_near_pairs_equal_all_pairs_and_caps_drop_whole_buckets(spark):
     values = [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(0, 12))) for b in base for _ in range(6)] + [base[0]] * 3
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame(list(enumerate(signed)), "i long, h long")
-    want = {(i, j, (values[i] ^ values[j]).bit_count()) for i, j in itertools.combinations(range(len(values)), 2) if (values[i] ^ values[j]).bit_count() <= 8}
-    got = {tuple(r) for r in candidates.near_pairs(df, "i", "h", 8, cap=None).collect()}
+    classes = {}
+    for k, v in enumerate(values):
+        classes.setdefault(v, []).append(k)
+    want = {(v[0], v[-1], 0, len(v), len(v)) for v in classes.values() if len(v) > 1}
+    for x, y in itertools.combinations(classes, 2):
+        if (x ^ y).bit_count() <= 8:
+            one, two = sorted((classes[x], classes[y]))
+            want.add((one[0], two[0], (x ^ y).bit_count(), len(one), len(two)))
+    got = {tuple(r) for r in candidates.near_pairs(df, "i", "h", 8).collect()}
     assert got == want
     capped = {tuple(r) for r in candidates.near_pairs(df, "i", "h", 8, cap=1).collect()}
     assert capped < want
 
 
-def test_scan_of_many_unique_hashes_makes_only_the_cluster_pairs(spark):
-    rows = [(k, 0) for k in range(22)] + [(k, None) for k in range(22, 5000)]
-    df = spark.createDataFrame(rows, "i long, h long")
-    assert candidates.near_pairs(df, "i", "h", 8).count() == 231
+def test_numbers_and_running_sums_over_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(40), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int")
+    got = {r["k"]: r["n"] for r in ranking.ordinals(df, [F.col("v"), F.col("k")], Scratch(spark, "t"), "n", ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted((v, k) for x, v, k in rows if x == g)
+        assert [got[k] for _, k in own] == list(range(len(own)))
+    sums = ranking.running(df, [], [F.col("k")], F.col("v").cast("long"), Scratch(spark, "t"), "s").orderBy("k").collect()
+    assert [r["s"] for r in sums] == [sum(v for _, v, j in rows if j < k) for k in range(500)]
 
 
 def test_clone_and_subset(spark):
@@ -76,9 +89,11 @@ def test_histogram_refuses_values_outside_its_domain(spark):
 
 def test_roots_do_not_depend_on_partitions(spark):
     df = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
-    for buckets in (1, 16):
-        roots = {grouping.table_root(df.repartition(n), ["id"], F.col("v"), buckets).first()["root"] for n in (1, 7)}
-        assert len(roots) == 1
+    for depth in (0, 1, 2):
+        roots = {tuple(grouping.tree_root(df.repartition(n), ["id"], F.col("v"), depth).first()) for n in (1, 7)}
+        assert len(roots) == 1 and roots.pop()[0] == 500
+    assert grouping.tree_root(df, ["id"], F.col("v"), 0).first()["root"] == grouping.table_root(df, ["id"], F.col("v")).first()["root"]
+    assert [grouping.tree_depth(n) for n in (0, 4096, 4097, 10**9)] == [0, 0, 1, 5]
 
 
 def test_keyset_pages_cover_all_rows_once(spark):
@@ -116,7 +131,7 @@ def test_takedown_keeps_shared_items(spark):
 def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     df = spark.range(40).select("id", F.concat(F.lit("n"), "id").alias("name"))
     root = f"file://{tmp_path}"
-    snapshot.write(spark, root, "v1", {"items": (df, ["id"])}, buckets=4)
+    snapshot.write(spark, root, "v1", {"items": (df, ["id"])})
     assert snapshot.read(spark, root, "v1", "items").count() == 40
     df.limit(39).write.mode("overwrite").parquet(f"{root}/v1/items")
     with pytest.raises(snapshot.SnapshotError):

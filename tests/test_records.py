@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import records as R
+from heddle.runtime import Scratch
 from heddle.sources.schemas import SCHEMAS
 
 
@@ -14,7 +15,7 @@ def item(k, media="m", decoded="d", status="active", review="unreviewed", text="
         "id": f"i{k}", "platform": "p", "native_id": str(k), "availability": {"status": status}, "review": {"status": review},
         "media": [{"role": "primary", "kind": "image", "sha256": media, "byte_size": 9, "animated": False}],
         "fingerprints": {"status": "complete", "profile": "v1", "input_media_digest": f"dig{k}", "items": prints},
-        "descriptions": {"en": {"text": text, "usage": ["hello"]}}, "semantic_tags": ["b", "a", "b"], "concept_ids": ["z", "y"], "content": {"rating": "general", "warnings": []},
+        "descriptions": {"en": {"text": text, "usage": ["hello"]}}, "semantic_tags": ["b", "a", "b"], "concept_ids": ["z", "y"], "concept_mapping_status": "complete", "content": {"rating": "general", "warnings": []},
         "facets": {"rendering": rendering, "text_content": {"items": [{"value": "OK", "kind": "letter"}]}},
     }
 
@@ -26,7 +27,7 @@ def data(spark):
 
     items = table("items", [item(1), item(2), item(3, media="x"), item(4, media="y", decoded="e", status="inactive"), item(5, media="w", decoded="f", review="rejected")])
     collections = table("collections", [{"id": "c1", "title": "Beta", "native_id": "b", "availability": {"status": "active"}}, {"id": "c2", "title": "alpha", "native_id": "a", "availability": {"status": "active"}}])
-    members = table("memberships", [{"collection_id": c, "item_id": i, "status": s, "position": k} for k, (c, i, s) in enumerate([("c1", "i1", "active"), ("c1", "i2", "active"), ("c2", "i1", "active"), ("c2", "i3", "removed"), ("c1", "i4", "active"), ("c1", "i5", "active"), ("c2", "gone", "active")])])
+    members = table("memberships", [{"id": f"m{k}", "collection_id": c, "item_id": i, "status": s, "position": k} for k, (c, i, s) in enumerate([("c1", "i1", "active"), ("c1", "i2", "active"), ("c2", "i1", "active"), ("c2", "i3", "removed"), ("c1", "i4", "active"), ("c1", "i5", "active"), ("c2", "gone", "active")])])
     tombstones = table("tombstones", [{"target_entity_type": "item", "target_id": "i2"}])
     return {"items": items, "collections": collections, "members": members, "tombstones": tombstones, "links": R.active_links(members, collections, items, tombstones)}
 
@@ -43,13 +44,13 @@ def test_group_families(data):
 def test_search_rows(data):
     groups = R.group_families(data["items"])
     rows = {r["item_id"]: r for r in R.search_rows(data["items"], data["links"], groups, "en").collect()}
-    assert set(rows) == {"i1", "i5"}
+    assert set(rows) == {"i1"}  # a rejected item is not eligible
     row = rows["i1"]
     assert row["collection_ids"] == ["c1", "c2"] and row["collection_count"] == 2 and not row["collections_truncated"]
-    assert row["group_count"] == 4 and rows["i5"]["group_count"] == 0
-    assert row["color_families"] == ["red"] and row["literal_text"][0]["kind"] == "symbol" and row["text"] == "A cat"
+    assert row["group_count"] == 4
+    assert row["facets"]["color_families"] == ["red"] and row["literal_text"][0]["kind"] == "symbol" and row["text"] == "A cat"
     assert R.search_rows(data["items"], data["links"], groups, "ru").count() == 0
-    assert R.agent_view(R.search_rows(data["items"], data["links"], groups, "en")).where("usage = 'hello'").count() == 2
+    assert R.agent_view(R.search_rows(data["items"], data["links"], groups, "en")).where("usage = 'hello'").count() == 1
 
 
 def test_lookup_documents_leave_out_rejected(data):
@@ -69,7 +70,7 @@ def test_normal_forms(spark, data):
     assert row["semantic_tags"] == ["a", "b"] and row["concept_ids"] == ["y", "z"]
     refs = spark.sql("select array(named_struct('role', 'primary', 'variant_id', 'x'), named_struct('role', 'primary', 'variant_id', cast(null as string))) as r")
     assert len(refs.select(R.primary_references(F.col("r")).alias("p")).first()["p"]) == 1
-    assert [r["title"] for r in R.catalog(data["collections"], data["links"]).orderBy("ordinal").collect()] == ["alpha", "Beta"]
+    assert [r["title"] for r in R.catalog(data["collections"], data["links"], Scratch(data["items"].sparkSession, "t")).orderBy("ordinal").collect()] == ["alpha", "Beta"]
     assert R.set_fingerprint(data["links"], data["items"]).count() == 2
 
 
