@@ -162,3 +162,20 @@ def nfkc_fold(text: pa.Array) -> pa.Array:
 def ascii_fold(text: Column) -> Column:
     """The built-in path of ``nfkc_fold`` for ASCII text."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def truncated_median(values: Column) -> Column:
+    """Median of an array of integers; the mean of the two middle ones of an even number is truncated."""
+    ordered, n = F.array_sort(values), F.size(values)
+    low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
+    return F.floor((low + high) / 2).cast("int")
+
+
+def nearest_rank(values: Column, percent: int) -> Column:
+    """The value at rank ceil(n * percent / 100) of an array."""
+    return F.get(F.array_sort(values), F.greatest(F.ceil(F.size(values) * percent / 100).cast("int") - 1, F.lit(0)))
+
+
+def trimmed_decimal(value: Column) -> Column:
+    """Six decimals without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), "[.]$", "")

@@ -119,7 +119,8 @@ def lookup_documents(items: DataFrame, links: DataFrame, collections: DataFrame)
     titles = links.join(collections.select(F.col("id").alias("collection_id"), "title"), "collection_id").groupBy("item_id").agg(F.array_sort(F.collect_set("title")).alias("titles"))
     rows = items.where(~F.coalesce(F.col("review.status").isin("rejected", "changes_requested"), F.lit(False))).join(titles, F.col("id") == F.col("item_id"))
     told = F.flatten(F.transform(F.map_values("descriptions"), lambda d: F.concat(F.array(d["text"], d["motion"]), F.coalesce(d["usage"], F.array().cast("array<string>")))))
-    return rows.select("item_id", "native_id", F.concat_ws(" ", F.array_join(told, " "), F.array_join("semantic_tags", " "), F.array_join("titles", " ")).alias("document"))
+    words, rest = F.array_join(told, " "), F.concat_ws(" ", F.array_join("semantic_tags", " "), F.array_join("titles", " "))
+    return rows.select("item_id", "native_id", words.alias("told"), rest.alias("rest"), F.concat_ws(" ", words, rest).alias("document"))
 
 
 def current_relations(relations: DataFrame, items: DataFrame, tombstones: DataFrame) -> DataFrame:
