@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.search import bm25, filter_column, inverted_index, lexical_score, lookup_prefixes, resolve, similar
+from heddle.operators.search import filter_column, inverted_index, lexical_score, lookup_prefixes, resolve, similar
 from heddle.plans.catalogue import query
 from heddle.plans.duplicates import hashed
 from heddle.runtime import read_table
@@ -54,12 +54,6 @@ def lookup_prefix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_prefixes(inverted_index(read_table(spark, sf_dir, "documents"), "doc_id", _words()), "doc_id", TERMS)
 
 
-@query()
-def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Okapi BM25 of two words, to be read as a ranking."""
-    return bm25(inverted_index(read_table(spark, sf_dir, "documents"), "doc_id", _words()), "doc_id", ["thanon", "eronin"])
-
-
 @query("""
 WITH r AS (SELECT l_suppkey, l_partkey AS target, epoch_us(l_shipdate) AS f, CASE WHEN l_linestatus = 'O' THEN 'active' ELSE 'inactive' END AS status FROM lineitem),
 x AS (SELECT l_suppkey, count(*) FILTER (WHERE f <= 820454400000000 AND 820454400000000 < f + 259200000000) AS visible,
