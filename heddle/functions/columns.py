@@ -179,3 +179,61 @@ def nearest_rank(values: Column, percent: int) -> Column:
 def trimmed_decimal(value: Column) -> Column:
     """Six decimals without trailing zeros."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), "[.]$", "")
+
+
+def mean_milli(total: Column, n: Column) -> Column:
+    """A mean in thousandths, by way of basis points."""
+    return F.floor(ratio_bp(total, n) / 10).cast("long")
+
+
+def sum_of_all(value: Column) -> Column:
+    """The sum, or null if any value is missing."""
+    return F.when(F.count(value) == F.count(F.lit(1)), F.coalesce(F.sum(value), F.lit(0)))
+
+
+def instant(text: Column) -> Column:
+    """Seconds of a canonical UTC timestamp; null for any other spelling."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"), F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))))
+
+
+def seconds_to_us(seconds: Column) -> Column:
+    """Decimal seconds (as text) in microseconds, halves up."""
+    return F.round(seconds.cast("decimal(30,9)") * 1_000_000, 0).cast("long")
+
+
+def slug(text: Column) -> Column:
+    """Lower-case words of letters and digits joined by hyphens; runs of anything else are one hyphen."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def escape_html(text: Column) -> Column:
+    out = text
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
+def shard_path(identifier: Column, *digits: int) -> Column:
+    """Folders from the hex digits of an id's SHA-256: the first so many, then the next, then the whole digest."""
+    h, parts, at = F.sha2(identifier, 256), [], 1
+    for n in digits:
+        parts.append(F.substring(h, at, n))
+        at += n
+    return F.concat_ws("/", *parts, h)
+
+
+def encode_hashes(words: Column) -> Column:
+    """Longs as base64url text of big-endian words, without padding: the inverse of ``decode_hashes``."""
+    digits = F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), "")
+    return F.rtrim(F.translate(F.base64(F.unhex(digits)), "+/", "-_"), F.lit("="))
+
+
+def named_key(kind: str, *parts: Column) -> Column:
+    """A cache key: the digest of a kind and its parts, each with its length, so that no two lists of parts spell the same."""
+    pieces = [F.concat_ws(":", F.octet_length(F.coalesce(p, F.lit(""))).cast("string"), F.coalesce(p, F.lit(""))) for p in parts]
+    return F.sha2(F.concat_ws("|", F.lit(kind), *pieces), 256)
+
+
+def names_match(name: Column, wanted: list[str]) -> Column:
+    """Whether a pack is one of those asked for, whatever the case."""
+    return F.lower(F.trim(name)).isin([w.strip().lower() for w in wanted])

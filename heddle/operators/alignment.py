@@ -43,7 +43,7 @@ def media_bijection(pairs: DataFrame, item: str) -> DataFrame:
     for n in range(1, MOST_MEDIA + 1):
         rows = pairs.where((F.col("n_left") == n) & (F.col("n_right") == n))
         if n <= 4:  # few orders: written out as columns
-            options = [F.struct(sum((F.col("cost")[i][j] for i, j in enumerate(order)), F.lit(0)).alias("total"), F.array(*[F.lit(j) for j in order]).alias("pairing")) for order in permutations(range(n))]
+            options = [F.struct(sum((F.get(F.get("cost", F.lit(i)), F.lit(j)) for i, j in enumerate(order)), F.lit(0)).alias("total"), F.array(*[F.lit(j) for j in order]).alias("pairing")) for order in permutations(range(n))]
             best = F.array_min(F.filter(F.array(*options), lambda o: o["total"].isNotNull()))
             found = rows.select(item, best["total"].cast("long").alias("total"), best["pairing"].alias("pairing"))
         else:

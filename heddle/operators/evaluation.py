@@ -106,3 +106,89 @@ def best_allowed(df: DataFrame, case: str, allowed: str, chosen: str) -> DataFra
 def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Each named check over one row of metrics, and whether all pass."""
     return df.select(*[check.alias(name) for name, check in checks.items()]).withColumn("passed", F.forall(F.array(*[F.coalesce(F.col(name), F.lit(False)) for name in checks]), lambda x: x))
+
+
+def bound_cases(cases: DataFrame, observations: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """Cases with the first observation of each (least ``attempt``) and the adjudication of exactly that response, found by the
+    response's digest; a case without either keeps nulls."""
+    first = observations.groupBy("case_id").agg(F.min_by(F.struct(*observations.columns), "attempt").alias("o"))
+    rows = cases.join(first, "case_id", "left").withColumn("__digest", F.sha2("o.response", 256))
+    judged = adjudications.groupBy("case_id", "response_sha256").agg(F.first(F.struct(*adjudications.columns)).alias("a"))
+    on = (F.col("c.case_id") == F.col("j.case_id")) & (F.col("c.__digest") == F.col("j.response_sha256"))
+    return rows.alias("c").join(judged.alias("j"), on, "left").select("c.*", "j.a").drop("__digest")
+
+
+def near_lookup(cases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Labelled pairs (left, right in any order) with whether a scan found them, and its rank."""
+    found = pairs.select(F.least("left", "right").alias("x"), F.greatest("left", "right").alias("y"), "rank").groupBy("x", "y").agg(F.min("rank").alias("rank"))
+    joined = cases.join(found, (F.least("left", "right") == F.col("x")) & (F.greatest("left", "right") == F.col("y")), "left")
+    return joined.drop("x", "y").withColumn("found", F.col("rank").isNotNull())
+
+
+def leaks(cases: DataFrame, group: str, split: str) -> DataFrame:
+    """Isolation groups with cases in more than one split."""
+    return cases.groupBy(group).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("cases")).where("splits > 1")
+
+
+def set_f1(pairs: DataFrame, expected: str, observed: str, weight: str) -> DataFrame:
+    """(macro_f1_bp, micro_f1_bp) of label sets: macro over labels that are expected somewhere, micro weighted by case. Without
+    pairs macro is 0, without labels 10000."""
+    labels = F.explode(F.array_union(expected, observed)).alias("label")
+    rows = pairs.select(expected, observed, weight, labels)
+    hit, asked = F.array_contains(observed, F.col("label")), F.array_contains(expected, F.col("label"))
+    counts = rows.groupBy("label").agg(*[F.sum(F.when(test, w).otherwise(0)).alias(name) for name, test, w in (
+        ("tp", hit & asked, F.lit(1)), ("fp", hit & ~asked, F.lit(1)), ("fn", ~hit & asked, F.lit(1)), ("wtp", hit & asked, F.col(weight)), ("wfp", hit & ~asked, F.col(weight)), ("wfn", ~hit & asked, F.col(weight)),
+    )])
+    c = F.col
+    scored = counts.withColumn("support", c("tp") + c("fn")).withColumn("f1_bp", f1_bp(c("tp"), c("fp"), c("fn")))
+    n = F.count_if(c("support") > 0)
+    macro = F.when(n > 0, ratio_bp(F.sum(F.when(c("support") > 0, c("f1_bp"))), n * 10_000)).otherwise(F.lit(10_000))
+    summed = [F.coalesce(F.sum(x), F.lit(0)) for x in ("wtp", "wfp", "wfn")]
+    some = pairs.limit(1).count() > 0
+    return scored.agg((macro if some else F.lit(0)).cast("long").alias("macro_f1_bp"), f1_bp(*summed).alias("micro_f1_bp"))
+
+
+def model_metrics(cases: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of a model's figures over adjudicated cases.
+
+    ``cases`` has case_id, weight, answered, hallucinated, brand_false, text_present, text_observed, text_readable, ambiguous,
+    uncertainty_ok, uncertain, motion_ok, consistent, expected_literals, observed_literals, facts, facts_found, expected_types,
+    observed_types, expected_styles, observed_styles, scores (array), latency_ms, requests, tokens (may be null), cost (may be
+    null). A case that was not answered has nulls where an answer would tell.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = F.count("*")
+    share = lambda c, of=None: ratio_bp(F.count_if(yes(c) & (of if of is not None else F.lit(True))), n if of is None else F.count_if(of))
+    readable, joined = yes("text_readable"), lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\0")
+    edits, length = F.levenshtein(joined("expected_literals"), joined("observed_literals")), F.greatest(F.length(joined("expected_literals")), F.lit(1))
+    tp, fp, fn = F.count_if(yes("text_present") & yes("text_observed")), F.count_if(~yes("text_present") & yes("text_observed")), F.count_if(yes("text_present") & ~yes("text_observed"))
+    scores = F.aggregate(F.coalesce("scores", F.array().cast("array<int>")), F.lit(0), lambda s, x: s + x)
+    metrics = cases.agg(
+        n.alias("cases"), share("answered").alias("schema_success_bp"), F.count_if(yes("hallucinated") | ~yes("answered")).alias("hallucination_count"), ratio_bp(F.count_if(yes("hallucinated") | ~yes("answered")), n).alias("hallucination_bp"), F.count_if(yes("brand_false")).alias("brand_identity_false_claim_count"),
+        ratio_bp(F.sum(F.coalesce("facts_found", F.lit(0))), F.sum("facts")).alias("required_fact_recall_bp"), f1_bp(tp, fp, fn).alias("text_presence_f1_bp"), F.count_if(readable).alias("literal_readable_case_count"),
+        ratio_bp(F.count_if(readable & (joined("expected_literals") == joined("observed_literals"))), F.count_if(readable)).alias("literal_exact_bp"), ratio_bp(F.sum(F.when(readable, edits).otherwise(0)), F.sum(F.when(readable, length).otherwise(0))).alias("literal_cer_bp"),
+        share("motion_ok").alias("motion_accuracy_bp"), share("uncertainty_ok").alias("uncertainty_exact_bp"), ratio_bp(F.count_if(yes("ambiguous") & yes("uncertain") & yes("uncertainty_ok")), F.count_if(yes("ambiguous"))).alias("ambiguity_uncertainty_appropriate_bp"), share("consistent").alias("consistency_bp"),
+        F.floor(ratio_bp(F.sum(scores), F.sum(F.coalesce(F.size("scores"), F.lit(0)))) / 10).cast("long").alias("mean_score_milli"), F.sum("requests").alias("requests_used"), F.sum(F.greatest(F.col("requests") - 1, F.lit(0))).alias("retries"),
+        F.when(F.count("tokens") == n, F.sum("tokens")).alias("tokens"), F.when(F.count("cost") == n, F.sum(F.col("cost").cast("decimal(38,6)"))).cast("string").alias("cost"),
+    )
+    literals = literal_overlap(
+        cases.where(readable).select(F.lit(1).alias("one"), F.col("case_id"), F.explode("expected_literals").alias("v")), cases.where(readable).select(F.lit(1).alias("one"), F.col("case_id"), F.explode("observed_literals").alias("v")), ["one", "case_id"], "v"
+    ).agg(ratio_bp(F.sum("common"), F.sum("observed")).alias("literal_precision_bp"), ratio_bp(F.sum("common"), F.sum("expected")).alias("literal_coverage_bp"))
+    sets = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    styled = cases.withColumns({c: sets(c) for c in ("expected_types", "observed_types", "expected_styles", "observed_styles")})
+    row = metrics.first().asDict() | literals.first().asDict()
+    for name in ("types", "styles"):
+        row |= {f"{name}_{k}": v for k, v in set_f1(styled, f"expected_{name}", f"observed_{name}", "weight").first().asDict().items()}
+    ranks = {r["p_milli"]: r["value"] for r in percentiles(cases, [], "latency_ms", [0.5, 0.95], scratch).collect()} if row["cases"] else {}
+    row |= {"latency_ms_median": ranks.get(500), "latency_ms_p95": ranks.get(950)}
+    fields = ", ".join(f"{k} {'string' if k == 'cost' else 'long'}" for k in row)
+    return cases.sparkSession.createDataFrame([tuple(row.values())], fields)
+
+
+def report_digest(report: dict) -> dict:
+    """The report with the digest of its canonical JSON."""
+    import hashlib
+    import json
+
+    body = json.dumps({k: v for k, v in report.items() if k != "report_sha256"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return report | {"report_sha256": hashlib.sha256(body.encode()).hexdigest()}

@@ -100,3 +100,68 @@ def needs_description(current: Column, media_changed: Column, context_changed: C
     if mode == "missing":
         return current.isNull() | missing_language
     return current.isNull() | (~protected & (media_changed | context_changed))
+
+
+def deterministic_reasons(media_format: Column, samples: Column, energy_bp: Column, low_information: Column) -> Column:
+    """Why a medium should go to a stronger model before it is described: complex motion, low visibility."""
+    moving = media_format.isin("tgs", "webm") & (samples == 16) & (energy_bp > 0)
+    return reasons({"complex-motion": F.coalesce(moving, F.lit(False)), "low-visibility": F.coalesce(low_information, F.lit(False))})
+
+
+def semantic_reasons(text_status: Column, uncertainties: Column) -> Column:
+    """Why a description should be made again: a brand or character, facets in doubt, text that was not read whole."""
+    unsure = lambda name: F.coalesce(F.array_contains(uncertainties, name), F.lit(False))
+    return reasons({"character-or-brand": unsure("character-or-brand"), "facet-conflict": unsure("content-type") | unsure("style"), "partial-text": F.coalesce(text_status.isin("partially-recognized", "unreadable"), F.lit(False))})
+
+
+def should_escalate(mode: str, found: Column, model: str | None) -> Column:
+    """Whether the reasons ask for the stronger model; a sensitive label alone no longer does. Rules need a model to go to."""
+    if mode not in ("off", "rules"):
+        raise ValueError("mode is off or rules")
+    if mode == "off":
+        return F.lit(False)
+    if not model:
+        raise ValueError("rules need a model to escalate to")
+    return F.size(F.array_remove(found, "sensitive-content")) > 0
+
+
+def routing_binding(config: dict) -> str:
+    """The digest that a routing configuration is known by."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+#: Fixed value: most concepts of an item.
+MOST_CONCEPTS = 16
+
+
+def concept_selection(selected: Column, active: Column) -> Column:
+    """What is wrong with a selection of concepts; null if it is sorted, distinct, not too long and all active."""
+    return (
+        F.when(F.size(selected) > MOST_CONCEPTS, "TOO_MANY").when(F.size(F.array_distinct(selected)) < F.size(selected), "REPEATED").when(F.array_sort(selected) != selected, "UNSORTED").when(F.size(F.array_except(selected, active)) > 0, "UNKNOWN")
+    )
+
+
+def official_choice(packs: DataFrame, official: DataFrame, key: str, mode: str, approved: list) -> DataFrame:
+    """Packs with ``choice``: official ones are skipped, included, or asked about unless the caller approved them; others are
+    included."""
+    if mode not in ("skip", "ask", "include"):
+        raise ValueError("mode is skip, ask or include")
+    marked = packs.join(official.select(key).distinct().withColumn("__official", F.lit(True)), key, "left")
+    known = F.coalesce("__official", F.lit(False))
+    choice = F.when(~known | F.lit(mode == "include"), "include").when(F.lit(mode == "skip"), "skip").when(F.col(key).isin(approved or [None]), "include").otherwise("ask")
+    return marked.withColumn("choice", choice).drop("__official")
+
+
+def saved_run(runs: DataFrame, purpose: str) -> DataFrame:
+    """One saved run per pack (pack, run_id, state, updated_at): the newest whose state suits the purpose, else for ``resume``
+    the newest of all, with ``fallback``."""
+    wanted = {"resume": ["paused", "running"], "publish": ["described", "published"]}
+    if purpose not in wanted:
+        raise ValueError(f"purpose is one of {sorted(wanted)}")
+    suits = F.col("state").isin(wanted[purpose])
+    rows = runs if purpose == "resume" else runs.where(suits)
+    best = rows.groupBy("pack").agg(F.max(F.struct(F.when(suits, 1).otherwise(0).alias("fit"), "updated_at", "run_id", "state")).alias("b"))
+    return best.select("pack", "b.run_id", "b.state", (F.col("b.fit") == 0).alias("fallback"))

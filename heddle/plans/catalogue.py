@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from heddle.plans import duplicates, evaluations, integrities, merges, policies, rankings, readings, releases, scalars, scans, searches, summaries  # noqa: E402, F401
+from heddle.plans import curations, duplicates, evaluations, integrities, loadings, measures, merges, policies, rankings, readings, releases, scalars, scans, searches, summaries, validations  # noqa: E402, F401
