@@ -43,13 +43,16 @@ LONGEST = 5
 SMOOTHING = 0.5
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
-#: Letters: what ``\\w`` takes, without the underscore and all numerals.
+#: Letters: what ``\\w`` takes, without the underscore and all numerals. The short class still takes numerals such as ²; texts
+#: that hold one, which are few, go through the exact class, which is slow for its length.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_NUMERAL, _SHORT, _EXACT = re.compile(f"[{_NUMERALS}]"), re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Maximal runs of letters of the lower-cased text."""
+    lower = (text or "").lower()
+    return (_SHORT if lower.isascii() or not _NUMERAL.search(lower) else _EXACT).findall(lower)
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.elias_fano import U64, EliasFano, quantise
-from heddle.llm.shards import Store, grouped, keep_arrays, packed_rows, release, sequence, shard_of_hash
+from heddle.llm.shards import Store, drop_arrays, grouped, keep_arrays, packed_rows, release, sequence, shard_of_hash
 from heddle.runtime import Scratch, ship_package
 
 ORDER = 3
@@ -263,7 +263,7 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def _from_planes(blob: memoryview, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).reshape(-1).view("<u4")
 
 
 def _packed_tree(first: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> bytes:
@@ -292,10 +292,10 @@ def _unpacked_tree(blob: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.n
         at += 4 * n
         return out
 
-    first = np.cumsum(take(sizes[0]).astype("<u4"), dtype="<u4").astype(np.int64)
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(sizes[0]), take(sizes[0]))]
+    first = np.cumsum(take(sizes[0]), dtype="<u4").astype(np.int64)
+    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "<u4"), take(sizes[0]))]
     for k in range(1, depth):
-        parents = np.repeat(np.arange(sizes[k - 1]), take(sizes[k - 1]))
+        parents = np.repeat(np.arange(sizes[k - 1], dtype="<u4"), take(sizes[k - 1]))
         levels.append((parents, take(sizes[k])))
     return first, levels, take(sizes[-1])
 
@@ -340,16 +340,26 @@ def _counted(numbers: np.ndarray, sizes: np.ndarray, trie: Trie) -> Iterator[tup
 def _merged(blobs: list[bytes], contexts_of) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """One tree of many: (contexts or parents, words) of each level in order, and the counts of the last."""
     trees = [_unpacked_tree(blob) for blob in blobs]
+    blobs.clear()
     depth = len(trees[0][1])
-    contexts = contexts_of(np.concatenate([tree[0] for tree in trees]))
-    out, rank = [], contexts
+    out, rank = [], contexts_of(np.concatenate([tree[0] for tree in trees])).astype("<u4")
     for level in range(depth):
         if level:
-            offsets = np.cumsum([0] + [len(tree[1][level - 1][1]) for tree in trees[:-1]])
-            rank = rank[np.concatenate([tree[1][level][0] + offset for tree, offset in zip(trees, offsets)])]
-        words = np.concatenate([tree[1][level][1] for tree in trees])
-        keys, rank = np.unique((rank.astype(U64) << U64(32)) | words.astype(U64), return_inverse=True)
+            sizes = [len(tree[1][level - 1][1]) for tree in trees]
+            offsets = np.cumsum([0, *sizes[:-1]])
+            rank = np.concatenate([rank[o : o + n][tree[1][level][0]] for tree, o, n in zip(trees, offsets, sizes)])
+        keys = rank.astype(U64)
+        keys <<= U64(32)
+        keys |= np.concatenate([tree[1][level][1] for tree in trees])
+        order = np.argsort(keys)
+        keys = keys[order]
+        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank = np.empty(len(keys), "<u4")
+        rank[order] = np.cumsum(fresh, dtype="<u4") - np.uint32(1)
+        del order
+        keys = keys[fresh]
         out.append(((keys >> U64(32)).astype(np.int64), (keys & U64(_UNKNOWN)).astype(np.int64)))
+        del keys, fresh
     counts = np.bincount(rank, np.concatenate([tree[2] for tree in trees])).astype(np.int64)
     return out, counts
 
@@ -483,7 +493,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
 
     schema = "shard int, n long, total long, file string, hot binary"
     blocks = learned.mapInArrow(count_words, "shard int, keys binary, counts binary")
-    made = scratch.table(grouped(blocks, words_of, schema), "words").select("shard", "n", "total", "hot").collect()  # a row per shard
+    made = scratch.table(grouped(blocks, words_of, schema, shards), "words").select("shard", "n", "total", "hot").collect()  # a row per shard
     held = np.zeros(shards, np.int64)
     for row in made:
         held[row["shard"]] = row["n"]
@@ -511,6 +521,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
             if packed:
                 columns = [pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(packed, pa.binary())], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "numbers"])
+        drop_arrays()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learned"), "text").mapInArrow(numbered, f"doc_id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, numbers binary")
@@ -520,7 +531,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
         keep_arrays()
         for _, numbers, sizes in _number_runs(batches, 0):
             yield from packed_rows(list(_counted(numbers, sizes, trie)), ("shard", "tree"))
-            release()
+        drop_arrays()
 
     def grams_of(shard: int, table: pa.Table) -> list[tuple]:
         levels, counts = _merged(table.column("tree").to_pylist(), lambda first: trie.contexts_of(shard, first))
@@ -531,7 +542,7 @@ def build(docs: DataFrame, training: Column, scratch: Scratch, order: int = ORDE
         return [(shard, len(counts), int(counts.sum()), store.put(f"grams-{shard}", arrays), np.stack([hot.astype(np.float64), dealt]).tobytes())]
 
     trees = rows.where("learned").select("numbers").mapInArrow(count_grams, "shard int, tree binary")
-    grams = scratch.table(grouped(trees, grams_of, schema), "grams").select("hot").collect()  # a row per shard
+    grams = scratch.table(grouped(trees, grams_of, schema, shards), "grams").select("hot").collect()  # a row per shard
     held_by = np.zeros(len(trie.hot))
     for row in grams:
         of, part = np.frombuffer(row["hot"], np.float64).reshape(2, -1)
@@ -555,6 +566,7 @@ def score(trie: Trie, rows: DataFrame) -> DataFrame:
             for batch in table:
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(totals[at : at + batch.num_rows])], names=["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"])
                 at += batch.num_rows
+        drop_arrays()
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, score double")

@@ -32,6 +32,13 @@ def keep_arrays() -> None:
         _LIBC.mallopt(-1, 64 << 20)
 
 
+def drop_arrays() -> None:
+    """The opposite: freed arrays of a megabyte or more go back at once, and what was kept goes back now."""
+    if _LIBC is not None:
+        _LIBC.mallopt(-3, 1 << 20)
+    release()
+
+
 def release() -> None:
     """Give what small freed objects held back to the system; called after each block."""
     if _LIBC is not None:
@@ -214,11 +221,15 @@ def sequence(arrays: dict, name: str) -> EliasFano:
     return arrays[f"{name}!"]
 
 
-def grouped(rows: DataFrame, build: Callable[[int, pa.Table], list[tuple]], schema: str) -> DataFrame:
+def grouped(rows: DataFrame, build: Callable[[int, pa.Table], list[tuple]], schema: str, shards: int) -> DataFrame:
+    """``build`` on the rows of each shard. There are as many partitions as shards, so a task's share does not grow with the
+    data."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        drop_arrays()
         made = build(key[0].as_py(), table)
         release()
         kinds = [pa.int32() if k == "shard" else pa.int64() if t == "long" else pa.string() if t == "string" else pa.binary() for k, t in (x.split() for x in schema.split(", "))]
         return pa.table([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.groupBy("shard").applyInArrow(run, schema)
+    return rows.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(run, schema)

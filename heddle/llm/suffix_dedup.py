@@ -361,7 +361,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         return [(shard, store.put(f"anchor-{shard}", {"first": keys[:1]} | EliasFano.build(keys - keys[0]).parts("keys")))]
 
     made = "shard int, file string"
-    scratch.table(grouped(docs.mapInArrow(anchors, Blocks.SCHEMA), twice, made), "anchors")
+    scratch.table(grouped(docs.mapInArrow(anchors, Blocks.SCHEMA), twice, made, shards), "anchors")
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shards, "anchor", combine_triples)
@@ -393,7 +393,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         out = [(s, "cut", b) for s, b in _packed(_ranges(again), shard_of_hash(again["key"], shards))]
         return out + [(s, "open", b) for s, b in _packed(_ranges(unsure), shard_of_hash(unsure["key"], shards))]
 
-    sorted_triples = scratch.table(grouped(docs.mapInArrow(samples, PACKED), triples, "shard int, kind string, rows binary"), "triples")
+    sorted_triples = scratch.table(grouped(docs.mapInArrow(samples, PACKED), triples, "shard int, kind string, rows binary", 3 * shards), "triples")
 
     def filed(kind: str):
         def run(shard: int, table: pa.Table) -> list[tuple]:
@@ -402,7 +402,7 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
 
         return run
 
-    scratch.table(grouped(sorted_triples.where("kind = 'open'").select("shard", "rows"), filed("open"), made), "open")
+    scratch.table(grouped(sorted_triples.where("kind = 'open'").select("shard", "rows"), filed("open"), made, shards), "open")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shards, "name", combine_strings)
@@ -433,9 +433,9 @@ def repeated(docs: DataFrame, scratch: Scratch, shards: int | None = None) -> tu
         again = _ranges(compare_strings(_unpacked(table.column("rows").to_pylist(), STRING)))
         return [(s, "cut", b) for s, b in _packed(again, shard_of_hash(again["key"], shards))]
 
-    sorted_strings = scratch.table(grouped(docs.mapInArrow(strings, PACKED), names, "shard int, kind string, rows binary"), "strings")
+    sorted_strings = scratch.table(grouped(docs.mapInArrow(strings, PACKED), names, "shard int, kind string, rows binary", 3 * shards), "strings")
     cuts = sorted_triples.unionByName(sorted_strings).where("kind = 'cut'").select("shard", "rows")
-    scratch.table(grouped(cuts, filed("cut"), made), "cuts")
+    scratch.table(grouped(cuts, filed("cut"), made, shards), "cuts")
     return store, shards
 
 

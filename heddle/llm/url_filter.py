@@ -124,7 +124,7 @@ def _filter(listed: DataFrame, n: int, scratch: Scratch, part_keys: int) -> tupl
         bloom = BlockedBloom.build(table.column("h").to_numpy().astype(np.int64).view(np.uint64))
         return [(shard, store.put(f"bloom-{shard}", {"blocks": np.array([bloom.blocks]), "bits": bloom.bits}))]
 
-    scratch.table(grouped(hashed, build, "shard int, file string"), "filter")
+    scratch.table(grouped(hashed, build, "shard int, file string", parts), "filter")
     return store, parts
 
 
