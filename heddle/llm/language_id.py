@@ -43,16 +43,19 @@ LONGEST = 5
 SMOOTHING = 0.5
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
-#: Letters: what ``\\w`` takes, without the underscore and all numerals. The short class still takes numerals such as ²; texts
-#: that hold one, which are few, go through the exact class, which is slow for its length.
+#: Letters: what ``\\w`` takes, without the underscore and all numerals. The short class still takes numerals such as ²; the
+#: exact one is slow for its length and only looks at words.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 _NUMERAL, _SHORT, _EXACT = re.compile(f"[{_NUMERALS}]"), re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
+def _exact(words: list[str]) -> list[str]:
+    return [part for word in words for part in ((word,) if word.isascii() else _EXACT.findall(word))]
+
+
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters of the lower-cased text."""
-    lower = (text or "").lower()
-    return (_SHORT if lower.isascii() or not _NUMERAL.search(lower) else _EXACT).findall(lower)
+    return _exact(_SHORT.findall((text or "").lower()))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -100,15 +103,21 @@ class BackoffModel:
 
 
 class Scorer(dict):
-    """word -> number of its row in a growing matrix; emptied when it holds CACHE_WORDS words."""
+    """word -> number of its row in a growing matrix, -1 for what holds a numeral and so is no word; emptied when it holds
+    CACHE_WORDS words."""
 
     def __init__(self, model: BackoffModel):
         super().__init__()
         self.model = model
         self.rows = np.zeros((1024, max(1, len(model.languages))), np.float32)
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        k = len(self)
+        if not word.isascii() and _NUMERAL.search(word):
+            self[word] = -1
+            return -1
+        k = self.used
+        self.used += 1
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[k] = self.model.row(word)
@@ -116,12 +125,18 @@ class Scorer(dict):
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
+        words = _SHORT.findall((text or "").lower())
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if len(self) > CACHE_WORDS:
             self.clear()
+            self.used = 0
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if (numbers < 0).any():
+            words = _exact(words)
+            if not words:
+                return UNKNOWN, 0.0
+            numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = self.rows[numbers].sum(axis=0, dtype=np.float64)
         k = int(np.argmax(total))
         weight = np.exp((total - total[k]) / np.sqrt(len(words)))

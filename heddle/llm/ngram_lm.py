@@ -42,8 +42,8 @@ ORDER = 3
 LONGEST_ORDER = 5
 KEEP_FROM = 1
 DISCOUNT = 0.75
-#: Bytes of training text to a shard (some two million tokens), which bounds what one task merges.
-SHARD_BYTES = 12 << 20
+#: Bytes of training text to a shard (some million tokens), which bounds what one task merges.
+SHARD_BYTES = 6 << 20
 #: Bytes of text split at once, tokens counted or looked up at once, and words gathered before they are summed and sent.
 CHUNK_BYTES = 1 << 22
 CHUNK_TOKENS = 1 << 18

@@ -49,8 +49,8 @@ def release() -> None:
 BLOCK_KEYS = 1 << 20
 #: Bytes of a batch that a worker sends.
 BATCH_BYTES = 1 << 21
-#: Shards a worker keeps mapped.
-OPEN_SHARDS = 512
+#: Files, and bytes of files, that a worker keeps mapped.
+OPEN_SHARDS, OPEN_BYTES = 512, 1 << 26
 
 #: Two polynomials, so that names have 128 bits: a base and a number for each byte value.
 _BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
@@ -207,12 +207,15 @@ class Store:
                 kind = np.dtype(kind)
                 arrays[name] = body[int(at) : int(at) + int(n) * kind.itemsize].view(kind)
         _OPEN[key] = arrays
-        if len(_OPEN) > OPEN_SHARDS:
-            _OPEN.popitem(last=False)
+        _SIZES[key] = 0 if raw is None else len(raw)
+        while len(_OPEN) > OPEN_SHARDS or len(_OPEN) > 1 and sum(_SIZES.values()) > OPEN_BYTES:
+            gone, _ = _OPEN.popitem(last=False)
+            del _SIZES[gone]
         return arrays
 
 
 _OPEN: OrderedDict[str, dict] = OrderedDict()
+_SIZES: dict[str, int] = {}
 
 
 def sequence(arrays: dict, name: str) -> EliasFano:
