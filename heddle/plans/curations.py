@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators import curation, merging
@@ -12,7 +12,9 @@ from heddle.plans.canonical import FACTS
 from heddle.runtime import Scratch
 
 AT = "2024-05-01T00:00:00Z"
-K = F.substring("id", 2, 8).cast("long")
+def K() -> Column:
+    """The part key in an item's id."""
+    return F.substring("id", 2, 8).cast("long")
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> curation.Snapshot:
@@ -38,10 +40,10 @@ SELECT id, outcome, CASE WHEN outcome = 'reset' THEN 'unreviewed' ELSE review EN
 UNION ALL SELECT 'n' || substr(id, 2), 'added', review, false, false, '2024-05-01T00:00:00Z' FROM f WHERE k % 20 = 0""")
 def merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source's items merged into those that are there: protected, reset, merged, kept or added."""
-    existing = C.items(spark, sf_dir).withColumn("origin", F.when(K % 4 == 2, "human").otherwise("ai"))
+    existing = C.items(spark, sf_dir).withColumn("origin", F.when(K() % 4 == 2, "human").otherwise("ai"))
     later = existing.withColumn("availability", F.col("availability").withField("first_seen_at", F.lit(AT)))
-    incoming = _reworded(_other_media(later.where(K % 10 != 9), K % 3 == 0), K % 5 == 1)
-    fresh = later.where(K % 20 == 0).withColumn("id", F.concat(F.lit("n"), F.substring("id", 2, 8)))
+    incoming = _reworded(_other_media(later.where(K() % 10 != 9), K() % 3 == 0), K() % 5 == 1)
+    fresh = later.where(K() % 20 == 0).withColumn("id", F.concat(F.lit("n"), F.substring("id", 2, 8)))
     merged = curation.merge_items(existing, incoming.unionByName(fresh))
     return merged.select("id", "outcome", F.col("review.status").alias("review"), (F.col("semantic_tags")[0] == "reworded").alias("tagged_anew"), (F.col("media")[0]["sha256"] == "new").alias("media_anew"), F.col("availability.first_seen_at").alias("first_seen"))
 
@@ -132,7 +134,7 @@ def additive_sync_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest["collections"] = candidate["collections"].where(F.substring("id", 2, 6).cast("int") % 4 != 0)
     own = F.substring_index("id", "-", -1).cast("int")
     latest["memberships"] = candidate["memberships"].where((own % 5 != 2) & (s % 4 != 0)).withColumn("position", own)
-    latest["items"] = candidate["items"].withColumn("descriptions", F.when(K % 6 == 4, F.map_filter("descriptions", lambda k, _: k != "ru")).otherwise(F.col("descriptions")))
+    latest["items"] = candidate["items"].withColumn("descriptions", F.when(K() % 6 == 4, F.map_filter("descriptions", lambda k, _: k != "ru")).otherwise(F.col("descriptions")))
     found = curation.add_missing(latest, candidate)
     packs = found["collections"].select(F.lit("collection").alias("what"), "id", F.col("outcome").alias("detail"))
     links = found["memberships"].select(F.lit("membership").alias("what"), "id", F.col("position").cast("string").alias("detail"))
@@ -157,7 +159,7 @@ SELECT id, coalesce(checked, CASE WHEN active THEN 'active' ELSE 'inactive' END)
 def refreshed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability after a check of some native ids."""
     items = C.items(spark, sf_dir)
-    checked = items.where(K % 5 < 2).select("platform", "native_id", (K % 5 == 1).alias("available"))
+    checked = items.where(K() % 5 < 2).select("platform", "native_id", (K() % 5 == 1).alias("available"))
     found = curation.refresh_availability(items, checked, AT)
     return found.select("id", "availability.status", F.col("availability.last_changed_at").alias("changed"), F.col("availability.last_verified_at").alias("verified"))
 
@@ -165,7 +167,7 @@ def refreshed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FACTS} SELECT id, CASE WHEN k = 5 THEN 'rejected' ELSE review END AS review, k = 5 AS signed, CASE WHEN k = 7 THEN 'private' WHEN active THEN 'active' ELSE 'inactive' END AS availability, CASE WHEN k = 7 THEN 'reviewer' END AS set_by FROM f WHERE k < 12""")
 def guarded_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item reviewed and one made private by a reviewer."""
-    items = C.items(spark, sf_dir).where(K < 12)
+    items = C.items(spark, sf_dir).where(K() < 12)
     reviewed = curation.set_review(items, "e00000005", "reject", "reviewer", AT, "profile")
     hidden = F.when(F.col("id") == "e00000007", curation.set_availability(F.col("availability"), "private", AT, "rights", "reviewer")).otherwise(F.col("availability"))
     rows = reviewed.withColumn("availability", hidden)

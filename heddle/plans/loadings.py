@@ -34,7 +34,7 @@ def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, root = snapshot(spark, sf_dir), _root(spark, "dataset")
     for k, layout in enumerate(dataset.LAYOUTS):
         part = dict(found)
-        part["items"] = found["items"].where(K % 3 == k)
+        part["items"] = found["items"].where(K() % 3 == k)
         dataset.write_dataset(part, root, layout)
     return _counted(dataset.load_dataset(spark, root))
 

@@ -12,7 +12,9 @@ from heddle.plans.canonical import FACTS
 from heddle.plans.releases import NAMESPACE, uuid5_sql
 from heddle.runtime import Scratch, read_table
 
-K = F.substring("id", 2, 8).cast("long")
+def K() -> Column:
+    """The part key in an item's id."""
+    return F.substring("id", 2, 8).cast("long")
 
 
 
@@ -20,10 +22,10 @@ K = F.substring("id", 2, 8).cast("long")
 def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that a typed reader lets through and a record may not have."""
     items = C.items(spark, sf_dir)
-    available = F.col("availability").withField("status", F.when(K % 50 == 1, "odd").otherwise(F.col("availability.status"))).withField("first_seen_at", F.when(K % 70 == 3, "yesterday").otherwise(F.col("availability.first_seen_at")))
-    media = F.transform("media", lambda m: m.withField("sha256", F.when(K % 60 == 2, "short").otherwise(m["sha256"])))
-    told = F.transform_values("descriptions", lambda k, d: d.withField("text", F.when((K % 80 == 4) & (k == "en"), "<b>bold</b>").otherwise(d["text"])))
-    content = F.col("content").withField("rating", F.when(K % 90 == 5, "odd").otherwise(F.col("content.rating")))
+    available = F.col("availability").withField("status", F.when(K() % 50 == 1, "odd").otherwise(F.col("availability.status"))).withField("first_seen_at", F.when(K() % 70 == 3, "yesterday").otherwise(F.col("availability.first_seen_at")))
+    media = F.transform("media", lambda m: m.withField("sha256", F.when(K() % 60 == 2, "short").otherwise(m["sha256"])))
+    told = F.transform_values("descriptions", lambda k, d: d.withField("text", F.when((K() % 80 == 4) & (k == "en"), "<b>bold</b>").otherwise(d["text"])))
+    content = F.col("content").withField("rating", F.when(K() % 90 == 5, "odd").otherwise(F.col("content.rating")))
     faulty = items.withColumns({"availability": available, "media": media, "descriptions": told, "content": content})
     return validation.schema_issues(faulty).select("code", "path")
 
@@ -71,13 +73,13 @@ def item_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy of single items."""
     items = C.items(spark, sf_dir)
     facets = F.col("facets")
-    drawn = F.transform("facets.rendering.items", lambda d: d.withField("dominant_colors", F.when(d["dominant_colors"].isNotNull(), F.transform(d["dominant_colors"], lambda x: x.withField("coverage_bp", F.when(K % 10 == 1, x["coverage_bp"] + 1).otherwise(x["coverage_bp"]))))))
-    drawn = F.when(K % 20 == 15, F.slice(drawn, 1, 1)).otherwise(drawn)
-    texts = F.transform("facets.text_content.items", lambda t: t.withField("value", F.when(K % 12 == 0, "42").otherwise(t["value"])))
-    styles = F.when((K % 2 == 1) & (K % 22 == 1), F.array(F.lit("flat"), F.lit("outline"))).otherwise(F.col("facets.styles"))
+    drawn = F.transform("facets.rendering.items", lambda d: d.withField("dominant_colors", F.when(d["dominant_colors"].isNotNull(), F.transform(d["dominant_colors"], lambda x: x.withField("coverage_bp", F.when(K() % 10 == 1, x["coverage_bp"] + 1).otherwise(x["coverage_bp"]))))))
+    drawn = F.when(K() % 20 == 15, F.slice(drawn, 1, 1)).otherwise(drawn)
+    texts = F.transform("facets.text_content.items", lambda t: t.withField("value", F.when(K() % 12 == 0, "42").otherwise(t["value"])))
+    styles = F.when((K() % 2 == 1) & (K() % 22 == 1), F.array(F.lit("flat"), F.lit("outline"))).otherwise(F.col("facets.styles"))
     faulty = items.withColumn("facets", facets.withField("rendering", facets["rendering"].withField("items", drawn)).withField("text_content", facets["text_content"].withField("items", texts)).withField("styles", styles))
     prints = F.col("fingerprints")
-    faulty = faulty.withColumn("fingerprints", prints.withField("items", F.when(K % 25 == 10, F.slice(prints["items"], 1, 1)).otherwise(prints["items"])))
+    faulty = faulty.withColumn("fingerprints", prints.withField("items", F.when(K() % 25 == 10, F.slice(prints["items"], 1, 1)).otherwise(prints["items"])))
     return validation.item_issues(faulty, "p1", [("flat", "outline")]).select("code", "path")
 
 
