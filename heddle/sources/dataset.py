@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from heddle.functions.columns import shard_path
 from heddle.operators.curation import Snapshot
+from heddle.operators.ranking import ordinals
+from heddle.runtime import Scratch
 from heddle.sources.jsonl import CORRUPT, line_issues
 from heddle.sources.schemas import SCHEMAS
 from heddle.sources.snapshot import SnapshotError, file_digests
@@ -135,6 +137,15 @@ def collect_sources(*lists: list[str]) -> list[str]:
     return list(dict.fromkeys(line for line in lines if line and not line.startswith("#")))
 
 
+def sources_mentioned(lines: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """(source, place): what ``collect_sources`` gives, of lists of any length. ``lines`` has ``line`` and the columns of
+    ``order``, which say where a line stands; places count from 0."""
+    blank = r"[\s\x1c-\x1f]+"
+    named = lines.select(F.regexp_replace("line", f"(?U)^{blank}|{blank}$", "").alias("source"), F.struct(*order).alias("at"))
+    first = named.where((F.col("source") != "") & ~F.startswith(F.col("source"), F.lit("#"))).groupBy("source").agg(F.min("at").alias("at"))
+    return ordinals(first, [F.col("at")], scratch, "place").select("source", "place")
+
+
 def benchmark_manifest(text: str, required: dict[str, type]) -> dict:
     """A strict manifest: one JSON object with exactly the required keys and types, no key twice, files with their digests."""
 
