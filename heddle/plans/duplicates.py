@@ -95,7 +95,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {_SIMHASH} SELECT l AS "left", r AS "right", distance, left_members, right_members FROM c')
 def near_simhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with equal similarity hashes, and pairs of classes at most 8 bits apart, by banded multi-probe
-    join."""
+    look-ups."""
     return _near(spark, sf_dir)
 
 
@@ -135,7 +135,7 @@ SELECT a.vec_id AS "left", c.vec_id AS "right", bit_count(xor(a.b, c.b))::INTEGE
 FROM g a JOIN g c ON a.vec_id < c.vec_id WHERE bit_count(xor(a.b, c.b)) <= 16 UNION ALL SELECT vec_id, top, 0, n, n FROM g WHERE n > 1""")
 def near_embedding_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of embeddings of 64 dimensions with equal signs, and pairs of classes whose signs differ in at most 16 places."""
-    return near_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 16)
+    return near_pairs(Scratch(spark, "signs").table(sign_hashes(spark, sf_dir), "hashes"), "vec_id", "h", 16)
 
 
 @query()

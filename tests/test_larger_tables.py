@@ -1,10 +1,12 @@
 """Queries on tables larger than the driver's, against their SQL or plain loops."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heddle.media.operators import refused
+from heddle.operators import candidates, scan
 from heddle.plans import catalogue
 from heddle.runtime import Scratch
 from heddle.sources import dataset
@@ -46,3 +48,50 @@ def test_media_of_all_suppliers_have_their_headers(spark, suppliers):
 def test_pictures_of_too_many_pixels_are_refused(spark):
     rows = spark.createDataFrame([("image/png", 31_250, 512), ("image/png", 31_251, 512), ("image/png", None, None), (None, 1, 1)], "kind string, w long, h long")
     assert [r[0] for r in rows.select(refused(F.col("kind"), F.col("w"), F.col("h"))).collect()] == [False, True, False, True]
+
+
+def test_near_hashes_are_found_by_bands_and_by_tiles(monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**64, 400, np.uint64)
+    monkeypatch.setattr(candidates, "CELLS", 1 << 12)
+    monkeypatch.setattr(candidates, "TILE", 1 << 6)
+    for threshold in (0, 2, 8, 16):
+        x, y = base[rnd.integers(0, 400, 3000)], base[rnd.integers(0, 400, 1000)]
+        for _ in range(threshold // 2 + 1):
+            x, y = x ^ (np.uint64(1) << rnd.integers(0, 64, 3000, np.uint64)), y ^ (np.uint64(1) << rnd.integers(0, 64, 1000, np.uint64))
+        want = set(zip(*map(np.ndarray.tolist, np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= threshold))))
+        for tile_ns in (0, 10**9):
+            monkeypatch.setattr(candidates, "TILE_NS", tile_ns)
+            assert bool(candidates._plan(3000, 1000, threshold)) == bool(tile_ns)
+            got = [p for i, j in candidates.close_pairs(x, y, threshold) for p in zip(i.tolist(), j.tolist())]
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_near_pairs_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 40)
+    rnd = np.random.default_rng(6)
+    hashes = np.unique((rnd.integers(0, 2**63, 30)[:, None] ^ (1 << rnd.integers(0, 60, (30, 8)))).reshape(-1))
+    want = {(x, y, (x ^ y).bit_count()) for k, x in enumerate(hashes.tolist()) for y in hashes.tolist()[k + 1 :] if (x ^ y).bit_count() <= 16}
+    got = candidates.near_hashes(spark.createDataFrame([(h,) for h in hashes.tolist()], "h long"), 16).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def scanned(spark, hashes):
+    """Moving and informed classes with two samples of (layout, content, alpha)."""
+    rows = [(f"k{k:05d}", "p", True, *h, [k, k], False, f"c{k}", f"s{k}", 1) for k, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "class string, profile string, animated boolean, layout array<long>, content array<long>, alpha array<long>, edge array<long>, low_information boolean, canonical_sha256 string, shape_sha256 string, members long")
+
+
+def test_only_classes_that_may_have_a_signal_are_compared(spark):
+    rnd = np.random.default_rng(7)
+    hashes = [tuple([int(x) for x in rnd.integers(-(2**63), 2**63, 2)] for _ in range(3)) for _ in range(2000)]
+    pairs, _ = scan.candidate_pairs(scanned(spark, hashes), Scratch(spark, "t"))
+    assert pairs.count() < 10  # buckets of bands alone gave most of the two million
+
+
+def test_moving_classes_whose_alpha_planes_differ_in_two_bits_of_each_band_meet(spark):
+    rnd = np.random.default_rng(8)
+    one, two = (tuple([int(x) for x in rnd.integers(-(2**63), 2**63, 2)] for _ in range(3)) for _ in range(2))
+    two = (two[0], two[1], [x ^ 0x0003000300030003 for x in one[2]])
+    pairs, _ = scan.candidate_pairs(scanned(spark, [one, two]), Scratch(spark, "t"))
+    assert [tuple(r) for r in pairs.collect()] == [("k00000", "k00001")]
