@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.columns import band, decode_hashes, hamming64, majority, nearest_rank, trimmed_decimal, truncated_median
-from heddle.operators.candidates import BAND_BITS, BUCKET_CAP, probe_masks
+from heddle.operators.candidates import BAND_BITS, BUCKET_CAP, probe_masks, rows_within
 from heddle.operators.records import references
 from heddle.runtime import Scratch, ship_package
 
@@ -44,10 +44,8 @@ def classes_of(refs: DataFrame) -> DataFrame:
     return refs.groupBy("class").agg(*[F.first(c).alias(c) for c in COMPARED], first, F.count("*").alias("members"))
 
 
-def _capped(filed: DataFrame, keys: list[str], cap: int | None) -> tuple[DataFrame, DataFrame]:
+def _capped(filed: DataFrame, keys: list[str], cap: int) -> tuple[DataFrame, DataFrame]:
     """(buckets kept, keys of those dropped whole because more than ``cap`` references are in them)."""
-    if cap is None:
-        return filed, filed.select(*keys).limit(0)
     large = filed.groupBy(*keys).agg(F.sum("members").alias("__n")).where(F.col("__n") > cap).select(*keys)
     return filed.join(large, keys, "left_anti"), large
 
@@ -57,14 +55,36 @@ def _pairs_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
+def _near_pairs(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``candidate_pairs`` without a cap. A median distance is no less than the least of its distances, so classes with a signal
+    by hashes have one pair of them within its limit; a change of colours needs the alpha planes near, whatever the edges are."""
+    kind = ["profile", "animated"]
+    numbered = scratch.table(classes.select("class", F.monotonically_increasing_id().alias("id"), *kind, *LABELS[:3], "low_information"), "numbered")
+    lists = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(label).alias("hashes")) for label in LABELS[:3]]))
+    hashes = numbered.where(~F.col("low_information")).select("id", *kind, lists.alias("l")).select("id", *kind, "l.label", F.explode(F.array_distinct("l.hashes")).alias("h"))
+    limit = max(LIMITS[name] for name in ("static_primary", "animated_median", "recolor_alpha"))
+    found = scratch.table(rows_within(hashes, [*kind, "label"], limit).distinct(), "near")
+    names = [numbered.select(F.col("id").alias(f"__{side}"), F.col("class").alias(f"c{side}")) for side in "xy"]
+    met = found.join(names[0], F.col("x") == F.col("__x")).join(names[1], F.col("y") == F.col("__y"))
+    pairs = met.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"))
+    pairs = pairs.unionByName(_pairs_of(classes, classes, [*kind, "canonical_sha256"]))
+    informed = classes.where(~F.col("low_information"))
+    pairs = pairs.unionByName(_pairs_of(informed, informed, [*kind, "shape_sha256"]))
+    none = classes.limit(0).select(F.lit("").alias("family"), F.lit("").alias("bucket"))
+    return pairs.distinct(), none
+
+
 def candidate_pairs(classes: DataFrame, scratch: Scratch, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes x < y to compare, dropped buckets as (family, bucket)).
 
-    Classes of one profile, both moving or both still, meet if a hash of one label comes near one of the other's in some
-    band (low-information ones are left out), if their canonical renderings are equal, or their shapes (not of
-    low-information ones). With ``cap`` a bucket of more references is dropped whole, and an oversized shape
-    bucket is split by the first bits of majority hashes instead; without, the default, no pair is lost.
+    Classes of one profile, both moving or both still, meet if a hash of the layout, the content or the alpha plane of one is so
+    near one of the other's that a signal may follow (low-information ones are left out), if their canonical renderings are
+    equal, or their shapes (not of low-information ones). No pair with a signal is lost. With ``cap`` they meet if a hash of one
+    label comes near one of the other's in some band, a bucket of more references is dropped whole, and an oversized shape
+    bucket is split by the first bits of majority hashes instead.
     """
+    if cap is None:
+        return _near_pairs(classes, scratch)
     kind = ["profile", "animated"]
     informed = classes.where(~F.col("low_information"))
     lists = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(label).alias("hashes")) for label in LABELS]))
@@ -90,12 +110,11 @@ def candidate_pairs(classes: DataFrame, scratch: Scratch, cap: int | None = None
     small, large = _capped(shapes, ["bucket"], cap)
     pairs = pairs.unionByName(_pairs_of(small, small, [*kind, "bucket"]))
     report = dropped.select(F.lit("band").alias("family"), F.concat_ws("/", "label", "b", "v").alias("bucket")).unionByName(lost.select(F.lit("canonical").alias("family"), "bucket")).unionByName(large.select(F.lit("shape").alias("family"), "bucket"))
-    if cap is not None:
-        parts = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.shiftrightunsigned(majority(F.col(label)), 64 - SHAPE_BITS).alias("prefix")) for label in SHAPE_LABELS]))
-        split = shapes.join(large, "bucket", "left_semi").select("class", "members", *kind, "bucket", parts.alias("p")).select("class", "members", *kind, "bucket", "p.*")
-        second, lost = _capped(split, ["bucket", "label", "prefix"], cap)
-        pairs = pairs.unionByName(_pairs_of(second, second, [*kind, "bucket", "label", "prefix"]))
-        report = report.unionByName(lost.select(F.lit("shape-secondary").alias("family"), F.concat_ws("/", "bucket", "label", "prefix").alias("bucket")))
+    parts = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.shiftrightunsigned(majority(F.col(label)), 64 - SHAPE_BITS).alias("prefix")) for label in SHAPE_LABELS]))
+    split = shapes.join(large, "bucket", "left_semi").select("class", "members", *kind, "bucket", parts.alias("p")).select("class", "members", *kind, "bucket", "p.*")
+    second, lost = _capped(split, ["bucket", "label", "prefix"], cap)
+    pairs = pairs.unionByName(_pairs_of(second, second, [*kind, "bucket", "label", "prefix"]))
+    report = report.unionByName(lost.select(F.lit("shape-secondary").alias("family"), F.concat_ws("/", "bucket", "label", "prefix").alias("bucket")))
     return pairs.distinct(), report
 
 
