@@ -1,12 +1,13 @@
-"""Near copies by word shingles: MinHash bands propose, the exact Jaccard similarity decides, components group.
+"""Near copies by word shingles: SimHash and MinHash propose, the exact Jaccard similarity decides, components group.
 
-Two texts are near copies when their sets of five-word shingles have a Jaccard similarity of at least 0.8. A SimHash
-radius cannot stand for that: at 0.8 about 15 % of the bits differ, for which pigeonring segments are too short to
-select anything. Texts that share one of BANDS groups of ROWS minima are candidates; a pair at exactly 0.8 shares none
-with a chance of (1 - 0.8^6)^40, about 5 in a million, and less above. Every pair that links is verified on the whole sets.
+Two texts are near copies when their sets of five-word shingles have a Jaccard similarity of at least 0.8. SimHash with
+pigeonring filtering (``simhash.links``) proposes those within two bits. It cannot propose all: at 0.8 about 15 % of the bits
+differ, for which pigeonring segments are too short to select anything. So texts that share one of BANDS groups of ROWS
+minima are candidates too; a pair at exactly 0.8 shares none with a chance of (1 - 0.8^6)^40, about 5 in a million, and less
+above. Every pair that links is verified on the whole sets.
 
-Buckets are linked in two passes. First each member is compared with its bucket's least member. Then, with components
-known, every pair of one bucket that lies in different components is compared, so no verified pair is left unlinked; a
+Buckets of minima are linked in two passes. First each member is compared with its bucket's least member. Then, with
+components known, every pair of one bucket that lies in different components is compared, so no verified pair is left unlinked; a
 bucket that is already one component costs nothing, however large.
 
 Odd input: words are maximal runs without white space, lower-cased; a text of fewer than five words is one shingle; null
@@ -60,9 +61,20 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingles: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 8192):
+        block = hashes[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _bands(text: pa.Array) -> pa.Array:
-    return pa.array([band_keys(shingles(raw or b"")) for raw in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+    """The keys of all bands, and the fingerprint."""
+    sets = map(shingles, (raw or b"" for raw in text.cast(pa.binary()).to_pylist()))
+    return pa.array([[*band_keys(x).tolist(), set_fingerprint(x)] for x in sets], pa.list_(pa.int64()))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -96,15 +108,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``node``, ``component`` (its least node) and
     ``component_id`` (its least id); a component joins near copies, directly or through others."""
+    from heddle.llm import simhash  # which takes keep_first from here
+
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "near-copies")
     marked = scratch.table(docs.select("doc_id", text_node().alias("node"), _bands("text").alias("bands")), "marked")
     classes = scratch.table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes")
-    filed = classes.select("node", F.explode("bands").alias("bucket"))
+    prints = classes.select("node", F.col("bands")[BANDS].alias("fp"))
+    heads = scratch.table(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    linked = simhash.links(heads.select("fp"), Scratch(spark, "near-copies-simhash"))
+    linked = linked.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    alike = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    proposed = scratch.table(linked.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "proposed")
+    filed = classes.select("node", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = scratch.table(filed.join(shared, "bucket"), "members")
-    wanted = scratch.table(members.select("node").distinct(), "wanted")
+    wanted = members.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = scratch.table(wanted.distinct(), "wanted")
     texts = docs.select(text_node().alias("node"), "text").join(_few(wanted), "node", "left_semi")
     sets = scratch.table(texts.select("node", _sets("text").alias("hashes")).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
@@ -112,8 +133,8 @@ def components(docs: DataFrame) -> DataFrame:
         labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), Scratch(spark, f"near-copies-{name}"))
         return scratch.table(labels.select("node", "component"), f"labels-{name}")
 
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = scratch.table(_verified(stars, sets), "edges")
+    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    edges = scratch.table(_verified(stars.unionByName(proposed).distinct(), sets), "edges")
     labels = labelled(edges, "first")
     # a pair across components has a member outside the bucket's main one; a bucket of two is settled by its star
     told = members.where("n > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -76,3 +76,12 @@ def test_simhash_keep_one_tells_texts_of_one_id_apart(spark):
     rows = [(1, a), (5, a), (5, b), (5, b), (7, b)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, kept)) == Counter([(1, a), (5, b)])
+
+
+def test_simhash_proposes_near_copies_that_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BANDS", 1)
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: __import__("numpy").array([len(hashes)]))
+    words = [f"w{k}" for k in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words[:450]))]
+    found = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
