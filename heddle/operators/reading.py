@@ -163,7 +163,7 @@ def search(rows: DataFrame, links: DataFrame, items: DataFrame, query: str = "",
             raise PolicyError("a result is outside the safe subset")
         page = agent_view(page)
     elif view == "canonical":
-        page = verified(page, items)
+        page = verified(page, items.where(F.col("id").isin([row["item_id"] for row in keyed[:size]])))  # the page's records only
     return Page(page, following, wanted)
 
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.media.operators import refused
-from heddle.operators import candidates, scan
-from heddle.plans import catalogue
+from heddle.operators import candidates, reading, scan
+from heddle.plans import canonical, catalogue, readings
 from heddle.runtime import Scratch
 from heddle.sources import dataset
 
@@ -95,3 +95,28 @@ def test_moving_classes_whose_alpha_planes_differ_in_two_bits_of_each_band_meet(
     two = (two[0], two[1], [x ^ 0x0003000300030003 for x in one[2]])
     pairs, _ = scan.candidate_pairs(scanned(spark, [one, two]), Scratch(spark, "t"))
     assert [tuple(r) for r in pairs.collect()] == [("k00000", "k00001")]
+
+
+def test_a_search_by_collection_makes_the_rows_of_its_members(spark):
+    sf, wanted = "/root/testdata/sf0.001", ["s000004", "s000001"]
+    rows, links, items = readings._data_of_members(spark, sf, wanted)
+    every, all_links, _ = readings._data(spark, sf)
+    held = all_links.where(F.col("collection_id").isin(wanted)).select("item_id").distinct()
+    want = every.join(held, "item_id", "left_semi").select(*rows.columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect())) and rows.count()
+    assert items.count() == held.count() < canonical.items(spark, sf).count()
+    kept = all_links.join(held, "item_id", "left_semi").select(*links.columns)
+    assert sorted(map(str, links.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_the_canonical_view_makes_only_the_records_of_its_page(spark):
+    ids = spark.createDataFrame([(k,) for k in range(6)], "k int")
+    name = F.concat(F.lit("e"), F.col("k"))
+    items = ids.select(name.alias("id"), F.when(F.col("k") < 2, F.lit("r")).otherwise(F.raise_error(F.lit("not of this page")).cast("string")).alias("body"))
+    record = F.to_json(F.struct(F.lit("r").alias("body"), name.alias("id")))
+    empty = F.array().cast("array<string>")
+    facets = F.struct(*[empty.alias(c) for c in ("media_kinds", "color_behaviors", "color_families", "content_types", "styles", "suggested_uses", "uncertainties")], F.lit(False).alias("animated"), F.lit(False).alias("contains_text"))
+    rows = ids.select(name.alias("item_id"), F.sha2(record, 256).alias("record_sha256"), *[F.lit(v).alias(c) for c, v in (("platform", "p"), ("availability", "active"), ("rating", "general"), ("rights", "allowed"), ("review", "approved"))], empty.alias("warnings"), empty.alias("concept_ids"), facets.alias("facets"))
+    page = reading.search(rows, ids, items, sort="id", view="canonical", limit=2)
+    assert [(r["item_id"], r["ordinal"], r["record"]) for r in page.rows.orderBy("ordinal").collect()] == [(f"e{k}", k, f'{{"body":"r","id":"e{k}"}}') for k in range(2)]
+    assert page.cursor is not None
