@@ -6,9 +6,14 @@ differ, for which pigeonring segments are too short to select anything. So texts
 minima are candidates too; a pair at exactly 0.8 shares none with a chance of (1 - 0.8^6)^40, about 5 in a million, and less
 above. Every pair that links is verified on the whole sets.
 
-Buckets of minima are linked in two passes. First each member is compared with its bucket's least member. Then, with
-components known, every pair of one bucket that lies in different components is compared, so no verified pair is left unlinked; a
-bucket that is already one component costs nothing, however large.
+Buckets of minima are linked in two passes. First each member is compared with its bucket's leader, the member that meets
+most others in all its buckets. Then, with components known, pairs of one bucket that lie in different components are compared;
+a bucket that is already one component costs nothing, however large. In buckets of up to CROWDED members these are all such
+pairs. Members of larger ones meet by prefixes instead: sets of n and m shingles that are similar enough share at least
+k = 4/9 (n + m), so, with all shingles in one order, the first n - k + 1 of one and the first m - k + 1 of the other have one in
+common. The order is rarest first, by counts over these members; a shingle that only one of them has is passed over. Prefixes are
+cut for each class of partners' sizes, so that members that differ from all others in too many shingles meet nobody.
+No verified pair is left unlinked.
 
 Odd input: words are maximal runs without white space, lower-cased; a text of fewer than five words is one shingle; null
 and blank texts have none and are copies of each other. Equal texts are one node, named by their 64-bit hash.
@@ -32,6 +37,15 @@ SHINGLE = 5
 SIMILAR, OF = 4, 5
 BANDS, ROWS = 40, 6
 SEED = 42
+#: Members of a bucket beyond which they meet by prefixes.
+CROWDED = 16
+#: Slots in which shingles of crowded members are counted. Shingles that fall together count as one, which makes prefixes
+#: less selective, never wrong.
+SLOTS = 1 << 22
+#: The least size of each class of sizes: 1, 2, 3, ... and then 5 % more each.
+BOUNDS = [1]
+while BOUNDS[-1] < 1 << 40:
+    BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 21 // 20))
 #: Rows up to which a list of nodes or of removed rows is broadcast instead of shuffling all texts.
 BROADCAST_ROWS = 1_000_000
 _RND = np.random.default_rng(SEED)
@@ -88,6 +102,78 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both], pa.int64())
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
+
+
+def _counts(batches):
+    """(slot, n) of all sets of a partition."""
+    found = [np.zeros(0, np.int64)]
+    for batch in batches:
+        found.append(_slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)))
+    slots, n = np.unique(np.concatenate(found), return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(n, pa.int64())], ["slot", "n"])
+
+
+def prefixes(hashes: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """The class of a set's size and, for each class of partners' sizes, the shingles (signed) by which they meet."""
+    n = len(hashes)
+    own = int(np.searchsorted(BOUNDS, n, "right")) - 1
+    if not n:
+        return own, []
+    held = counts[_places(hashes, slots)]
+    ordered = hashes[np.lexsort((hashes, held))].view(np.int64).tolist()
+    alone = int((held == 1).sum())
+    least, most = -(-n * SIMILAR // OF), n * OF // SIMILAR
+    out = []
+    for other in range(int(np.searchsorted(BOUNDS, least, "right")) - 1, int(np.searchsorted(BOUNDS, most, "right"))):
+        share = -(-(n + max(BOUNDS[other], least)) * SIMILAR // (SIMILAR + OF))
+        out += [(x, other) for x in ordered[alone : n - share + 1]]
+    return own, out
+
+
+def _places(hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Where the counts of shingles stand: at 0 what has a slot alone, else one behind the slot's place among ``slots``."""
+    if not len(slots):
+        return np.zeros(len(hashes), np.int64)
+    wanted = _slots(hashes)
+    at = np.minimum(np.searchsorted(slots, wanted), len(slots) - 1)
+    return np.where(slots[at] == wanted, at + 1, 0)
+
+
+def _prefix_keys(crowd: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, component, own, other) of crowded members (hashes, node, component)."""
+    partial = crowd.select("hashes").mapInArrow(_counts, "slot long, n long")
+    shared = partial.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    table = shared.toArrow()  # at most SLOTS rows
+    slots, n = (table.column(c).to_numpy() for c in ("slot", "n"))
+    order = np.argsort(slots)
+    known = crowd.sparkSession.sparkContext.broadcast((slots[order], np.concatenate([[1], n[order]])))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys(sets: pa.Array) -> pa.Array:
+        """The class of the size, then shingles and classes of partners by turns."""
+        found = (prefixes(np.frombuffer(x, np.uint64), *known.value) for x in sets.to_pylist())
+        return pa.array([[own, *(v for pair in met for v in pair)] for own, met in found], pa.list_(pa.int64()))
+
+    told = scratch.table(crowd.select("node", "component", keys("hashes").alias("k")), "prefixes")
+    at = F.explode(F.sequence(F.lit(1), F.size("k") - 1, F.lit(2))).alias("at")
+    rows = told.where(F.size("k") > 1).select("node", "component", F.col("k")[0].alias("own"), "k", at)
+    rows = rows.select("node", "component", "own", F.col("k")[F.col("at")].alias("shingle"), F.col("k")[F.col("at") + 1].alias("other"))
+    return rows.withColumn("bucket", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))).drop("shingle")
+
+
+def _across(told: DataFrame, scratch: Scratch, name: str, on: str = "true") -> DataFrame:
+    """Pairs (a, b) of one bucket that lie in different components; ``told`` has bucket, node and component. Each has a member
+    outside the bucket's main component."""
+    sizes = told.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    split = scratch.table(told.join(main.select("bucket", "main"), "bucket"), f"split-{name}")
+    strays, others = split.where("component <> main").alias("s"), split.alias("o")
+    met = strays.join(others, (F.col("s.bucket") == F.col("o.bucket")) & (F.col("s.component") != F.col("o.component")) & F.expr(on))
+    return met.select(F.least("s.node", "o.node").alias("a"), F.greatest("s.node", "o.node").alias("b")).distinct()
+
+
 def text_node() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -122,8 +208,11 @@ def components(docs: DataFrame) -> DataFrame:
     alike = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
     proposed = scratch.table(linked.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "proposed")
     filed = classes.select("node", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = scratch.table(filed.join(shared, "bucket"), "members")
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    filed = scratch.table(filed.join(shared, "bucket"), "filed")
+    met = filed.join(filed.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    leaders = met.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    members = scratch.table(filed.join(leaders, "bucket"), "members")
     wanted = members.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
     wanted = scratch.table(wanted.distinct(), "wanted")
     texts = docs.select(text_node().alias("node"), "text").join(_few(wanted), "node", "left_semi")
@@ -138,14 +227,12 @@ def components(docs: DataFrame) -> DataFrame:
     labels = labelled(edges, "first")
     # a pair across components has a member outside the bucket's main one; a bucket of two is settled by its star
     told = members.where("n > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    told = scratch.table(told.select("bucket", "node", "leader", "component"), "told")
-    sizes = told.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = scratch.table(told.join(main.select("bucket", "main"), "bucket"), "split")
-    strays, others = split.where("component <> main").alias("s"), split.alias("o")
-    across = strays.join(others, (F.col("s.bucket") == F.col("o.bucket")) & (F.col("s.component") != F.col("o.component")))
-    across = across.where("s.node <> s.leader and o.node <> o.leader")
-    rest = across.select(F.least("s.node", "o.node").alias("a"), F.greatest("s.node", "o.node").alias("b")).distinct()
+    told = scratch.table(told.select("bucket", "node", "leader", "component", "n"), "told")
+    rest = _across(told.where(F.col("n") <= CROWDED), scratch, "small", "s.node <> s.leader and o.node <> o.leader")
+    crowded = told.where(F.col("n") > CROWDED).select("node", "component").distinct()
+    crowd = scratch.table(sets.join(_few(crowded), "node"), "crowd")
+    if not crowd.isEmpty():
+        rest = rest.unionByName(_across(_prefix_keys(crowd, scratch), scratch, "crowded", "s.own = o.other and s.other = o.own")).distinct()
     more = scratch.table(_verified(rest, sets), "more")
     if more.count():
         labels = labelled(edges.unionByName(more), "all")
